@@ -49,17 +49,18 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (signed long) of every row, from the whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (signed long) of every row, from the whole text, and a struct of the columns in ``carry``."""
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(F.lit(0).alias("_"), *carry).alias("row"))
 
     def work(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
         for part in parts:
             fps = [fingerprint_of(t.as_py(), shingle) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), part.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    return given.mapInArrow(work, f"doc_id long, fp long, row {given.schema['row'].dataType.simpleString()}")
 
 
 def ball_radius(radius: int, segments: int) -> int:
@@ -210,12 +211,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) of every row."""
-    marked = stored(fingerprints(docs, shingle), "fingerprints")
+def classes(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, root (least fingerprint reachable), component_id (least doc_id reachable) and ``carry`` of every row."""
+    marked = stored(fingerprints(docs, shingle, carry), "fingerprints")
     firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(firsts.select("fp"), radius, segments))
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = stored(grouped.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return marked.join(known, "fp").select("doc_id", "fp", "root", "component_id", *[F.col(f"row.{c}").alias(c) for c in carry])
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) of every row."""
+    found = classes(docs, shingle, radius, segments)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, segments: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class one with the least doc_id."""
+    found = classes(docs, shingle, radius, segments, tuple(c for c in docs.columns if c != "doc_id"))
+    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select(*docs.columns)
