@@ -2,10 +2,342 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tradelens.functions import columns as C
+from tradelens.operators import clusters, cooldown, dedup, event_study, evidence, factors, feeds, history, prices, scoring, tables
+from tradelens.plans import views as V
+from tradelens.plans.oracle import ORACLE
+
+AS_OF = "1998-12-31"
+ACTOR = ["cik", "insider_name"]
+WEIGHTS = {**{f"role_{k}": v for k, v in scoring.RULES.role_points.items()}, **{f"cap_{k}": v for k, v in scoring.RULES.cap_points.items()}, **scoring.RULES.factor_points}
+
+
+# -- building blocks
+
+
+def latest(spark: SparkSession, d: str) -> DataFrame:
+    """Latest amendment of each purchase; the plan filter follows, so an amendment can remove a row."""
+    one = dedup.latest_by_key(V.transactions(spark, d), [*ACTOR, "transaction_date", "transaction_code"], [F.desc("filed_date"), *V.tie()])
+    return one.where("transaction_code = 'P' AND NOT is_10b51")
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = history.prior_purchases(latest(spark, d), ACTOR)
+    rows = history.routine_flags(rows, ACTOR)
+    rows = rows.join(V.companies(spark, d).select("ticker", "cap_tier"), "ticker", "left")
+    rows = prices.low_at(rows, V.price_bars(spark, d)).withColumn("low_52wk", F.col("low_52wk") / 100)
+    return scoring.score_purchases(rows)
+
+
+def cluster_table(spark: SparkSession, d: str) -> DataFrame:
+    tx = V.transactions(spark, d)
+    return clusters.cluster_windows(clusters.members(clusters.work_items(tx), tx, V.tie()))
+
+
+def all_signals(spark: SparkSession, d: str) -> DataFrame:
+    tx = V.transactions(spark, d)
+    items = clusters.work_items(tx)
+    found = clusters.cluster_windows(clusters.members(items, tx, V.tie()))
+    return scoring.one_per_date(scoring.signals(items, scored(spark, d), found, V.tie()))
+
+
+def study(spark: SparkSession, d: str) -> DataFrame:
+    """Excess returns of all selected signals at all horizons."""
+    chosen = event_study.selected(all_signals(spark, d)).withColumn("filed_date", F.col("as_of"))
+    entered = event_study.trades(chosen, F.lit(AS_OF).cast("date"))
+    return event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d))
+
+
+# -- queries
+
+
+def latest_amendment(spark, d):
+    return latest(spark, d).select("ticker", "insider_name", "transaction_date", "filed_date", "value_cents", "shares", "l_orderkey", "l_linenumber")
+
+
+def routine_flag(spark, d):
+    rows = V.transactions(spark, d).where("transaction_code = 'P'")
+    return history.routine_flags(rows, ACTOR).select("l_orderkey", "l_linenumber", "ticker", "insider_name", "transaction_date", "routine", C.routine_label(F.col("routine")).alias("label"))
+
+
+def purchase_timing(spark, d):
+    return history.prior_purchases(latest(spark, d), ACTOR).select("ticker", "insider_name", "transaction_date", "prior_date", "timing")
+
+
+def buying_episodes(spark, d):
+    return history.buying_episodes(latest(spark, d), ACTOR, value="value_cents")
+
+
+def cluster_windows(spark, d):
+    return cluster_table(spark, d).where("is_cluster")
+
+
+def event_clusters(spark, d):
+    tx = V.event_purchases(V.read(spark, d, "events"))
+    found = clusters.members(clusters.work_items(tx), tx, [F.desc("event_id")])
+    return clusters.cluster_windows(found).where("is_cluster")
+
+
+def scored_purchases(spark, d):
+    return scored(spark, d).select("ticker", "insider_name", "transaction_date", "disqualifier", "score", F.size("breakdown").alias("n_factors"), "cap_tier", "timing")
+
+
+def signals_raw(spark, d):
+    return all_signals(spark, d).select("ticker", "signal_date", "as_of", "score", "signal_type", "cluster_flag", "tight_cluster", "executive_cluster", "insider_count", "n_purchases", "min_lag")
+
+
+def signals_cooled(spark, d):
+    return cooldown.greedy(all_signals(spark, d)).select("ticker", "signal_date", "score", "signal_type")
+
+
+def signals_deduped(spark, d):
+    return cooldown.two_pass(all_signals(spark, d)).select("ticker", "signal_date", "score", "signal_type")
+
+
+def late_signals(spark, d):
+    """Signals filed after mid-1997 against those stored before, in both directions of time."""
+    every = all_signals(spark, d)
+    new, old = every.where("as_of >= DATE '1997-07-01'"), every.where("as_of < DATE '1997-07-01'")
+    return cooldown.against_stored(new, old).select("ticker", "signal_date", "score", "signal_type")
+
+
+def insider_rollup(spark, d):
+    out = evidence.insider_rollup(latest(spark, d), ["ticker"])
+    return out.select("ticker", "insider_name", "shares_bought", F.col("total_value").cast("double").alias("total_value"), F.round("avg_price", 4).alias("avg_price"), "role", "shares_after", "purchase_count", "first_date", "last_date", F.round("pct_increase", 4).alias("pct_increase"))
+
+
+def asof_returns(spark, d):
+    spans = latest(spark, d).select("ticker", F.col("transaction_date").alias("start_date"), F.date_add("transaction_date", 30).alias("end_date")).distinct()
+    return prices.as_of_returns(spans, V.price_bars(spark, d), days=30).select("ticker", "start_date", "end_date", "start_close", "end_close", F.round("ret", 4).alias("ret"))
+
+
+def price_lows(spark, d):
+    return prices.trailing_low(V.price_bars(spark, d)).select("ticker", "date", "close", "low", C.near_low(F.col("close"), F.col("low")).alias("near_low"))
+
+
+def event_study_detail(spark, d):
+    return study(spark, d).select("ticker", "signal_date", "horizon", "start_date", "end_date", F.round("ret", 4).alias("ret"), F.round("bench_ret", 4).alias("bench_ret"), "excess")
+
+
+def event_study_summary(spark, d):
+    return event_study.summary(study(spark, d))
+
+
+def event_study_strata(spark, d):
+    return feeds.strata_labels(event_study.strata(study(spark, d)))
+
+
+def event_study_rolling(spark, d):
+    return event_study.rolling_hit_rate(study(spark, d))
+
+
+def event_study_streak(spark, d):
+    return event_study.longest_losing_streak(study(spark, d))
+
+
+def event_study_risk(spark, d):
+    return event_study.risk(study(spark, d))
+
+
+def event_study_weak_clusters(spark, d):
+    weak = event_study.weak_clusters(all_signals(spark, d)).withColumn("filed_date", F.col("as_of"))
+    entered = event_study.trades(weak, F.lit(AS_OF).cast("date"))
+    rows = event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d), missing=None)
+    return rows.where("excess IS NOT NULL").groupBy("horizon").agg(*event_study.metrics())
+
+
+def event_study_small_caps(spark, d):
+    chosen = event_study.selected(all_signals(spark, d)).where("cap_tier = 'small'").withColumn("filed_date", F.col("as_of"))
+    entered = event_study.trades(chosen, F.lit(AS_OF).cast("date"))
+    rows = event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d, ("small",)), digits=None)
+    v = F.col("excess")
+    return rows.where("excess IS NOT NULL").groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg(v), 2).alias("avg_return"), F.round(F.avg((v > 0).cast("int") * 100.0), 1).alias("hit_rate"))
+
+
+def signal_coverage(spark, d):
+    return event_study.coverage(event_study.selected(all_signals(spark, d)), F.lit(AS_OF).cast("date"))
+
+
+def matched(spark, d):
+    rows = study(spark, d).where("excess IS NOT NULL").select("ticker", "start_date", "horizon", "excess", F.concat_ws("|", "ticker", "signal_date", "horizon").alias("row_id"))
+    return factors.nearest_signals(rows, all_signals(spark, d).where("signal_type IN ('BUY', 'CLUSTER_BUY')"))
+
+
+def factor_lift(spark, d):
+    return factors.factor_lift(matched(spark, d), sorted(WEIGHTS))
+
+
+def score_bands(spark, d):
+    return factors.score_bands(matched(spark, d))
+
+
+def weight_advice(spark, d):
+    return factors.weight_advice(factor_lift(spark, d), WEIGHTS)
+
+
+def monthly_excess(spark, d):
+    return feeds.monthly_excess(study(spark, d))
+
+
+def signal_feed(spark, d):
+    ranked = feeds.feed(feeds.filtered(all_signals(spark, d), types=["CLUSTER_BUY", "BUY", "WATCH"], tiers=["small", "mid", "unknown"]))
+    return ranked.select("ticker", "signal_date", "signal_type", "score", "conviction", "type_rank", "quality")
+
+
+def signal_headline(spark, d):
+    return feeds.headline(all_signals(spark, d))
+
+
+def top_picks(spark, d):
+    return feeds.top_picks(feeds.feed(all_signals(spark, d))).select("ticker", "signal_date", "signal_type", "score", "conviction")
+
+
+def positions(spark, d):
+    own = event_study.selected(all_signals(spark, d))
+    near = clusters.join_in_days(own.select("ticker", "as_of"), scored(spark, d).where("disqualifier IS NULL"), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
+    rollup = evidence.insider_rollup(near, ["ticker", "as_of"])
+    last = prices.quotes(V.price_bars(spark, d)).withColumn("current_price", F.col("current_price") / 100)
+    return feeds.positions(own, rollup, last, F.lit(AS_OF).cast("date"))
+
+
+def entity_history(spark, d):
+    rows = history.routine_flags(V.transactions(spark, d).where("transaction_code = 'P'"), ACTOR)
+    return feeds.entity_history(rows, V.tie()).select("ticker", "transaction_date", "insider_name", "l_orderkey", "l_linenumber", "value_cents", "routine_label")
+
+
+def alert_queue(spark, d):
+    return feeds.alert_queue(all_signals(spark, d).withColumn("alerted", F.dayofmonth("signal_date") % 2 == 0)).select("ticker", "signal_date", "score", "signal_type")
+
+
+def daily_summary(spark, d):
+    return feeds.daily_summary(all_signals(spark, d).withColumn("alerted", F.dayofmonth("signal_date") % 2 == 0))
+
+
+def alert_messages(spark, d):
+    """Outbox of cluster alerts with their text."""
+    tx = V.transactions(spark, d)
+    rows = all_signals(spark, d).where("signal_type = 'CLUSTER_BUY'")
+    near = clusters.join_in_days(rows.select("ticker", "as_of"), scored(spark, d).where("disqualifier IS NULL"), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
+    full = evidence.evidence(rows, evidence.insider_rollup(near, ["ticker", "as_of"]), clusters.members(rows.select("ticker", "as_of"), tx, V.tie()))
+    return evidence.alert_text(full).select("ticker", "signal_date", F.size("insiders").alias("n_insiders"), "message")
+
+
+def market_caps(spark, d):
+    held = V.read(spark, d, "part").select((F.col("p_partkey") % F.lit(1000) + 1).cast("string").alias("cik"), F.when(F.col("p_partkey") % 3 == 0, "dei").when(F.col("p_partkey") % 3 == 1, "us-gaap").otherwise("concept").alias("taxonomy"), F.date_add(F.lit("1998-01-01").cast("date"), F.col("p_size")).alias("end"), (F.col("p_partkey") * 1000).alias("val"))
+    last = prices.quotes(V.price_bars(spark, d))
+    out = prices.market_caps(V.companies(spark, d).select("cik", "ticker", "name", "market_cap", "cap_tier"), prices.first_known_shares(held), last)
+    return out.select("cik", "ticker", "market_cap", "cap_tier")
+
+
+def cap_tiers(spark, d):
+    return V.companies(spark, d).groupBy("cap_tier").agg(F.count("*").alias("n"), F.min("market_cap").alias("least"), F.max("market_cap").alias("most"))
+
+
+def universe_slice(spark, d):
+    listed = V.read(spark, d, "customer").select(F.col("c_name").alias("symbol"), F.round(F.col("c_acctbal") * 100).cast("long").alias("market_cap"))
+    small = feeds.cap_rank_slice(listed, 101, 300).select("symbol")
+    large = V.read(spark, d, "supplier").select(F.col("s_name").alias("symbol"))
+    return small.union(large).distinct()
+
+
+def upsert_filings(spark, d):
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("accession_number"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("filed_date"))
+    old, new = o.where("filed_date < DATE '1997-01-01'"), o.where("filed_date >= DATE '1996-06-01'")
+    return tables.insert_new(old, new, ["accession_number"])
+
+
+def upsert_signals(spark, d):
+    every = all_signals(spark, d).select("ticker", "signal_date", "score", "signal_type", (F.dayofmonth("signal_date") % 2 == 0).alias("alerted"))
+    old = every.where("signal_date < DATE '1997-01-01'")
+    new = every.where("signal_date >= DATE '1996-06-01'").withColumn("score", F.col("score") + 1).withColumn("alerted", F.lit(False))
+    return tables.upsert(old, new, ["ticker", "signal_date"], ["score", "signal_type"])
+
+
+def retention(spark, d):
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("accession_number"), F.to_date("o_orderdate").alias("filed_date"))
+    tx = V.transactions(spark, d).select(F.col("l_orderkey").alias("accession_number"), "transaction_date", "value_cents")
+    _, kept = tables.retention(o, tx, ["accession_number"], "filed_date", "transaction_date", F.lit("1998-12-01").cast("date"))
+    return kept.groupBy("accession_number").agg(F.count("*").alias("n_lines"), F.sum("value_cents").alias("value_cents"))
+
+
+def fetch_windows(spark, d):
+    """Orders per eight-day window, with the capped ones marked."""
+    o = V.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("filed_date"))
+    return tables.capped_windows(o, "filed_date", F.lit("1992-01-01").cast("date"), cap=50)
+
+
+def role_class(spark, d):
+    title = F.concat_ws(" ", F.when(F.col("p_size") % 5 == 0, "Chief Financial Officer").when(F.col("p_size") % 5 == 1, "CEO").when(F.col("p_size") % 5 == 2, "Board Member").when(F.col("p_size") % 5 == 3, "SVP Sales"), "p_type")
+    return V.read(spark, d, "part").select("p_partkey", title.alias("title")).withColumn("role", C.role_category(F.col("title")))
+
+
+def clean_ticker(spark, d):
+    raw = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit(" nasdaq:"), F.lower(F.replace("s_name", F.lit("#"), F.lit(""))))).when(F.col("s_suppkey") % 4 == 1, F.lit(" none ")).when(F.col("s_suppkey") % 4 == 2, F.lit("")).otherwise(F.col("s_name"))
+    return V.read(spark, d, "supplier").select("s_suppkey", C.clean_ticker(raw).alias("ticker"), C.padded_cik(F.col("s_suppkey").cast("string")).alias("cik"))
+
+
+def parse_xml(spark, d):
+    """Documents built from the lines, parsed back."""
+    from tradelens.sources import documents
+
+    tag = lambda name, value: F.concat(F.lit(f"<{name}><value>"), value.cast("string"), F.lit(f"</value></{name}>"))
+    tx = V.transactions(spark, d).withColumn("owner", F.col("insider_name"))
+    line = F.concat(
+        F.lit("<nonDerivativeTransaction>"), tag("transactionDate", F.concat(F.col("transaction_date").cast("string"), F.lit("-05:00"))),
+        F.lit("<transactionCoding><transactionCode>"), F.col("transaction_code"), F.lit("</transactionCode></transactionCoding><transactionAmounts>"),
+        tag("transactionShares", F.col("shares")), tag("transactionPricePerShare", F.col("price_cents")),
+        F.lit("</transactionAmounts><postTransactionAmounts>"), tag("sharesOwnedFollowingTransaction", F.col("shares_after")),
+        F.lit("</postTransactionAmounts><ownershipNature>"), tag("directOrIndirectOwnership", F.when(F.col("is_direct"), "D").otherwise("I")), F.lit("</ownershipNature></nonDerivativeTransaction>"),
+    )
+    docs = tx.groupBy("l_orderkey", "cik").agg(F.min("owner").alias("owner"), F.concat_ws("", F.collect_list(line)).alias("lines"))
+    xml = F.concat(F.lit("<ownershipDocument><issuer><issuerCik>000"), F.col("cik"), F.lit("</issuerCik><issuerName>n</issuerName><issuerTradingSymbol>NYSE:t"), F.col("cik"), F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>"), F.col("owner"), F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>1</isDirector></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), F.col("lines"), F.lit("</nonDerivativeTable></ownershipDocument>"))
+    rows = documents.transactions(documents.parsed(docs.select(F.concat_ws("-", "l_orderkey", "cik").alias("accession_number"), xml.alias("xml"))))
+    return rows.groupBy("ticker", "transaction_code", "role_category", "is_direct").agg(F.count("*").alias("n"), F.sum("shares").cast("long").alias("shares"), F.sum("total_value").cast("long").alias("value_cents"), F.min("transaction_date").alias("first_date"))
+
+
+def _drained(spark, d, transform, label):
+    """Run a stream over the events to its end into a table of the shared folder, and read that."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    root = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    out = transform(stream)
+    query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def stream_dedup(spark, d):
+    """Event ids once within the watermark."""
+    from tradelens.streaming import incremental
+
+    return _drained(spark, d, lambda s: incremental.once_per_key(s.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts").select("event_id", "user_id", "event_type"), "stream-dedup")
+
+
+def sliding_buyers(spark, d):
+    """Distinct buyers in windows of 15 days that slide by one: the batch twin of the stream."""
+    from tradelens.streaming import incremental
+
+    return incremental.sliding_buyers(V.event_purchases(V.read(spark, d, "events")))
+
+
+NAMES = [
+    latest_amendment, routine_flag, purchase_timing, buying_episodes, cluster_windows, event_clusters, scored_purchases, signals_raw, signals_cooled, signals_deduped, late_signals,
+    insider_rollup, asof_returns, price_lows, event_study_detail, event_study_summary, event_study_strata, event_study_rolling, event_study_streak, event_study_risk, event_study_weak_clusters,
+    event_study_small_caps, signal_coverage, factor_lift, score_bands, weight_advice, monthly_excess, signal_feed, signal_headline, top_picks, positions, entity_history, alert_queue, daily_summary,
+    alert_messages, market_caps, cap_tiers, universe_slice, upsert_filings, upsert_signals, retention, fetch_windows, role_class, clean_ticker, parse_xml, stream_dedup, sliding_buyers,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
