@@ -11,19 +11,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(20, 4)
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "money": MONEY, "points": T.MapType(T.StringType(), T.IntegerType())}
 
-COMPANIES = T.StructType.fromDDL("cik string, ticker string, name string, sic_code string, market_cap long, cap_tier string, updated_at timestamp")
-FILINGS = T.StructType.fromDDL("accession_number string, cik string, filed_date date, period_date date, fetched_at timestamp")
-TRANSACTIONS = T.StructType.fromDDL(
+
+def _struct(fields: str) -> T.StructType:
+    """Built without a session, unlike a DDL string."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+COMPANIES = _struct("cik string, ticker string, name string, sic_code string, market_cap long, cap_tier string, updated_at timestamp")
+FILINGS = _struct("accession_number string, cik string, filed_date date, period_date date, fetched_at timestamp")
+TRANSACTIONS = _struct(
     "accession_number string, insider_name string, insider_role string, role_category string, transaction_date date, transaction_code string, "
-    "shares decimal(20,4), price_per_share decimal(20,4), total_value decimal(20,4), shares_after decimal(20,4), is_10b51 boolean, is_direct boolean, is_routine boolean"
+    "shares money, price_per_share money, total_value money, shares_after money, is_10b51 boolean, is_direct boolean, is_routine boolean"
 )
-SIGNALS = T.StructType.fromDDL("ticker string, signal_date date, score int, signal_type string, cluster_flag boolean, score_breakdown map<string,int>, evidence string, alerted boolean, created_at timestamp")
-BACKTEST_RUNS = T.StructType.fromDDL(
+SIGNALS = _struct("ticker string, signal_date date, score int, signal_type string, cluster_flag boolean, score_breakdown points, evidence string, alerted boolean, created_at timestamp")
+BACKTEST_RUNS = _struct(
     "run_date date, threshold int, horizon_days int, n_trades long, hit_rate double, avg_return double, median_return double, p25_return double, p75_return double, sharpe double, iwm_avg_return double, metrics string, created_at timestamp"
 )
-PRICE_BARS = T.StructType.fromDDL("ticker string, date date, close double")
-SHARES = T.StructType.fromDDL("cik string, taxonomy string, period string, form string, end date, val long")
+PRICE_BARS = _struct("ticker string, date date, close double")
+SHARES = _struct("cik string, taxonomy string, period string, form string, end date, val long")
 
 # Points of each factor, by name.
 ROLE_POINTS = {"cfo": 15, "director": 16, "coo": 15, "chairman": 0, "officer": 12, "ceo": -5, "other": 0}
