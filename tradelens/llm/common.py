@@ -50,6 +50,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``stored`` or ``scratch`` named, once nothing reads them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``checkpoint()`` into the shared folder, for small tables."""
     sc = df.sparkSession.sparkContext

@@ -42,7 +42,7 @@ def compress(ids, doc_ends, min_count: int = 16, rules_per_round: int = 4096, ro
     """
     import numpy as np
 
-    seq = np.asarray(ids, np.int64)
+    seq = np.array(ids, np.int64)
     last = np.zeros(len(seq), bool)
     ends = np.asarray(doc_ends, np.int64)
     last[ends - 1] = True
