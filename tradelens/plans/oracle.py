@@ -160,7 +160,7 @@ ORACLE = {
     "latest_amendment": f"{LATEST} SELECT ticker, insider_name, transaction_date, filed_date, value_cents, shares, l_orderkey, l_linenumber FROM latest",
     "routine_flag": f"""{WITH}, {_MONTHS},
 r AS (SELECT t.l_orderkey, t.l_linenumber, t.ticker, t.insider_name, t.transaction_date, {_ROUTINE} AS routine FROM tx t JOIN firsts f ON f.cik = t.cik AND f.insider_name = t.insider_name WHERE t.transaction_code = 'P')
-SELECT *, CASE WHEN routine THEN 'routine' WHEN NOT routine THEN 'opportunistic' ELSE '—' END AS label FROM r""",
+SELECT * EXCLUDE (routine), CASE WHEN routine THEN 'routine' WHEN NOT routine THEN 'opportunistic' ELSE '—' END AS label FROM r""",
     "purchase_timing": f"""{LATEST},
 p AS (SELECT a.ticker, a.insider_name, a.transaction_date, (SELECT max(b.transaction_date) FROM latest b WHERE b.cik = a.cik AND b.insider_name = a.insider_name AND b.transaction_date BETWEEN a.transaction_date - 365 AND a.transaction_date - 1) AS prior_date FROM latest a)
 SELECT *, CASE WHEN transaction_date - prior_date <= 30 THEN 'sequenced_buying_30d' WHEN prior_date IS NOT NULL THEN 'prior_purchase_31_365d' ELSE 'first_purchase_12mo' END AS timing FROM p""",

@@ -60,7 +60,7 @@ def latest_amendment(spark, d):
 
 def routine_flag(spark, d):
     rows = V.transactions(spark, d).where("transaction_code = 'P'")
-    return history.routine_flags(rows, ACTOR).select("l_orderkey", "l_linenumber", "ticker", "insider_name", "transaction_date", "routine", C.routine_label(F.col("routine")).alias("label"))
+    return history.routine_flags(rows, ACTOR).select("l_orderkey", "l_linenumber", "ticker", "insider_name", "transaction_date", C.routine_label(F.col("routine")).alias("label"))
 
 
 def purchase_timing(spark, d):
