@@ -47,7 +47,7 @@ def all_signals(spark: SparkSession, d: str) -> DataFrame:
 def study(spark: SparkSession, d: str) -> DataFrame:
     """Excess returns of all selected signals at all horizons."""
     chosen = event_study.selected(all_signals(spark, d)).withColumn("filed_date", F.col("as_of"))
-    entered = event_study.trades(chosen, F.lit(AS_OF).cast("date"))
+    entered = event_study.trades(chosen, F.lit(AS_OF).cast("date")).persist()  # read for the spans, the benchmark and the join back
     return event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d))
 
 
