@@ -18,8 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside their language and source's robust ellipsoid go."""
-    judged = quality.judge(docs, carry=("text", "lang", "source", "n_chars"))
-    return judged.where("kept").select(*COLUMNS)
+    return quality.passing(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def statistics(n_words="n_words") -> dict[str, Column]:
     """Before centring. The mean word length is centred by group and grows steadier with the words it averages."""
     n = F.col(n_words)
     return {
-        "word_length": F.log(F.col("word_chars") / n),
+        "word_length": F.log(F.try_divide(F.col("word_chars"), n)),
         "symbols": F.sqrt(F.col("n_symbols") / (n + 20)),
         "dup_lines": F.sqrt(10 * F.col("n_dup_lines") / (n + 50)),
         "repeats": F.sqrt(F.col("n_repeat_words") / (n + 20)),
@@ -122,18 +122,41 @@ def consistency(support: float, dof: int = len(STATS)) -> float:
     return support / chi2_cdf(lo, dof + 2)
 
 
-def outliers(counted: DataFrame, support: float = 0.75, steps: int = 3, cutoff: float = 32.0, floors: tuple[float, ...] = (0.06, 0.06, 0.12, 0.12), min_group: int = 50) -> DataFrame:
-    """Add ``distance`` and ``kept`` to stored base counts.
+class Estimates:
+    """Per group the centre of word lengths, and the mean and Cholesky factor of the statistics; all small tables."""
+
+    def __init__(self, small: DataFrame, centres: DataFrame, shapes: DataFrame):
+        self.small, self.centres, self.shapes = small, centres, shapes
+
+    def judged(self, counted: DataFrame, cutoff: float) -> DataFrame:
+        """Add ``distance`` and ``kept`` to base counts."""
+        rows = _points(_grouped(counted, self.small).join(self.centres, GROUP, "left")).join(self.shapes, GROUP, "left")
+        rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(len(STATS))])))
+        return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+
+
+def _grouped(counted: DataFrame, small: DataFrame) -> DataFrame:
+    """Rows of small groups go to the group that their language shares."""
+    return counted.join(small, GROUP, "left").withColumn("_source", F.coalesce("_shared", "_source")).drop("_shared")
+
+
+def _points(df: DataFrame) -> DataFrame:
+    """Add the statistics x0, x1, ...; the word length less its group's centre ``c0``."""
+    values = statistics()
+    values["word_length"] = (values["word_length"] - F.col("c0")) * F.sqrt(F.least(F.col("n_words"), F.lit(400))) / 10
+    return df.withColumns({f"x{i}": c for i, c in enumerate(values.values())})
+
+
+def estimate(counted: DataFrame, support: float = 0.75, steps: int = 3, floors: tuple[float, ...] = (0.06, 0.06, 0.12, 0.12), min_group: int = 50) -> Estimates:
+    """Concentration steps over stored base counts.
 
     ``floors`` are the least standard deviations of the statistics (most documents have no symbols at
-    all, and one repeated line is no fault). ``cutoff`` is the largest squared distance that stays: with four statistics one normal row
-    in half a million is beyond 32.
+    all, and one repeated line is no fault).
     """
     raw = statistics()
     small = counted.where(~F.col("base_failed")).groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") < min_group)
     small = stored(small.select(*GROUP, F.lit("\1").alias("_shared")), "small-groups")
-    counted = counted.join(small, GROUP, "left").withColumn("_source", F.coalesce("_shared", "_source")).drop("_shared")
-    passing = counted.where(~F.col("base_failed"))
+    passing = _grouped(counted, small).where(~F.col("base_failed"))
     cells = passing.select(*GROUP, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.floor(c / STAT_CELL).cast("long").alias("cell")) for i, c in enumerate(raw.values())])).alias("x"))
     cells = cells.select(*GROUP, "x.*").groupBy(*GROUP, "s", "cell").agg(F.count("*").alias("n"))
     marks = _quantile(cells, [*GROUP, "s"], "cell", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
@@ -143,12 +166,7 @@ def outliers(counted: DataFrame, support: float = 0.75, steps: int = 3, cutoff:
     )
     start = stored(start.where(F.col("n_group") >= min_group), "centres")
 
-    def point(df: DataFrame) -> DataFrame:
-        values = {k: c for k, c in raw.items()}
-        values["word_length"] = (values["word_length"] - F.col("c0")) * F.sqrt(F.least(F.col("n_words"), F.lit(400))) / 10
-        return df.withColumns({f"x{i}": c for i, c in enumerate(values.values())})
-
-    vectors = point(passing.join(start, GROUP))
+    vectors = _points(passing.join(start, GROUP))
     xs = [F.col(f"x{i}") for i in range(len(raw))]
     pairs = [(i, j) for i in range(len(raw)) for j in range(i + 1)]
     # the first estimate: the group's medians with the least scale, which outliers cannot move
@@ -162,15 +180,27 @@ def outliers(counted: DataFrame, support: float = 0.75, steps: int = 3, cutoff:
         sums = near.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(raw))], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in pairs])
         low = _cholesky(lambda i, j: (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + F.lit(floors[i] ** 2 if i == j else 0.0))
         now = stored(sums.select(*GROUP, *[f"m{i}" for i in range(len(raw))], *[low[ij].alias(f"l{ij[0]}{ij[1]}") for ij in pairs]), "estimate")
-    judged = point(counted.join(start, GROUP, "left")).join(now, GROUP, "left")
-    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance(xs)))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+    return Estimates(small, start, now)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = (), **parameters) -> DataFrame:
-    """Base counts, base_failed, the squared distance and the verdict of every row, and the columns in ``carry``."""
+def judge(docs: DataFrame, carry: tuple[str, ...] = (), cutoff: float = 32.0, **parameters) -> DataFrame:
+    """Base counts, base_failed, the squared distance and the verdict of every row, and the columns in ``carry``.
+
+    ``cutoff`` is the largest squared distance that stays: with four statistics one normal row in half
+    a million is beyond 32. The counts are stored: what follows reads them several times, and the
+    optimizer must not push a filter on the verdict into the counting.
+    """
     counted = stored(base_counts(docs, carry), "counts")
-    return outliers(counted, **parameters).select("doc_id", *COUNTS, "base_failed", "distance", "kept", *[F.col(f"_row.{c}").alias(c) for c in carry])
+    rows = estimate(counted, **parameters).judged(counted, cutoff)
+    return rows.select("doc_id", *COUNTS, "base_failed", "distance", "kept", *[F.col(f"_row.{c}").alias(c) for c in carry])
+
+
+def passing(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that stay. The verdicts are found without the texts and meet them by a hash of all that they depend on."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("text", "lang", "source")]
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", *parts))
+    stay = judge(keyed, carry=("_key",), **parameters).where("kept").select("_key").distinct()
+    return keyed.join(stay, "_key", "left_semi").drop("_key")

@@ -211,15 +211,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def classes(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, root (least fingerprint reachable), component_id (least doc_id reachable) and ``carry`` of every row."""
-    marked = stored(fingerprints(docs, shingle, carry), "fingerprints")
+def classes(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
+    """doc_id, fp, root (least fingerprint reachable) and component_id (least doc_id reachable) of every row."""
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
     firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(firsts.select("fp"), radius, segments))
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     known = stored(grouped.join(least, "root").select("fp", "root", "component_id"), "classes")
-    return marked.join(known, "fp").select("doc_id", "fp", "root", "component_id", *[F.col(f"row.{c}").alias(c) for c in carry])
+    return marked.join(known, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments: int = 2) -> DataFrame:
@@ -229,6 +229,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, segments: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class one with the least doc_id."""
-    found = classes(docs, shingle, radius, segments, tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select(*docs.columns)
+    """The rows of ``docs`` that stay: of each class one with the least doc_id.
+
+    The classes are found without the texts; these are shuffled once, to meet the keys that stay, and
+    equal rows of one key meet on the same partitioning.
+    """
+    place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    stay = classes(docs, shingle, radius, segments).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select(place.alias("_place"), "fp")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = fingerprints(docs, shingle, tuple(rest)).withColumn("_place", place)
+    kept = rows.join(stay, ["_place", "fp"], "left_semi").dropDuplicates(["_place", "fp"])
+    return kept.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]).select(*docs.columns)
