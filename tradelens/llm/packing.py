@@ -34,14 +34,14 @@ def token_pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = 204
 
     def cut(parts: Iterator) -> Iterator:
         import pyarrow as pa
-        from tradelens.llm.tokens import Encoder, batches
+        from tradelens.llm.tokens import batches, encoder
 
-        encoder, tail = Encoder(tokenizer, "byte"), end_id.to_bytes(4, "little")
+        words, tail = encoder(tokenizer, "byte"), end_id.to_bytes(4, "little")
         for part in parts:
             names, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
             for lo, hi in batches(texts):
                 rows: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(names.slice(lo, hi - lo).to_pylist(), encoder.encode(texts[lo:hi])):
+                for doc, ids in zip(names.slice(lo, hi - lo).to_pylist(), words.encode(texts[lo:hi])):
                     ids += tail
                     total = len(ids) // 4
                     edges = [0, *range((total - 1) % capacity + 1, total + 1, capacity)]

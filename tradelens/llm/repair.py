@@ -160,9 +160,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tradelens.llm.tokens import Encoder, batches
+        from tradelens.llm.tokens import batches, encoder
 
-        encoder, tail = Encoder(tokenizer, "word"), end_id.to_bytes(4, "little")
+        words, tail = encoder(tokenizer, "word"), end_id.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 32
         names: list = []
         held: list[bytes] = []
@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
         for part in parts:
             own, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
             for lo, hi in batches(texts):
-                for doc, ids in zip(own[lo:hi], encoder.encode(texts[lo:hi])):
+                for doc, ids in zip(own[lo:hi], words.encode(texts[lo:hi])):
                     names.append(doc)
                     held.append(ids + tail)
                     size += len(ids) // 4 + 1

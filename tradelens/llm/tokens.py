@@ -7,8 +7,11 @@ import re
 
 from tradelens.llm.common import tokenizer_file
 
-#: A worker forgets the words it has met beyond this number, so its memory stays bounded.
-CACHE_WORDS = 400_000
+#: A worker that knows more words than this forgets those that it has met in one batch only.
+CACHE_WORDS = 600_000
+PUNCTUATION = ".,;:!?#$%&*+-/=@^_~()[]{}|"
+#: New words are encoded together, so many at once.
+TOGETHER = 256
 
 
 class Encoder:
@@ -28,30 +31,78 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = kind
         self.known: dict[str, bytes] = {"": b""}
+        self.again: set[str] = set()
 
-    def _learn(self, units: list[str]) -> None:
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """The ids of units that may stand next to each other, from one call: each token starts in its unit."""
         import numpy as np
 
-        new = [u for u in set(units) if u not in self.known]
+        got = self.tokenizer.encode("".join(units), add_special_tokens=False)
+        ends = np.cumsum([len(u) for u in units])
+        starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
+        raw, cuts = np.array(got.ids, "<u4"), np.searchsorted(starts, ends, side="left")
+        return [x.tobytes() for x in np.split(raw, cuts[:-1])]
+
+    def _learn(self, units: set[str]) -> None:
+        old = units & self.known.keys()
+        self.again |= old
+        new = units - old
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = list({u for u in units if u})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for unit, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = np.array(got.ids, dtype="<u4").tobytes()
+            if len(self.again) > CACHE_WORDS // 2:
+                self.again = old
+            self.known = {u: self.known[u] for u in self.again | old | {""}}
+        # punctuation after a letter or digit is a token of its own, so the word before it is looked up
+        parts = {}
+        for u in new:
+            stem = u.rstrip(PUNCTUATION)
+            if stem and stem is not u and len(stem) < len(u) and stem.lower()[-1].isalnum():
+                parts[u] = stem, u[len(stem) :]
+        needed = new - parts.keys()
+        for pair in parts.values():
+            needed.update(pair)
+        self._encode(needed - self.known.keys())
+        known = self.known
+        for u, (stem, tail) in parts.items():
+            known[u] = known[stem] + known[tail]
+
+    def _encode(self, new: set[str]) -> None:
+        # a unit that does not begin with the space that cuts it off is encoded by itself
+        whole = [u for u in new if self.kind == "byte" and not (u[0] == " " and u[1:2].strip())]
+        joined = list(new.difference(whole))
+        for u in whole:
+            self.known[u] = self._ids([u])[0]
+        glue = " " if self.kind == "word" else ""
+        for i in range(0, len(joined), TOGETHER):
+            part = joined[i : i + TOGETHER]
+            self.known.update(zip(part, self._ids([u + glue for u in part])))
 
     def _units(self, text: str) -> list[str]:
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
-        first, *rest = re.split(r" (?=\S)", text)
-        return [first, *(" " + x for x in rest)]
+        if BARE_SPACE.search(text):
+            return re.split(r"(?= \S)", text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         units = [self._units(t) for t in texts]
-        self._learn([u for x in units for u in x])
-        known = self.known
-        return [b"".join([known[u] for u in x]) for x in units]
+        self._learn(set().union(*units) - {""})
+        known = self.known.__getitem__
+        return [b"".join(map(known, x)) for x in units]
+
+
+#: A space with no other character but white space after it.
+BARE_SPACE = re.compile(r" (?!\S)")
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(name: str, kind: str) -> Encoder:
+    """One encoder per worker process: what it has learned serves the worker's next tasks."""
+    if (name, kind) not in _ENCODERS:
+        _ENCODERS[name, kind] = Encoder(name, kind)
+    return _ENCODERS[name, kind]
 
 
 def batches(texts: list[str], most_chars: int = 2_000_000):
