@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import packing, quality, repeats, simhash, tiling
+from tradelens.llm import near, packing, quality, repeats, tiling
 from tradelens.llm.common import read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class over five-word shingles stays."""
-    return simhash.first_of_each(docs.select(*COLUMNS))
+    """One document of each class stays; linked are sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return near.first_of_each(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

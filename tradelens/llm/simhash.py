@@ -226,18 +226,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) of every row."""
     found = classes(docs, shingle, radius, segments)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, segments: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class one with the least doc_id.
-
-    The classes are found without the texts; these are shuffled once, to meet the keys that stay, and
-    equal rows of one key meet on the same partitioning.
-    """
-    place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    stay = classes(docs, shingle, radius, segments).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select(place.alias("_place"), "fp")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = fingerprints(docs, shingle, tuple(rest)).withColumn("_place", place)
-    kept = rows.join(stay, ["_place", "fp"], "left_semi").dropDuplicates(["_place", "fp"])
-    return kept.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest]).select(*docs.columns)
