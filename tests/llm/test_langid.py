@@ -38,3 +38,16 @@ def test_gradient_by_differences():
     net.train(rows, labels, epochs=30, batch=6)
     after = -net.log_probabilities(rows, net.tables())[np.arange(6), labels].mean()
     assert after < before / 2
+
+
+def test_every_label_trains_and_copies_count_once(spark, monkeypatch):
+    rows = [(f"text of label {i}", f"l{i:03}") for i in range(230)]
+    rows += [("one text in many copies", "hot")] * 400 + [(f"wide {i}", "wide") for i in range(400)] + [("", "blank")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", lambda net, windows, labels, **_: seen.append([net.labels[i] for i in labels]))
+    net = langid.fit(df, F.lit(True), docs_per_label=3)
+    assert net.labels == sorted({lang for _, lang in rows} - {"blank"})
+    assert [seen[0].count(x) for x in ("l000", "hot", "wide")] == [1, 1, 3]
+    langid.fit(df, F.lit(True), docs_per_label=3, most_docs=2)
+    assert seen[1].count("wide") == 1 and len(set(seen[1])) == 232

@@ -6,9 +6,10 @@ driver, on a bounded sample of labelled windows, and applied to all windows of e
 prediction the embedding is folded into the filters: a filter's value is a sum of table look-ups, one
 for each byte it covers.
 
-Training rows: those with a text and a label that ``usable`` admits; of each label about
-``docs_per_label`` documents, chosen by a hash of the text, and at most ``windows_per_doc`` windows
-of each, spread over the text. That sample is the only bound; prediction covers all data.
+Training rows: those with a text and a label that ``usable`` admits. Every label trains, with its
+first ``docs_per_label`` distinct texts by a hash of the text, and at most ``windows_per_doc`` windows
+of each, spread over the text. Where the labels are so many that this makes over ``most_docs`` texts,
+each has an equal share of these, one text at least. Prediction covers all data.
 
 Nulls and texts without a letter get ``und`` with score 0. Rows with null labels are predicted like
 any other. Ties go to the label that sorts first. Without any training row every text is ``und``.
@@ -20,9 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.llm.common import stored
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 20
@@ -125,17 +128,24 @@ class Network:
                     self.w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def fit(docs: DataFrame, usable: Column, docs_per_label: int = 1000, windows_per_doc: int = 4, most_labels: int = 200) -> Network | None:
-    """Train on labelled rows; the sample holds at most about docs_per_label x windows_per_doc windows of each label."""
+def fit(docs: DataFrame, usable: Column, docs_per_label: int = 1000, windows_per_doc: int = 4, most_docs: int = 200_000) -> Network | None:
+    """Train on labelled rows; the sample holds at most ``docs_per_label`` x ``windows_per_doc`` windows of each label."""
     import numpy as np
 
-    labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), usable.alias("_use")).where("_use and text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_labels).collect()
-    if not sizes:
+    labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), usable.alias("_use")).where("_use and text <> '' and lang is not null")
+    labelled = labelled.withColumn("_h", F.xxhash64("text"))
+    known = stored(labelled.select("lang", "_h").distinct(), "label-texts")
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("_n")), "labels")
+    n_labels = sizes.count()
+    if not n_labels:
         return None
+    most = min(docs_per_label, max(1, most_docs // n_labels))
+    # a share that surely holds ``most`` of each label, so that no label's rank needs all its rows
     span = 1 << 30
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(span, int(span * docs_per_label / r["_n"]) + 1))])
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(span)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    near = known.join(sizes, "lang").where(F.pmod("_h", F.lit(span)) <= F.lit(span) * (2.0 * most + 100) / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    picked = near.withColumn("_rank", rank).where(F.col("_rank") <= most).select("lang", "_h")
+    chosen = labelled.join(picked, ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
     def cut(parts: Iterator) -> Iterator:
         import pyarrow as pa
@@ -155,7 +165,8 @@ def fit(docs: DataFrame, usable: Column, docs_per_label: int = 1000, windows_per
     labels = sorted({lang for lang, _ in sample})
     number = {lang: i for i, lang in enumerate(labels)}
     net = Network(labels)
-    net.train(np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(-1, WINDOW), np.array([number[lang] for lang, _ in sample]))
+    epochs = max(6, 100 // -(-len(sample) // 64))  # of a small sample as many as make a hundred steps
+    net.train(np.frombuffer(b"".join(b for _, b in sample), np.uint8).reshape(-1, WINDOW), np.array([number[lang] for lang, _ in sample]), epochs=epochs)
     return net
 
 
