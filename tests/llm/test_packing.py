@@ -14,7 +14,6 @@ def plain_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file(BYTE_BPE))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 

@@ -7,7 +7,8 @@ of each piece from its rank among pieces of the same length. Ranks are counted i
 that a length that a third of all pieces share is spread over many tasks.
 
 Nulls: a null text is an empty one, which still has its end token. An empty table gives no rows.
-Repeated rows are packed once each. Further columns of the input are left out.
+Repeated rows are packed once each; pieces of equal length are placed in the order of doc_id and
+piece. A very long text is cut into as many pieces as it takes. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -33,26 +34,29 @@ def token_pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = 204
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def cut(parts: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+
         from tradelens.llm.tokens import batches, encoder
 
-        words, tail = encoder(tokenizer, "byte"), end_id.to_bytes(4, "little")
+        words = encoder(tokenizer, "byte")
         for part in parts:
-            names, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
+            names, texts = part.column(0), part.column(1)
             for lo, hi in batches(texts):
-                rows: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(names.slice(lo, hi - lo).to_pylist(), words.encode(texts[lo:hi])):
-                    ids += tail
-                    total = len(ids) // 4
-                    edges = [0, *range((total - 1) % capacity + 1, total + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        body = ids[4 * a : 4 * b]
-                        for column, value in zip(rows, (doc, k, a, b - a, zlib.crc32(body), body)):
-                            column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                labels = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 6 if with_ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows[:n], kinds)], labels[:n])
+                ids, ends = words.encode(texts.slice(lo, hi - lo), end_id)
+                total = np.diff(ends, prepend=0)
+                n = (total - 1) // capacity + 1
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = (total - 1) % capacity + 1
+                start = np.where(piece, first[doc] + (piece - 1) * capacity, 0)
+                length = np.where(piece, capacity, first[doc])
+                at, raw = (ends - total)[doc] + start, memoryview(ids.astype("<u4").tobytes())
+                bodies = [raw[4 * a : 4 * (a + k)] for a, k in zip(at.tolist(), length.tolist())]
+                rows = [names.slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in bodies], pa.int64())]
+                if with_ids:
+                    rows.append(pa.array([bytes(x) for x in bodies], pa.binary()))
+                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(rows)])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
