@@ -1,9 +1,11 @@
 """Token ids in Re-Pair compressed shards, with random access.
 
 Documents are range-partitioned by doc_id and sorted, each task cuts its ids into shards of about
-``shard_tokens`` ids, and each shard is compressed by itself: in rounds, its most frequent pairs of
-neighbouring symbols are replaced by nonterminals until none is frequent enough. Shards are written
-as rows of a table in the shared folder, so Spark's commit protocol makes a lost executor harmless.
+``shard_tokens`` ids, and each shard is compressed by itself: pairs of neighbouring symbols are
+replaced by nonterminals, the most frequent of overlapping pairs first, until none occurs
+``min_count`` times. Counts are taken anew after each pass over the shard, not after each rule. Shards
+are written as rows of a table in the shared folder, so Spark's commit protocol makes a lost executor
+harmless.
 
 A shard is a byte string::
 
@@ -15,7 +17,8 @@ A pair never spans two documents, so a document is a run of symbols: its place i
 within it the expansion lengths give the symbol that holds any id.
 
 Nulls: a null text is an empty one and has only its end id; a null doc_id comes first. Rows with the
-same doc_id stand side by side. An empty table gives no shards. Further columns are left out.
+same doc_id stand side by side in the order of the input, and may be in several shards. A very long
+text is one document of one shard. An empty table gives no shards. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -35,57 +38,99 @@ HEAD = "<4sIIQQ"
 FIRST_NONTERMINAL = 1 << 18
 
 
-def compress(ids, doc_ends, min_count: int = 16, rules_per_round: int = 4096, rounds: int = 8):
+def _numbered(pair):
+    """A number below len(number_of) for each pair, alike for equal pairs only; and the pair of each number."""
+    import numpy as np
+
+    bits = max(10, min(22, len(pair).bit_length()))
+    number, todo, holders = np.empty(len(pair), np.int64), np.arange(len(pair)), []
+    for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):  # a cell of the table stands for the pair that holds it
+        own = pair[todo]
+        cell = ((own.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+        holder = np.zeros(1 << bits, np.int64)
+        holder[cell] = own
+        fits = holder[cell] == own
+        number[todo[fits]] = cell[fits] + (k << bits)
+        holders.append(holder)
+        todo = todo[~fits]
+    rest, of = np.unique(pair[todo], return_inverse=True)
+    number[todo] = of + (2 << bits)
+    return number, np.concatenate((*holders, rest))
+
+
+def _often(pair, min_count: int):
+    """Which pairs occur ``min_count`` times, and for these the rank of their pair: 0 for the most frequent."""
+    import numpy as np
+
+    number, pair_of = _numbered(pair)
+    count = np.bincount(number, minlength=len(pair_of))
+    found = np.flatnonzero(count >= min_count)
+    rank = np.full(len(pair_of), -1)
+    rank[found[np.lexsort((pair_of[found], -count[found]))]] = np.arange(len(found))
+    rank = rank[number]
+    at = np.flatnonzero(rank >= 0)
+    return at, rank[at]
+
+
+def compress(ids, doc_ends, min_count: int = 16):
     """Symbols, left and right sides, expansion lengths, and the documents' lengths in symbols.
 
     ``doc_ends``: for each document the place after its last id.
     """
     import numpy as np
 
+    if min_count < 2:
+        raise ValueError("a pair is replaced if it occurs twice or more")
     seq = np.array(ids, np.int64)
     last = np.zeros(len(seq), bool)
-    ends = np.asarray(doc_ends, np.int64)
-    last[ends - 1] = True
+    last[np.asarray(doc_ends, np.int64) - 1] = True
     left, right, length = [], [], np.ones(FIRST_NONTERMINAL, np.int64)
     made = FIRST_NONTERMINAL
-    bits = max(10, min(22, len(seq).bit_length()))
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1] << 32) | seq[1:]
-        cell = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        cell = cell.astype(np.int64)
-        inner = ~last[:-1]
-        often = (np.bincount(cell, weights=inner, minlength=1 << bits) >= min_count)[cell] & inner
-        place = np.flatnonzero(often)  # a pair that is frequent is in a cell that is
+    # places at which a pair begins that may be frequent: pairs of old symbols never become more
+    place = np.flatnonzero(~last)
+    while len(place):
+        pair = (seq[place] << 32) | seq[place + 1]
+        at, rank = _often(pair, min_count)
+        place, pair = place[at], pair[at]
         if not len(place):
             break
-        found, count = np.unique(pair[place], return_counts=True)
-        found, count = found[count >= min_count], count[count >= min_count]
-        if not len(found):
-            break
-        if len(found) > rules_per_round:
-            found = np.sort(found[np.lexsort((found, -count))[:rules_per_round]])
-        at = np.searchsorted(found, pair[place])
-        at[at == len(found)] = 0
-        hit = found[at] == pair[place]
-        place, at = place[hit], at[hit]
-        # neighbours overlap: from the start of a run, every other pair is taken
-        run = np.flatnonzero(np.concatenate(([True], np.diff(place) != 1)))
-        start = np.repeat(place[run], np.diff(np.append(run, len(place))))
-        take = (place - start) % 2 == 0
-        place, at = place[take], at[take]
-        used, at = np.unique(at, return_inverse=True)
-        found = found[used]
-        left.append(found >> 32)
-        right.append(found & 0xFFFFFFFF)
+        # a run of one symbol: from its start, every other pair
+        same = np.concatenate(([False], (np.diff(place) == 1) & (np.diff(pair) == 0)))
+        begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))
+        free = np.flatnonzero((np.arange(len(place)) - begin) % 2 == 0)
+        # of pairs that overlap, the more frequent one
+        p, r = place[free], rank[free]
+        over = np.diff(p) == 1
+        wins = np.ones(len(p), bool)
+        wins[1:] &= ~over | (r[1:] < r[:-1])
+        wins[:-1] &= ~over | (r[:-1] < r[1:])
+        taken, r = p[wins], r[wins]
+        many = np.bincount(r, minlength=rank.max() + 1) >= 2  # the most frequent pair always is
+        many[rank.min()] = True
+        taken, r = taken[many[r]], r[many[r]]
+        _, first, rule = np.unique(r, return_index=True, return_inverse=True)
+        left.append(seq[taken[first]])
+        right.append(seq[taken[first] + 1])
         length = np.concatenate((length, length[left[-1]] + length[right[-1]]))
-        seq[place] = made + at
-        made += len(found)
-        last[place] = last[place + 1]
-        keep = np.ones(len(seq), bool)
-        keep[place + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq[taken] = made + rule
+        made += len(first)
+        last[taken] = last[taken + 1]
+        gone = taken + 1
+        new = taken - np.arange(len(taken))  # so many were taken, and so removed, before it
+        # where a pair to count begins after the change: the old places that are left, and both sides of what is new
+        if 20 * len(place) > len(seq):
+            keep, fresh = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+            keep[gone] = False
+            fresh[place] = True
+            seq, last, fresh = seq[keep], last[keep], fresh[keep]
+            fresh[new] = True
+            fresh[np.maximum(new - 1, 0)] = True
+            place = np.flatnonzero(fresh & ~last)
+        else:
+            seq, last = np.delete(seq, gone), np.delete(last, gone)
+            old = np.setdiff1d(place, gone, assume_unique=True)
+            place = np.unique(np.concatenate((old - np.searchsorted(gone, old), new, np.maximum(new - 1, 0))))
+            place = place[~last[place]]
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     symbols = np.diff(np.concatenate(([-1], np.flatnonzero(last))))
     return seq, join(left), join(right), length[FIRST_NONTERMINAL:], symbols
@@ -116,7 +161,7 @@ class Shard:
         self.n_symbols = np.frombuffer(blob, "<u4", docs, at + 4 * docs).astype(np.int64)
         self.seq = np.frombuffer(blob, "<u4", symbols, at + 8 * docs)
 
-    def expand(self, symbols):
+    def _unrolled(self, symbols):
         """Replace nonterminals by their two sides until none is left."""
         import numpy as np
 
@@ -133,6 +178,20 @@ class Shard:
             seq = out
         return seq
 
+    def expand(self, symbols):
+        """The ids that symbols stand for; each rule among them is unrolled once."""
+        import numpy as np
+
+        seq = np.asarray(symbols, np.int64)
+        is_rule = seq >= self.first
+        used, of = np.unique(seq[is_rule], return_inverse=True)
+        length = self.rules[used - self.first, 2]
+        source = np.concatenate((self._unrolled(used), seq))
+        size, start = np.ones(len(seq), np.int64), np.arange(len(seq)) + length.sum()
+        size[is_rule], start[is_rule] = length[of], (np.cumsum(length) - length)[of]
+        stop = np.cumsum(size)
+        return source[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+
     def document(self, k: int, start: int = 0, stop: int | None = None):
         """Ids of document k, or of a part of it: only the symbols that hold the part are expanded."""
         import numpy as np
@@ -162,59 +221,75 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
 
         from tradelens.llm.tokens import batches, encoder
 
-        words, tail = encoder(tokenizer, "word"), end_id.to_bytes(4, "little")
+        words = encoder(tokenizer, "word")
         number = TaskContext.get().partitionId() << 32
-        names: list = []
-        held: list[bytes] = []
-        size = 0
+        names, held, sizes, total = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(h) // 4 for h in held])
-            row = [[number], [list(names)], [len(ids)], [to_bytes(ids, ends, **parameters)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "docs", "n_tokens", "body"])
+            ids, size = np.concatenate(held), np.concatenate(sizes)
+            docs = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.concat_arrays(names))
+            row = [pa.array([number]), docs, pa.array([len(ids)]), pa.array([to_bytes(ids, np.cumsum(size), **parameters)], pa.binary())]
+            names.clear(), held.clear(), sizes.clear()
+            return pa.RecordBatch.from_arrays(row, ["shard", "docs", "n_tokens", "body"])
 
         for part in parts:
-            own, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            own, texts = part.column(0), part.column(1)
             for lo, hi in batches(texts):
-                for doc, ids in zip(own[lo:hi], words.encode(texts[lo:hi])):
-                    names.append(doc)
-                    held.append(ids + tail)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_tokens:
+                ids, ends = words.encode(texts.slice(lo, hi - lo), end_id)
+                size, done, at = np.diff(ends, prepend=0), 0, 0
+                while done < len(size):  # whole documents, until the shard is full
+                    stop = min(len(size), done + 1 + int(np.searchsorted(ends[done:], at + shard_tokens - total, side="left")))
+                    names.append(own.slice(lo + done, stop - done))
+                    held.append(ids[at : ends[stop - 1]])
+                    sizes.append(size[done:stop])
+                    total += int(ends[stop - 1]) - at
+                    done, at = stop, int(ends[stop - 1])
+                    if total >= shard_tokens:
                         yield close()
-                        number, size = number + 1, 0
-                        names.clear()
-                        held.clear()
+                        number, total = number + 1, 0
         if held:
             yield close()
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = given.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(work, SHARDS).write.option("compression", "zstd").parquet(path)
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("_n"))
+    # rows with one id (as all without an id) may fill many ranges
+    ordered = given.repartitionByRange("doc_id", "_n").sortWithinPartitions("doc_id", "_n")
+    ordered.select("doc_id", "text").mapInArrow(work, SHARDS).write.option("compression", "zstd").parquet(path)
+
+
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """shard and start: the number of ids before it. A sum per writing task, then one inside each."""
+    sizes = shards.select("shard", "n_tokens", F.shiftright("shard", 32).alias("_task"))
+    tasks = sizes.groupBy("_task").agg(F.sum("n_tokens").alias("_n"))  # one row for each task that wrote shards
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(tasks, "_task").select("shard", (F.col("_before") + F.col("_in")).alias("shard_start"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from its shard."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from its shard.
+
+    Shards are decoded where they are read; only the documents' figures meet the shards' starts.
+    """
     shards = spark.read.schema(SHARDS).parquet(path)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
 
     def work(parts: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for part in parts:
-            for docs, body, start in zip(*(part.column(c) for c in ("docs", "body", "start"))):
+            for number, docs, body in zip(*(part.column(c) for c in ("shard", "docs", "body"))):
                 shard = Shard(body.as_py())
                 ids = shard.expand(shard.seq).astype("<u4")
                 ends = np.cumsum(shard.n_ids)
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), shard.n_ids.tolist())]
-                yield pa.RecordBatch.from_arrays([docs.values.cast(pa.int64()), pa.array(start.as_py() + ends - shard.n_ids), pa.array(shard.n_ids), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                rows = [pa.array(np.full(len(ends), number.as_py(), np.int64)), docs.values.cast(pa.int64()), pa.array(ends - shard.n_ids), pa.array(shard.n_ids), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(rows, ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(starts, "shard").select("docs", "body", "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = shards.select("shard", "docs", "body").mapInArrow(work, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    start = F.col("shard_start") + F.col("start")
+    return found.join(shard_starts(shards), "shard").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_documents(docs: DataFrame, **parameters) -> DataFrame:
