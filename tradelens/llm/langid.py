@@ -30,7 +30,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 20
 EMBEDDING = 12
-LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
 
 
 def windows_of(text: str):
@@ -46,6 +46,11 @@ def windows_of(text: str):
     return rows, size
 
 
+def has_letter(text: str) -> bool:
+    """Is there a letter? Fractions, raised digits and numbers in circles are none."""
+    return any(m[0].isalpha() for m in WORD_CHARACTER.finditer(text))
+
+
 class Network:
     """Parameters as a dict of arrays; ``labels`` in sorted order."""
 
@@ -203,7 +208,7 @@ def predict(docs: DataFrame, net: Network | None, keys: list[Column]) -> DataFra
             waiting = 0
             for i in range(len(texts) if net else 0):
                 text = texts[i].as_py()
-                if text and LETTER.search(text):
+                if text and has_letter(text):
                     rows, weight = windows_of(text)
                     held.append(rows), size.append(weight), of.append(np.full(len(rows), i))
                     waiting += len(rows)
