@@ -2,12 +2,15 @@
 
 Arrivals are appended as small Parquet files that never change. Compaction takes the tiers of
 similarly sized files that have ``fanout`` members or more and rewrites each tier into files of about
-``target_bytes``. Each change is committed by one rename of a new manifest, which lists the files of
-that version; readers see a version whole or not at all, and a failed job leaves only files that no
-manifest lists.
-
-Nulls and further columns are kept as they are; columns that only some arrivals have are null in
-the others. An empty arrival adds a shard without rows. Repeated rows are kept.
+``target_bytes``. Each change is committed by one rename of a new manifest, which lists the files and
+the columns of that version; readers see a version whole or not at all, and a failed job leaves only
+files that no manifest lists. The rename fails where the version is there already. A file system whose
+rename is not atomic (an object store) needs a lock around the writers.
+
+Nulls, very long texts, repeated rows and further columns are kept as they are, whatever the columns
+are called; columns that only some arrivals have are null in the others, and a column keeps the type
+of its first arrival (another type is an error). An empty arrival adds columns, but no rows; an empty
+store is an empty table. The order of rows is not kept.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 class ShardStore:
@@ -37,26 +42,45 @@ class ShardStore:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
-        """{version, shards: [{path, bytes, tier}]}; the latest one if no version is given."""
+        """{version, columns, shards: [{path, bytes, tier}]}; the latest one if no version is given."""
         version = max(self.versions(), default=0) if version is None else version
         if not version:
-            return {"version": 0, "shards": []}
+            return {"version": 0, "columns": StructType([]).jsonValue(), "shards": []}
         stream = self._fs.open(self._path(f"{self.root}/manifests/v{version}.json"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _commit(self, base: int, shards: list[dict]) -> int:
-        """Publish version base + 1. Fails if another writer has published it."""
-        final, draft = f"{self.root}/manifests/v{base + 1}.json", f"{self.root}/manifests/.{uuid.uuid4().hex}"
-        out = self._fs.create(self._path(draft), False)
-        out.write(bytearray(json.dumps({"version": base + 1, "shards": shards}).encode()))
+    def _commit(self, now: dict, columns: dict, shards: list[dict]) -> int:
+        """Publish the version after ``now``. Fails if another writer has published it."""
+        version = now["version"] + 1
+        final, draft = (self._path(f"{self.root}/manifests/{name}") for name in (f"v{version}.json", f".{uuid.uuid4().hex}"))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps({"version": version, "columns": columns, "shards": shards}).encode()))
         out.close()
-        if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(draft), self._path(final)):
-            self._fs.delete(self._path(draft), False)
-            raise RuntimeError(f"version {base + 1} was committed by another writer")
-        return base + 1
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        try:  # without an option to overwrite, the rename is the test
+            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as error:
+            self._fs.delete(draft, False)
+            if not self._fs.exists(final):
+                raise
+            raise RuntimeError(f"version {version} was committed by another writer") from error
+        return version
+
+    @staticmethod
+    def _with_columns_of(columns: dict, df: DataFrame) -> dict:
+        """The columns of a manifest and those that ``df`` adds, all nullable."""
+        known = StructType.fromJson(columns)
+        for f in df.schema.fields:
+            if f.name not in known.names:
+                known = StructType([*known.fields, StructField(f.name, f.dataType, True)])
+            elif known[f.name].dataType != f.dataType:
+                raise ValueError(f"column {f.name} is {known[f.name].dataType.simpleString()} in the store, {f.dataType.simpleString()} in the arrival")
+        return known.jsonValue()
 
     def tier(self, size: int) -> int:
         """Sizes within a factor of ``fanout`` share a tier."""
@@ -79,12 +103,20 @@ class ShardStore:
     def append(self, df: DataFrame) -> int:
         """Add one arrival."""
         now = self.manifest()
-        return self._commit(now["version"], now["shards"] + self._written(df))
+        columns = self._with_columns_of(now["columns"], df)
+        return self._commit(now, columns, now["shards"] + self._written(df))
 
     def append_by(self, df: DataFrame, arrival) -> int:
-        """Add many arrivals in one job and one commit: the rows of each value of ``arrival`` get shards of their own."""
+        """Add many arrivals in one job and one commit: the rows of each value of ``arrival`` get shards of their own.
+
+        Folders are named after a hash of the value, which may be long or null.
+        """
         now = self.manifest()
-        return self._commit(now["version"], now["shards"] + self._written(df.withColumn("_arrival", arrival), "_arrival"))
+        columns = self._with_columns_of(now["columns"], df)
+        name = "_arrival"
+        while name.lower() in (c.lower() for c in df.columns):
+            name += "_"
+        return self._commit(now, columns, now["shards"] + self._written(df.withColumn(name, F.hex(F.xxhash64(arrival))), name))
 
     def compact(self) -> int:
         """Merge tiers until none has ``fanout`` shards below the target size. The version that results."""
@@ -99,17 +131,21 @@ class ShardStore:
                 return now["version"]
             run = tiers[ready[0]]
             files = max(1, round(sum(s["bytes"] for s in run) / self.target_bytes))
-            merged = self._written(self._read(run).coalesce(files))
+            merged = self._written(self._read(run, now["columns"]).coalesce(files))
             gone = {s["path"] for s in run}
-            self._commit(now["version"], [s for s in now["shards"] if s["path"] not in gone] + merged)
+            version = self._commit(now, now["columns"], [s for s in now["shards"] if s["path"] not in gone] + merged)
             if len(merged) >= len(run):  # files that cannot be joined further
-                return now["version"] + 1
+                return version
 
-    def _read(self, shards: list[dict]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(*[s["path"] for s in shards])
+    def _read(self, shards: list[dict], columns: dict) -> DataFrame:
+        schema = StructType.fromJson(columns)
+        if not shards:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[s["path"] for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self._read(self.manifest(version)["shards"])
+        found = self.manifest(version)
+        return self._read(found["shards"], found["columns"])
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete files that none of the last ``keep`` manifests lists; the number of files deleted."""
