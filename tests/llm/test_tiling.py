@@ -31,8 +31,8 @@ def test_tiles_are_greedy():
         pairs = [(i, j) for i in range(len(item) - k + 1) for j in range(len(doc) - k + 1) if (item[i : i + k] == doc[j : j + k]).all()]
         if pairs:
             i, j = np.array(pairs).T
-            found = tiling.tiles(item, doc, (i, j), k)
-            assert found[0][0] == max(greedy(item.tolist(), doc.tolist(), k))
+            found = tiling.tiles(item, doc, tiling.runs_of(np.zeros(len(i), np.int64), i, j)[1:], k)
+            assert [n for n, _, _ in found] == greedy(item.tolist(), doc.tolist(), k)
             for n, a, b in found:
                 assert (item[a : a + n] == doc[b : b + n]).all() and n >= k
             assert len({x for n, a, _ in found for x in range(a, a + n)}) == sum(n for n, _, _ in found)
@@ -59,6 +59,16 @@ def test_verdicts(spark):
     assert set(verdicts(spark, docs, items[:0] or [(1, None)]).values()) == {(False, None)}
 
 
+def test_repeated_seeds_and_clashing_columns(spark, monkeypatch):
+    rows = [(1, "spam " * 60), (2, "clean " * 5)]
+    want = tiling.Items(rows, 4).best("x " + "spam " * 3000 + "y", 0.5)
+    monkeypatch.setattr(tiling, "SEEDS_AT_ONCE", 100)
+    assert tiling.Items(rows, 4).best("x " + "spam " * 3000 + "y", 0.5) == want == (1.0, 1, 1)
+    df = spark.createDataFrame([(1, "spam " * 60, "a", "b")], DOCS)
+    got = tiling.contaminated(df, spark.createDataFrame(rows, "item_id long, text string"), carry=("item_id", "coverage", "text")).collect()
+    assert [r.asDict() for r in got] == [{"doc_id": 1, "contaminated": True, "item_id": 1, "coverage": 1.0, "n_tiles": 1, "carried_item_id": "a", "carried_coverage": "b", "text": "spam " * 60}]
+
+
 def test_whole_table(spark):
     from tradelens.llm.common import read
 

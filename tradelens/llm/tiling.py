@@ -13,7 +13,9 @@ documents hold costs each of them the same.
 Words are lower-cased runs of letters and digits. Nulls: a null text has no words and is clean; an
 item with no words matches nothing; a null item_id is kept as it is. An item shorter than a seed must
 be met whole. Ties go to the least item_id. Repeated rows are judged alike, and an empty table on
-either side gives no contaminated rows.
+either side gives no contaminated rows. Seeds of a very long text are joined into runs
+``SEEDS_AT_ONCE`` at a time, so that one repeated phrase takes no more memory than its runs. A carried
+column that is called like a column of the result comes back as ``carried_`` and its name.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+#: Pairs of places (in an item, in a document) that are held before they are joined into runs.
+SEEDS_AT_ONCE = 2_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,20 +54,30 @@ def rolled(numbers, k: int):
     return out
 
 
-def tiles(item, doc, seeds, k: int) -> list[tuple[int, int, int]]:
+def runs_of(owner, i, j, n=None):
+    """Seeds, or runs of ``n`` seeds, joined where one follows the other on a diagonal: (owner, i, j, n), sorted by owner."""
+    import numpy as np
+
+    n = np.ones(len(i), np.int64) if n is None else n
+    order = np.lexsort((i, j - i, owner))
+    owner, i, j, n = owner[order], i[order], j[order], n[order]
+    if not len(i):
+        return owner, i, j, n
+    new = np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(j - i) != 0) | (i[1:] != i[:-1] + n[:-1])))
+    first = np.flatnonzero(new)
+    return owner[first], i[first], j[first], np.add.reduceat(n, first)
+
+
+def tiles(item, doc, runs, k: int) -> list[tuple[int, int, int]]:
     """(length, place in the item, place in the document), longest first, no word used twice.
 
-    ``seeds``: pairs of places at which the two agree on k words.
+    ``runs``: places at which the two agree (in the item, in the document) and for how many seeds of k words.
     """
     import heapq
 
     import numpy as np
 
-    i, j = seeds
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    breaks = np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1
-    heap = [(-(len(run) + k - 1), int(i[run[0]]), int(j[run[0]])) for run in np.split(np.arange(len(i)), breaks) if len(run)]
+    heap = [(-(n + k - 1), a, b) for a, b, n in zip(*(x.tolist() for x in runs))]
     heapq.heapify(heap)
     used_item, used_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     while heap:
@@ -116,24 +130,29 @@ class Items:
                 continue
             lo = lo[at]
             n = np.searchsorted(value, seen[at], side="right") - lo
-            entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            own, i, j = owner[entry], place[entry], np.repeat(at, n)
-            order = np.argsort(own, kind="stable")
-            own, i, j = own[order], i[order], j[order]
+            found, start, total = [], 0, np.cumsum(n)
+            while start < len(at):  # so many places of the document that their seeds fit
+                before = total[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(total, before + SEEDS_AT_ONCE, side="right")))
+                m, first = n[start:stop], lo[start:stop]
+                entry = np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())
+                found.append(runs_of(owner[entry], place[entry], np.repeat(at[start:stop], m)))
+                start = stop
+            own, i, j, size = runs_of(*map(np.concatenate, zip(*found))) if len(found) > 1 else found[0]
             cuts = np.flatnonzero(np.diff(own)) + 1
             for m, a, b in zip(own[np.concatenate(([0], cuts))].tolist(), np.concatenate(([0], cuts)).tolist(), [*cuts.tolist(), len(own)]):
                 item = self.words[m]
-                reach = np.zeros(len(item) + k, bool)
-                for x in range(k):
-                    reach[i[a:b] + x] = True
-                if reach.sum() < threshold * len(item):  # the seeds together cover too little
+                edge = np.zeros(len(item) + 1, np.int64)
+                np.add.at(edge, i[a:b], 1)
+                np.add.at(edge, i[a:b] + size[a:b] + k - 1, -1)
+                if (np.cumsum(edge)[:-1] > 0).sum() < threshold * len(item):  # the seeds together cover too little
                     continue
-                found = tiles(item, doc, (i[a:b], j[a:b]), k)
-                covered = sum(t[0] for t in found) / len(item)
+                met = tiles(item, doc, (i[a:b], j[a:b], size[a:b]), k)
+                covered = sum(t[0] for t in met) / len(item)
                 if covered >= threshold:
                     key = (covered, self.ids[m] is not None, -(self.ids[m] or 0))
                     if best is None or key > best[0]:
-                        best = key, (covered, self.ids[m], len(found))
+                        best = key, (covered, self.ids[m], len(met))
         return best and best[1]
 
 
@@ -151,8 +170,9 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, threshold: float = 0.5, block_chars: int = 32_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, contaminated, item_id, coverage and n_tiles of every row, and the columns in ``carry``."""
-    spark, fields = docs.sparkSession, docs.select(*carry).schema.fields
-    given = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"), *carry)
+    spark = docs.sparkSession
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("row"))
+    schema = f"doc_id long, contaminated boolean, item_id long, coverage double, n_tiles long, row {given.schema['row'].dataType.simpleString()}"
     out = []
     for rows in _blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(rows)
@@ -162,18 +182,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, thres
 
             items = Items(sent.value, min_tile)
             for part in parts:
-                found = [items.best(t.as_py(), threshold) or (0.0, None, 0) for t in part.column("_text")]
+                found = [items.best(t.as_py(), threshold) or (0.0, None, 0) for t in part.column("text")]
                 own = [pa.array([f[0] >= threshold and f[2] > 0 for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("_doc"), *own, *[part.column(c) for c in carry]], ["_doc", "contaminated", "item_id", "coverage", "n_tiles", *carry])
-
-        kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-        out.append(given.mapInArrow(work, f"_doc long, contaminated boolean, item_id long, coverage double, n_tiles long{kept}"))
-    if len(out) == 1:
-        return out[0].withColumnRenamed("_doc", "doc_id")
-    every = [d.withColumn("_k", F.lit(k)) for k, d in enumerate(out)]
-    # each block gave each row once, in the same order of equal rows: the best verdict of each row stays
-    same = ["_doc", *carry]
-    once = Window.partitionBy(*same, "_k").orderBy(F.desc("coverage"))
-    ranked = reduce(DataFrame.unionByName, every).withColumn("_copy", F.row_number().over(once))
-    best = ranked.groupBy(*same, "_copy").agg(F.max(F.struct("contaminated", "coverage", F.negative("item_id").alias("i"), "n_tiles")).alias("b"))
-    return best.select(F.col("_doc").alias("doc_id"), "b.contaminated", F.negative("b.i").alias("item_id"), "b.coverage", "b.n_tiles", *carry)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, part.column("row")], ["doc_id", "contaminated", "item_id", "coverage", "n_tiles", "row"])
+
+        out.append(given.mapInArrow(work, schema))
+    best = out[0]
+    if len(out) > 1:
+        every = [d.withColumn("_k", F.lit(k)) for k, d in enumerate(out)]
+        # each block gave each row once, in the same order of equal rows: the best verdict of each row stays
+        once = Window.partitionBy("doc_id", "row", "_k").orderBy(F.desc("coverage"))
+        ranked = reduce(DataFrame.unionByName, every).withColumn("_copy", F.row_number().over(once))
+        best = ranked.groupBy("doc_id", "row", "_copy").agg(F.max(F.struct("contaminated", "coverage", F.negative("item_id").alias("i"), "n_tiles")).alias("b"))
+        best = best.select("doc_id", "b.contaminated", F.negative("b.i").alias("item_id"), "b.coverage", "b.n_tiles", "row")
+    own = ["doc_id", "contaminated", "item_id", "coverage", "n_tiles"]
+    return best.select(*own, *[F.col(f"row.`{c}`").alias(f"carried_{c}" if c.lower() in own else c) for c in carry])
