@@ -147,7 +147,7 @@ def test_late_signal(spark):
 def test_as_of_returns(spark):
     bars = one(spark, "ticker string, date date, close double", ("A", D(2020, 1, 3), 10.0), ("A", D(2020, 1, 4), None), ("A", D(2020, 1, 10), 12.0), ("A", D(2020, 1, 12), 15.0), ("Z", D(2020, 1, 3), 0.0), ("Z", D(2020, 1, 5), 1.0))
     spans = one(spark, "ticker string, start_date date, end_date date", ("A", D(2020, 1, 1), D(2020, 1, 10)), ("A", D(2020, 1, 4), D(2020, 1, 9)), ("A", D(2020, 1, 13), D(2020, 1, 20)), ("B", D(2020, 1, 1), D(2020, 1, 10)), ("Z", D(2020, 1, 1), D(2020, 1, 10)))
-    got = {(r.ticker, r.start_date.day): r.ret and round(r.ret, 6) for r in prices.as_of_returns(spans, bars).collect()}
+    got = {(r.ticker, r.start_date.day): r.ret and round(r.ret, 6) for r in prices.as_of_returns(spans, bars, days=9).collect()}
     assert got == {("A", 1): 20.0, ("A", 4): None, ("A", 13): None, ("B", 1): None, ("Z", 1): None}
 
 
@@ -174,12 +174,50 @@ def test_event_metrics(spark):
     assert event_study.longest_losing_streak(returns(spark, 1.0, -1.0, 0.0, -2.0, 3.0, -1.0)).first()[1] == 3
     assert event_study.longest_losing_streak(returns(spark, 1.0, 1.0)).first()[1] == 0
     assert event_study.risk(returns(spark, -21.0, -20.0, None)).first().pct_loss_gt20 == 50.0
-    strata = event_study.strata(returns(spark, 1.0, 2.0, 3.0))
+    gap = one(spark, RET, *[(t, D(2020, 1, 1), D(2020, 1, 2), 30, v, 60, "small", "BUY") for t, v in (("A", None), ("B", -40.0), ("C", 5.0), ("Z", None))])
+    r = event_study.risk(gap).first()
+    assert (r.worst_ticker, r.best_ticker, r.worst_outcome, r.n_no_benchmark) == ("B", "C", -40.0, 2)
+    strata = event_study.strata(returns(spark, 1.0, 2.0, 3.0)).cache()
     assert all(x.s == 3 for x in strata.groupBy("dimension").agg(F.sum("n").alias("s")).collect())
+    assert strata.count() == 11 and strata.where("n = 0 and avg_return is null").count() == 8
+    pivot = {(x.dimension, x.category): (x.avg_30, x.n_30, x.n_60) for x in event_study.strata_pivot(strata).collect()}
+    assert pivot["cap_tier", "small"] == (2.0, 3, 0) and pivot["cap_tier", "large"] == (None, 0, 0)
     roll = event_study.rolling_hit_rate(returns(spark, *[1.0] * 20)).collect()
     assert [(x.date.day, x.n) for x in roll] == [(15, 15)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_losing_streak_over_days(spark, seed):
+    """Many trades a day: runs are joined over days as a plain scan joins them."""
+    import random
+
+    rng = random.Random(seed)
+    trades = [(D.fromordinal(D(2020, 1, 1).toordinal() + rng.randrange(12)), f"T{i}", rng.choice([-1.0, -1.0, 0.0, 2.0])) for i in range(40)]
+    best = run = 0
+    for _, _, v in sorted(trades):
+        run = 0 if v > 0 else run + 1
+        best = max(best, run)
+    df = one(spark, RET, *[(t, D(2020, 1, 1), d, 30, v, 60, "small", "BUY") for d, t, v in trades])
+    assert event_study.longest_losing_streak(df).first()[1] == best
+
+
+def test_eligible_by_signal_date(spark):
+    df = one(spark, "ticker string, signal_date date, filed_date date", ("A", D(2020, 1, 1), D(2020, 1, 9)), ("B", D(2020, 1, 2), D(2020, 1, 2)))
+    got = event_study.trades(df, F.lit(D(2020, 2, 3)), horizons=(30,)).collect()
+    assert [(r.ticker, r.start_date) for r in got] == [("A", D(2020, 1, 13))]
+
+
+def test_bonus_steps(spark):
+    df = one(spark, "n int", (2,), (3,), (9,), (None,))
+    assert [r[0] for r in df.select(scoring.step_points({3: 1, 5: 7}, F.col("n"))).collect()] == [0, 1, 7, 0]
+    assert not any(schemas.RULES.cluster_size_points.values()) and not any(schemas.RULES.filing_lag_points.values())
+
+
+def test_lift_ranking(spark):
+    df = one(spark, "horizon int, factor string, lift double", (60, "a", None), (60, "b", 0.0), (60, "c", 2.0), (60, "d", -1.0), (90, "e", 9.0))
+    assert [r.factor for r in factors.lift_ranking(df, 60).orderBy("place").collect()] == ["c", "b", "d", "a"]
+
+
 def test_nearest_signal(spark):
     detail = one(spark, "ticker string, start_date date, horizon int, excess double, row_id string", ("T", D(2020, 1, 14), 30, 1.0, "a"), ("T", D(2020, 3, 1), 30, 1.0, "b"))
     sigs = one(spark, "ticker string, signal_date date, score int, breakdown string", ("T", D(2020, 1, 9), 1, "{}"), ("T", D(2020, 1, 11), 2, "{}"), ("T", D(2020, 2, 17), 3, "{}"))

@@ -21,6 +21,13 @@ def test_documents(spark):
     assert (ok.cik, ok.ticker, ok.insider_name, ok.insider_role, ok.role_category, ok.transaction_date) == ("123", "ABC", "Ann", "Director", "director", date(2020, 1, 5))
     assert float(ok.total_value) == 25.0 and ok.is_direct and not ok.is_10b51
     assert plan.price_per_share is None and plan.total_value is None and plan.is_10b51
+    assert ok.acquired_disposed == "A"
+    coding = lambda x: DOC.format(price="1", note="").replace("<transactionCode>P", x + "<transactionCode>P")
+    flagged = [("form", "<transactionFormType>1</transactionFormType>"), ("late", "<transactionTimeliness><value>true</value></transactionTimeliness>"), ("plain", "<transactionTimeliness>1</transactionTimeliness>"), ("four", "<transactionFormType>4</transactionFormType><transactionTimeliness></transactionTimeliness>")]
+    found = documents.parsed(spark.createDataFrame([(n, coding(x).replace("</transactionPricePerShare>", "</transactionPricePerShare><transactionAcquiredDisposedCode><value>D</value></transactionAcquiredDisposedCode>")) for n, x in flagged], "accession_number string, xml string"))
+    assert {r.accession_number: (r.is_10b51, r.acquired_disposed) for r in documents.transactions(found).collect()} == {"form": (True, "D"), "late": (True, "D"), "plain": (True, "D"), "four": (False, "D")}
+    plan = documents.transactions(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
     assert {r.outcome: r.n for r in documents.outcomes(found).collect()}["ok"] == 2
 
 
@@ -40,4 +47,8 @@ def test_readers(spark, tmp_path):
     assert readers.metric_rows(runs, "detail", "ticker:string,excess_return:double").first().excess_return == 1.5
     lst = readers.listing(spark.createDataFrame([("brk.b",), ("ABC",), ("A1",)], "Symbol string")).select("symbol").collect()
     assert sorted(x.symbol for x in lst) == ["ABC", "BRK-B"]
+    screen = spark.createDataFrame([("ABC", "United States", "$1,000"), ("BRK.B", "United States", "5"), ("DEF", "Canada", "5"), ("GHI", "United States", "n/a"), ("abcdef", "United States", "5")], "Symbol string, Country string, marketCap string")
+    assert [(x.symbol, x.market_cap) for x in readers.listing(screen, country="United States").collect()] == [("ABC", 1000.0)]
+    readers.write_universe(spark.createDataFrame([("b",), ("A",), ("b ",), ("",)], "symbol string"), str(tmp_path / "out"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "out")).collect()] == ["A", "B"]
     assert F is not None

@@ -18,8 +18,12 @@ def greedy(df: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Scan each ticker's signals by date and keep those that the last kept one does not suppress.
 
     Whether a row stays depends on the last row that stayed, which no window function expresses: a
-    fold over the ticker's small structs (day, score, rank), joined back on the key.
+    fold over small structs (day, score, rank). A gap of ``cooldown_days`` starts afresh, so each
+    episode between gaps is folded by itself, and a ticker's history is never gathered whole.
     """
+    w = Window.partitionBy("ticker").orderBy(F.unix_date("signal_date"))
+    fresh = F.coalesce(F.date_diff("signal_date", F.lag("signal_date").over(w)) >= rules.cooldown_days, F.lit(True))
+    df_in, df = df, df.select("ticker", "signal_date", "score", "signal_type", F.sum(fresh.cast("int")).over(w).alias("_episode"))
     one = F.struct(F.unix_date("signal_date").alias("day"), F.col("score").cast("int").alias("score"), type_rank(F.col("signal_type")).alias("rank"))
     start = F.struct(F.expr("array()").cast("array<int>").alias("kept"), F.lit(-1_000_000).alias("day"), F.lit(0).alias("score"), F.lit(0).alias("rank"))
 
@@ -27,8 +31,8 @@ def greedy(df: DataFrame, rules: Rules = RULES) -> DataFrame:
         stays = ~suppressed(x.day - acc.day, x.score, x.rank, acc.score, acc.rank, rules)
         return F.when(stays, F.struct(F.concat(acc.kept, F.array(x.day)).alias("kept"), x.day.alias("day"), x.score.alias("score"), x.rank.alias("rank"))).otherwise(acc)
 
-    kept = df.groupBy("ticker").agg(F.array_sort(F.collect_list(one)).alias("_all")).select("ticker", F.explode(F.aggregate("_all", start, step, lambda a: a.kept)).alias("_day"))
-    return df.join(kept.withColumn("signal_date", F.date_from_unix_date("_day")).drop("_day"), ["ticker", "signal_date"], "left_semi")
+    kept = df.groupBy("ticker", "_episode").agg(F.array_sort(F.collect_list(one)).alias("_all")).select("ticker", F.explode(F.aggregate("_all", start, step, lambda a: a.kept)).alias("_day"))
+    return df_in.join(kept.withColumn("signal_date", F.date_from_unix_date("_day")).drop("_day"), ["ticker", "signal_date"], "left_semi")
 
 
 def _best_neighbour(df: DataFrame, lo: int, hi: int) -> Column:

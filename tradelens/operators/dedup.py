@@ -27,9 +27,12 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 
 def in_universe(df: DataFrame, universe: DataFrame | None, ticker: str = "ticker") -> DataFrame:
     """Rows whose ticker is listed; no universe lets everything through."""
-    if universe is None or universe.isEmpty():
+    if universe is None:
         return df
-    return df.join(universe.select(F.col(universe.columns[0]).alias(ticker)).distinct(), ticker, "left_semi")
+    listed = universe.select(F.col(universe.columns[0]).alias(ticker)).distinct()
+    some = listed.agg(F.count("*").alias("_listed")).withColumn("_one", F.lit(1))  # one row: an empty universe lets everything through as well
+    marked = df.join(listed.withColumn("_in", F.lit(True)), ticker, "left").withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one")
+    return marked.where(F.col("_in") | (F.col("_listed") == 0)).select(*df.columns)
 
 
 def high_water_mark(stored: DataFrame, column: str) -> DataFrame:

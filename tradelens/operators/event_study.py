@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tradelens.operators.prices import as_of_returns
 
 HORIZONS = (30, 60, 90, 180)
-BANDS = [("<35", -(10**6), 35), ("35-49", 35, 50), ("50-64", 50, 65), ("65-74", 65, 75), ("75-84", 75, 85), ("85+", 85, 10**6)]
+# The categories of each dimension.
+BANDS = [("35-49", 35, 50), ("50-64", 50, 65), ("65-74", 65, 75), ("75-84", 75, 85), ("85+", 85, 10**6)]
+CATEGORIES = {"score_band": [b for b, _, _ in BANDS], "cap_tier": ["small", "mid", "large", "unknown"], "signal_type": ["CLUSTER_BUY", "BUY"]}
 
 
 def selected(signals: DataFrame, threshold: int = 60, types: tuple[str, ...] = ("BUY", "CLUSTER_BUY")) -> DataFrame:
@@ -20,10 +22,10 @@ def weak_clusters(signals: DataFrame, threshold: int = 60) -> DataFrame:
 
 
 def trades(signals: DataFrame, as_of: Column, horizons: tuple[int, ...] = HORIZONS, lag: int = 3) -> DataFrame:
-    """Each signal at each horizon whose exit is not after ``as_of``: start_date, end_date."""
+    """Each signal at each horizon that it is old enough for on ``as_of`` (the horizon and the lag): start_date, end_date."""
     out = signals.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     start = F.coalesce(F.date_add("filed_date", lag + 1), F.date_add("signal_date", lag))
-    return out.withColumn("start_date", start).withColumn("end_date", F.date_add("start_date", F.col("horizon"))).where(F.col("end_date") <= as_of)
+    return out.withColumn("start_date", start).withColumn("end_date", F.date_add("start_date", F.col("horizon"))).where(F.date_add("signal_date", F.col("horizon") + lag) <= as_of)
 
 
 def excess_returns(entered: DataFrame, bars: DataFrame, benchmark: DataFrame, missing: float | None = -50.0, longest: int = 180, digits: int | None = 2) -> DataFrame:
@@ -69,14 +71,35 @@ def band(score: Column) -> Column:
 
 
 def strata(returns: DataFrame) -> DataFrame:
-    """Metrics per horizon by score band, cap tier and signal type: all three in one pass."""
+    """Metrics per horizon by score band, cap tier and signal type, all three in one pass.
+
+    Every category of ``CATEGORIES`` has a row at each horizon, with null metrics and n = 0 if it is empty.
+    """
     rows = returns.where("excess IS NOT NULL").select("horizon", "excess", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("category")) for d, c in (("score_band", band(F.col("score"))), ("cap_tier", F.coalesce("cap_tier", F.lit("unknown"))), ("signal_type", F.col("signal_type")))])).alias("s"))
-    return rows.groupBy("horizon", "s.dimension", "s.category").agg(*metrics())
+    found = rows.where("s.category IS NOT NULL").groupBy("horizon", "s.dimension", "s.category").agg(*metrics())
+    fixed = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(c).alias("category")) for d, own in CATEGORIES.items() for c in own])
+    every = returns.where("excess IS NOT NULL").select("horizon").distinct().select("horizon", F.explode(fixed).alias("c")).select("horizon", "c.*")
+    return every.join(found, ["horizon", "dimension", "category"], "left").na.fill(0, ["n"])
+
+
+def strata_pivot(strata: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """One row per category: the mean return and the number of trades at each horizon, side by side."""
+    at = lambda h, c: F.max(F.when(F.col("horizon") == h, F.col(c)))
+    cells = [x for h in horizons for x in (at(h, "avg_return").alias(f"avg_{h}"), F.coalesce(at(h, "n"), F.lit(0)).alias(f"n_{h}"))]
+    return strata.groupBy("dimension", "category").agg(*cells)
+
+
+def report_rows(summary: DataFrame, risk: DataFrame) -> DataFrame:
+    """Per horizon: the hit rate and how far it is from a coin's, the distribution and the risk."""
+    out = summary.join(risk, "horizon")
+    return out.select("horizon", "n", "hit_rate", F.round(F.col("hit_rate") - 50, 1).alias("hit_delta"), "p25_return", "median_return", "p75_return", "max_loss", "max_gain", "sharpe", "pct_loss_gt20", "worst_ticker", "best_ticker")
 
 
 def risk(returns: DataFrame) -> DataFrame:
+    """Share of heavy losses, and the best and worst row; rows without a benchmark are counted and take no part."""
     v = F.col("excess")
-    return returns.groupBy("horizon").agg(F.round(F.avg(F.when(v < -20, 100.0).when(v.isNotNull(), 0.0)), 1).alias("pct_loss_gt20"), F.min(v).alias("worst_outcome"), F.count_if(v.isNull()).alias("n_no_benchmark"), F.max_by("ticker", F.struct("excess", "ticker", "signal_date")).alias("best_ticker"), F.min_by("ticker", F.struct("excess", "ticker", "signal_date")).alias("worst_ticker"))
+    place = F.when(v.isNotNull(), F.struct("excess", "ticker", "signal_date"))
+    return returns.groupBy("horizon").agg(F.round(F.avg(F.when(v < -20, 100.0).when(v.isNotNull(), 0.0)), 1).alias("pct_loss_gt20"), F.min(v).alias("worst_outcome"), F.count_if(v.isNull()).alias("n_no_benchmark"), F.max_by("ticker", place).alias("best_ticker"), F.min_by("ticker", place).alias("worst_ticker"))
 
 
 def rolling_hit_rate(returns: DataFrame, window: int = 90, step: int = 14, least: int = 5) -> DataFrame:
@@ -95,11 +118,26 @@ def rolling_hit_rate(returns: DataFrame, window: int = 90, step: int = 14, least
 
 
 def longest_losing_streak(returns: DataFrame) -> DataFrame:
-    """Most losses (excess of 0 or less) in a row, by entry date, signal date and ticker."""
-    w = Window.partitionBy("horizon").orderBy("start_date", "signal_date", "ticker")
-    island = returns.where("excess IS NOT NULL").withColumn("_island", F.sum((F.col("excess") > 0).cast("int")).over(w))
-    runs = island.groupBy("horizon", "_island").agg(F.count_if(F.col("excess") <= 0).alias("_run"))
-    return runs.groupBy("horizon").agg(F.max("_run").alias("max_consecutive_losses"))
+    """Most losses (excess of 0 or less) in a row, by entry date, signal date and ticker.
+
+    Runs are counted within each (horizon, entry date); of a day only its number of rows, its longest
+    run and the runs at its two ends go on, so the window over a horizon sees days, not trades.
+    """
+    day = ["horizon", "start_date"]
+    rows = returns.where("excess IS NOT NULL").withColumn("_won", (F.col("excess") > 0).cast("int"))
+    w = Window.partitionBy(*day).orderBy("signal_date", "ticker")
+    island = rows.withColumn("_island", F.sum("_won").over(w))
+    runs = island.groupBy(*day, "_island").agg(F.sum(1 - F.col("_won")).alias("run"))
+    days = runs.groupBy(*day).agg(F.max("run").alias("best"), F.min_by("run", "_island").alias("head"), F.max_by("run", "_island").alias("tail"), F.min("_island").alias("lo"), F.max("_island").alias("wins"))
+    # a day without a win is all one run and carries the run before it on
+    days = days.withColumn("head", F.when(F.col("lo") == 0, F.col("head")).otherwise(0))
+    order = Window.partitionBy("horizon").orderBy("start_date")
+    block = F.sum(F.when(F.col("wins") > 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("_block", F.coalesce(block, F.lit(0)))  # days up to and with the next one that has a win
+    joined = days.groupBy("horizon", "_block").agg(F.sum(F.when(F.col("wins") == 0, F.col("best")).otherwise(F.col("head"))).alias("across"), F.max("best").alias("best"), F.max(F.when(F.col("wins") > 0, F.col("tail"))).alias("tail"))
+    before = F.coalesce(F.lag("tail").over(Window.partitionBy("horizon").orderBy("_block")), F.lit(0))
+    joined = joined.withColumn("across", F.col("across") + before)
+    return joined.groupBy("horizon").agg(F.greatest(F.max("across"), F.max("best"), F.max("tail")).alias("max_consecutive_losses"))
 
 
 def coverage(signals: DataFrame, as_of: Column, shortest: int = 30, lag: int = 3) -> DataFrame:

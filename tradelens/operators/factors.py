@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelens.operators.ranges import join_in_days
 
+# Score bands.
 SCORE_BANDS = [(0, 35), (35, 45), (45, 50), (50, 55), (55, 60), (60, 65), (65, 70), (70, 75), (75, 80), (80, 90), (90, 101)]
 
 
@@ -25,13 +26,23 @@ def nearest_signals(detail: DataFrame, signals: DataFrame, offset: int = 4, most
 def factor_lift(matched: DataFrame, factors: list[str]) -> DataFrame:
     """Per horizon and factor: mean excess with and without it. An absent or zero factor is without."""
     points = F.map_filter(F.from_json("matched_breakdown", "map<string,int>"), lambda k, v: v != 0)
-    rows = matched.select("horizon", "excess", F.explode(F.transform(F.array(*[F.lit(f) for f in factors]), lambda f: F.struct(f.alias("factor"), F.coalesce(F.map_contains_key(points, f), F.lit(False)).alias("with")))).alias("f"))
-    out = rows.groupBy("horizon", "f.factor").agg(
-        F.count_if("f.with").alias("n_with"), F.count_if(~F.col("f.with")).alias("n_without"), F.avg(F.when(F.col("f.with"), F.col("excess"))).alias("_w"), F.avg(F.when(~F.col("f.with"), F.col("excess"))).alias("_o")
-    )
+    rows = matched.select("horizon", "excess", points.alias("_points"))
+    sums = []
+    for k, f in enumerate(factors):  # each factor a pair of conditional sums; no row is multiplied
+        has = F.coalesce(F.map_contains_key("_points", f), F.lit(False))
+        sums += [F.count_if(has).alias(f"n{k}"), F.count_if(~has).alias(f"o{k}"), F.avg(F.when(has, F.col("excess"))).alias(f"w{k}"), F.avg(F.when(~has, F.col("excess"))).alias(f"x{k}")]
+    per = [F.struct(F.lit(f).alias("factor"), F.col(f"n{k}").alias("n_with"), F.col(f"o{k}").alias("n_without"), F.col(f"w{k}").alias("_w"), F.col(f"x{k}").alias("_o")) for k, f in enumerate(factors)]
+    out = rows.groupBy("horizon").agg(*sums).select("horizon", F.explode(F.array(*per)).alias("f")).select("horizon", "f.*")
     return out.select("horizon", "factor", "n_with", "n_without", F.round("_w", 6).alias("avg_with"), F.round("_o", 6).alias("avg_without"), F.round(F.col("_w") - F.col("_o"), 6).alias("lift"))
 
 
+def lift_ranking(lift: DataFrame, horizon: int) -> DataFrame:
+    """The factors of one horizon, best lift first and unknown lifts last; a lift of zero is a value like others."""
+    own = lift.where(F.col("horizon") == horizon)
+    w = Window.orderBy(F.desc_nulls_last("lift"), "factor")  # one row for each factor
+    return own.withColumn("place", F.row_number().over(w)).orderBy("place")
+
+
 def score_bands(matched: DataFrame, bands=SCORE_BANDS) -> DataFrame:
     label = F.lit(None).cast("string")
     for lo, hi in bands:
@@ -45,5 +56,5 @@ def weight_advice(lift: DataFrame, weights: dict[str, int], horizons: tuple[int,
 
     by = lift.where(F.col("horizon").isin(*horizons)).groupBy("factor").agg(F.avg("lift").alias("_m"), *[F.max(F.when(F.col("horizon") == h, F.col("lift"))).alias(f"lift_{h}") for h in horizons]).where("_m IS NOT NULL")
     m = F.round("_m", 6)
-    advice = F.when(m > 5, "increase weight").when(m > 2, "weight looks good").when(m > 0, "slight positive, ok").when(m > -2, "neutral/weak").otherwise("negative lift")
+    advice = F.when(m > 5, "raise").when(m > 2, "keep").when(m > 0, "keep, small effect").when(m > -2, "no clear effect").otherwise("lower")
     return by.select("factor", lookup(weights, F.col("factor"), 0).alias("weight"), *[f"lift_{h}" for h in horizons], m.alias("avg_lift"), advice.alias("advice"))

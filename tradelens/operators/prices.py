@@ -9,15 +9,13 @@ from tradelens.functions.columns import cap_tier, market_cap, percent_change
 from tradelens.operators.ranges import join_in_days
 
 
-def as_of_returns(spans: DataFrame, bars: DataFrame, key: str = "ticker", start: str = "start_date", end: str = "end_date", days: int | None = None, slack: int = 7, name: str = "ret") -> DataFrame:
+def as_of_returns(spans: DataFrame, bars: DataFrame, days: int, key: str = "ticker", start: str = "start_date", end: str = "end_date", slack: int = 7, name: str = "ret") -> DataFrame:
     """Add start_close (first close on or after start), end_close (last close on or before end) and the return.
 
     Null unless there are two bars from start to ``slack`` days after end. Bars meet spans on (key,
     bucket of days), so a benchmark series shared by all spans is split over its buckets. ``days`` is
     the length of the longest span.
     """
-    if days is None:
-        days = spans.agg(F.max(F.date_diff(end, start))).first()[0] or 0
     distinct = spans.select(key, start, end).distinct()
     near = join_in_days(distinct, bars.select(F.col(key), F.col("date").alias("_date"), "close").where("close IS NOT NULL"), key, start, "_date", 0, days + slack - 1)
     near = near.where(F.col("_date") < F.date_add(end, slack))
@@ -34,18 +32,24 @@ def trailing_low(bars: DataFrame, key: str = "ticker", days: int = 365) -> DataF
 
 
 def low_at(df: DataFrame, bars: DataFrame, date: str = "transaction_date", key: str = "ticker", days: int = 365) -> DataFrame:
-    """Add ``low_52wk`` up to the row's date. Rows and bars share one ordered window; no range join."""
-    points = df.select(key, F.col(date).alias("date")).distinct().withColumn("close", F.lit(None).cast("double"))
-    both = bars.select(key, "date", "close").unionByName(points)
-    w = Window.partitionBy(key).orderBy(F.unix_date("date")).rangeBetween(-days, 0)
-    lows = both.withColumn("low_52wk", F.min("close").over(w)).groupBy(key, "date").agg(F.min("low_52wk").alias("low_52wk"))
-    return df.join(lows.withColumnRenamed("date", date), [key, date], "left")
+    """Add ``low_52wk`` up to the row's date.
+
+    Rows and bars share one ordered window; no range join. The window is that of a (key, year), with
+    each bar laid into its own year and the next, so that a long series is spread over its years.
+    """
+    year = F.floor(F.unix_date("date") / (days + 1))
+    points = df.select(key, F.col(date).alias("date")).distinct().withColumn("close", F.lit(None).cast("double")).withColumn("_year", year).withColumn("_point", F.lit(True))
+    both = bars.select(key, "date", "close", F.explode(F.array(year, year + 1)).alias("_year"), F.lit(False).alias("_point")).unionByName(points)
+    w = Window.partitionBy(key, "_year").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
+    lows = both.withColumn("low_52wk", F.min("close").over(w)).where("_point").select(key, F.col("date").alias(date), "low_52wk")
+    return df.join(lows, [key, date], "left")
 
 
 def quotes(bars: DataFrame, key: str = "ticker", days: int = 365) -> DataFrame:
     """Latest close and trailing low per series."""
-    w = Window.partitionBy(key)
-    recent = bars.where("close IS NOT NULL").withColumn("_last", F.max("date").over(w)).where(F.col("date") >= F.date_sub("_last", days))
+    known = bars.where("close IS NOT NULL")
+    last = known.groupBy(key).agg(F.max("date").alias("_last"))
+    recent = known.join(last, key).where(F.col("date") >= F.date_sub("_last", days))
     return recent.groupBy(key).agg(F.max_by("close", "date").alias("current_price"), F.min("close").alias("low_52wk"), F.max("date").alias("quote_date"))
 
 

@@ -51,6 +51,14 @@ def signal_class(score: Column, cluster: Column, average: Column, tight: Column,
     return F.when(cluster, F.when(strong, "CLUSTER_BUY").otherwise("WATCH")).when(score >= rules.buy, "BUY").when(score >= rules.watch, "WATCH").otherwise("LOW")
 
 
+def step_points(points: dict[int, int], value: Column) -> Column:
+    """The points of the greatest step that ``value`` reaches; 0 below the first and for null."""
+    out = F.lit(0)
+    for step, n in sorted(points.items()):
+        out = F.when(value >= step, F.lit(n)).otherwise(out)
+    return out
+
+
 def signals(items: DataFrame, scored: DataFrame, clusters: DataFrame, order: list, rules: Rules = RULES) -> DataFrame:
     """One signal per (ticker, as_of): best score of the scoring window, cluster flags, class and date.
 
@@ -71,6 +79,8 @@ def signals(items: DataFrame, scored: DataFrame, clusters: DataFrame, order: lis
         F.count("*").alias("n_purchases"),
     )
     out = out.join(clusters, ["ticker", "as_of"], "left").na.fill(False, ["is_cluster", "executive_cluster", "tight_cluster"]).na.fill(0, ["insider_count"])
+    bonus = step_points(rules.cluster_size_points, F.col("insider_count")) + step_points(rules.filing_lag_points, F.col("min_lag"))
+    out = out.withColumn("score", F.least(F.col("score") + F.when(F.col("score") > 0, bonus).otherwise(0), F.lit(100)))
     kind = signal_class(F.col("score"), F.col("is_cluster"), F.coalesce("_average", "score"), F.col("tight_cluster"), rules)
     out = out.withColumn("signal_type", kind)
     watched = F.when((F.col("signal_type") == "CLUSTER_BUY") & (F.col("cap_tier") == "large"), "WATCH").otherwise(F.col("signal_type"))

@@ -91,7 +91,7 @@ SIGNALS = SCORED + _SIGNALS
 def _study(pick: str, bench: str = "bench", missing: str = "-50.0", excess: str = "round({x}, 2)") -> str:
     return f""",
 chosen AS (SELECT * FROM signals WHERE {pick}),
-entered AS (SELECT c.*, h.horizon, c.as_of + 4 AS start_date, c.as_of + 4 + h.horizon AS end_date FROM chosen c, (VALUES (30), (60), (90), (180)) h(horizon) WHERE c.as_of + 4 + h.horizon <= DATE '1998-12-31'),
+entered AS (SELECT c.*, h.horizon, c.as_of + 4 AS start_date, c.as_of + 4 + h.horizon AS end_date FROM chosen c, (VALUES (30), (60), (90), (180)) h(horizon) WHERE c.signal_date + h.horizon + 3 <= DATE '1998-12-31'),
 spans AS (SELECT DISTINCT ticker, start_date, end_date FROM entered),
 own AS (
   SELECT s.ticker, s.start_date, s.end_date, count(*) AS n, arg_min(b.close, b.date) AS s0, arg_max(b.close, b.date) FILTER (b.date <= s.end_date) AS s1
@@ -109,10 +109,22 @@ raw AS (
 study AS (SELECT *, {excess.format(x="(ret - bench_ret)")} AS excess FROM raw)"""
 
 
+#: Signals as of one day, from what was filed by then.
+LIVE = SIGNALS.replace("FROM lineitem JOIN orders ON l_orderkey = o_orderkey\n)", "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) + CAST(l_orderkey % 5 AS INTEGER) <= DATE '1997-06-30'\n)", 1).replace(
+    "SELECT DISTINCT ticker, filed_date AS as_of FROM tx WHERE", "SELECT DISTINCT ticker, DATE '1997-06-30' AS as_of FROM tx WHERE filed_date >= DATE '1997-06-23' AND", 1
+)
 SELECTED = "(score >= 60 OR cluster_flag) AND signal_type IN ('BUY', 'CLUSTER_BUY')"
 STUDY = SIGNALS + _study(SELECTED)
 METRICS = """count(excess) AS n, round(avg(CASE WHEN excess > 0 THEN 100.0 ELSE 0.0 END), 1) AS hit_rate, round(avg(excess), 2) AS avg_return,
   round(quantile_cont(excess, 0.5), 4) AS median_return, round(quantile_cont(excess, 0.25), 4) AS p25_return, round(quantile_cont(excess, 0.75), 4) AS p75_return, min(excess) AS max_loss, max(excess) AS max_gain"""
+STRATA = f"""{STUDY}, st AS (
+  SELECT horizon, excess, 'score_band' AS dimension, CASE WHEN score < 35 THEN NULL WHEN score < 50 THEN '35-49' WHEN score < 65 THEN '50-64' WHEN score < 75 THEN '65-74' WHEN score < 85 THEN '75-84' ELSE '85+' END AS category FROM study
+  UNION ALL SELECT horizon, excess, 'cap_tier', cap_tier FROM study UNION ALL SELECT horizon, excess, 'signal_type', signal_type FROM study),
+fixed(dimension, category) AS (VALUES ('score_band', '35-49'), ('score_band', '50-64'), ('score_band', '65-74'), ('score_band', '75-84'), ('score_band', '85+'), ('cap_tier', 'small'), ('cap_tier', 'mid'), ('cap_tier', 'large'), ('cap_tier', 'unknown'), ('signal_type', 'CLUSTER_BUY'), ('signal_type', 'BUY')),
+grouped_st AS (SELECT horizon, dimension, category, {METRICS} FROM st WHERE excess IS NOT NULL GROUP BY horizon, dimension, category),
+strata AS (
+  SELECT h.horizon, f.dimension, f.category, coalesce(g.n, 0) AS n, hit_rate, avg_return, median_return, p25_return, p75_return, max_loss, max_gain
+  FROM (SELECT DISTINCT horizon FROM study WHERE excess IS NOT NULL) h CROSS JOIN fixed f LEFT JOIN grouped_st g ON g.horizon = h.horizon AND g.dimension = f.dimension AND g.category = f.category)"""
 CONVICTION = "CASE WHEN signal_type = 'CLUSTER_BUY' THEN CASE WHEN tight_cluster AND executive_cluster THEN 'PRIME' WHEN tight_cluster OR executive_cluster THEN 'STRONG' ELSE 'CLUSTER' END WHEN score >= 70 THEN 'HIGH' ELSE 'BUY' END"
 _FACTORS = [
     ("cap_large", "FALSE"), ("cap_mid", "FALSE"), ("cap_small", "s.cap_tier = 'small'"), ("cap_unknown", "s.cap_tier = 'unknown'"), ("first_purchase_12mo", "s.b_timing = 'first_purchase_12mo'"), ("holdings_increase_5pct", "s.b_hold > 0"),
@@ -192,10 +204,9 @@ SELECT s.ticker, s.start_date, s.end_date, s0 AS start_close, s1 AS end_close, C
     "price_lows": f"WITH {SQL_BARS}, l AS (SELECT ticker, date, close, min(close) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW) AS low FROM bars) SELECT *, (close - low) / low * 100 <= 10 AS near_low FROM l",
     "event_study_detail": f"{STUDY} SELECT ticker, signal_date, horizon, start_date, end_date, round(ret, 4) AS ret, round(bench_ret, 4) AS bench_ret, excess FROM study",
     "event_study_summary": f"{STUDY} SELECT horizon, {METRICS}, CASE WHEN stddev_samp(excess) > 0 THEN round(avg(excess) / stddev_samp(excess) * sqrt(252.0 / horizon), 2) END AS sharpe FROM study WHERE excess IS NOT NULL GROUP BY horizon",
-    "event_study_strata": f"""{STUDY}, st AS (
-  SELECT horizon, excess, 'score_band' AS dimension, CASE WHEN score < 35 THEN '<35' WHEN score < 50 THEN '35-49' WHEN score < 65 THEN '50-64' WHEN score < 75 THEN '65-74' WHEN score < 85 THEN '75-84' ELSE '85+' END AS category FROM study
-  UNION ALL SELECT horizon, excess, 'cap_tier', cap_tier FROM study UNION ALL SELECT horizon, excess, 'signal_type', signal_type FROM study)
-SELECT *, CASE WHEN n < 10 THEN 'very small' WHEN n < 30 THEN 'small' ELSE '' END AS sample FROM (SELECT horizon, dimension, category, {METRICS} FROM st WHERE excess IS NOT NULL GROUP BY horizon, dimension, category)""",
+    "event_study_strata": f"""{STRATA} SELECT *, CASE WHEN n < 10 THEN 'very small' WHEN n < 30 THEN 'small' ELSE '' END AS sample FROM strata""",
+    "strata_pivot": f"""{STRATA} SELECT dimension, category, max(avg_return) FILTER (horizon = 30) AS avg_30, coalesce(max(n) FILTER (horizon = 30), 0) AS n_30, max(avg_return) FILTER (horizon = 60) AS avg_60, coalesce(max(n) FILTER (horizon = 60), 0) AS n_60,
+max(avg_return) FILTER (horizon = 90) AS avg_90, coalesce(max(n) FILTER (horizon = 90), 0) AS n_90, max(avg_return) FILTER (horizon = 180) AS avg_180, coalesce(max(n) FILTER (horizon = 180), 0) AS n_180 FROM strata GROUP BY dimension, category""",
     "event_study_rolling": f"""{STUDY}, v AS (SELECT horizon, start_date, excess FROM study WHERE excess IS NOT NULL), sp AS (SELECT horizon, min(start_date) AS lo, max(start_date) AS hi FROM v GROUP BY horizon),
 c AS (SELECT horizon, CAST(unnest(generate_series(lo, hi, INTERVAL 14 DAY)) AS DATE) AS date FROM sp)
 SELECT c.horizon, c.date, round(avg(CASE WHEN excess > 0 THEN 100.0 ELSE 0.0 END), 1) AS hit_rate, count(*) AS n FROM c JOIN v ON v.horizon = c.horizon AND v.start_date BETWEEN c.date - 90 AND c.date GROUP BY c.horizon, c.date HAVING count(*) >= 5""",
@@ -210,7 +221,7 @@ SELECT horizon, round(avg(CASE WHEN excess < -20 THEN 100.0 WHEN excess IS NOT N
     "score_bands": f"""{STUDY}{_MATCHED}, bd AS (SELECT horizon, excess, CASE WHEN matched_score < 35 THEN '0-35' WHEN matched_score < 45 THEN '35-45' WHEN matched_score < 50 THEN '45-50' WHEN matched_score < 55 THEN '50-55' WHEN matched_score < 60 THEN '55-60' WHEN matched_score < 65 THEN '60-65' WHEN matched_score < 70 THEN '65-70' WHEN matched_score < 75 THEN '70-75' WHEN matched_score < 80 THEN '75-80' WHEN matched_score < 90 THEN '80-90' ELSE '90-101' END AS band FROM matched)
 SELECT horizon, band, count(*) AS n, round(avg(excess), 4) AS avg_excess, round(coalesce(stddev_samp(excess), 0), 4) AS sd FROM bd GROUP BY horizon, band""",
     "weight_advice": f"""{STUDY}{_MATCHED}{_LIFT}, m AS (SELECT factor, round(avg(lift), 6) AS avg_lift, max(CASE WHEN horizon = 60 THEN lift END) AS lift_60, max(CASE WHEN horizon = 90 THEN lift END) AS lift_90 FROM lift WHERE horizon IN (60, 90) GROUP BY factor)
-SELECT factor, {_WEIGHT} AS weight, lift_60, lift_90, avg_lift, CASE WHEN avg_lift > 5 THEN 'increase weight' WHEN avg_lift > 2 THEN 'weight looks good' WHEN avg_lift > 0 THEN 'slight positive, ok' WHEN avg_lift > -2 THEN 'neutral/weak' ELSE 'negative lift' END AS advice FROM m WHERE avg_lift IS NOT NULL""",
+SELECT factor, {_WEIGHT} AS weight, lift_60, lift_90, avg_lift, CASE WHEN avg_lift > 5 THEN 'raise' WHEN avg_lift > 2 THEN 'keep' WHEN avg_lift > 0 THEN 'keep, small effect' WHEN avg_lift > -2 THEN 'no clear effect' ELSE 'lower' END AS advice FROM m WHERE avg_lift IS NOT NULL""",
     "monthly_excess": f"{STUDY} SELECT horizon, CAST(date_trunc('month', start_date) AS DATE) AS month, count(*) AS n, round(avg(excess), 4) AS avg_excess FROM study WHERE excess IS NOT NULL GROUP BY 1, 2",
     "signal_feed": f"""{SIGNALS} SELECT ticker, signal_date, signal_type, score, {CONVICTION} AS conviction, rank AS type_rank,
 CASE WHEN signal_type <> 'CLUSTER_BUY' THEN 9 WHEN tight_cluster AND executive_cluster THEN 0 WHEN tight_cluster THEN 1 WHEN executive_cluster THEN 2 ELSE 3 END AS quality FROM signals WHERE signal_type IN ('CLUSTER_BUY', 'BUY', 'WATCH') AND cap_tier IN ('small', 'mid', 'unknown')""",
@@ -230,7 +241,14 @@ n AS (SELECT c.cik, c.ticker, CASE WHEN coalesce(c.market_cap, 0) = 0 OR c.cap_t
 SELECT *, CASE WHEN market_cap IS NULL THEN 'unknown' WHEN market_cap < 2000000000 THEN 'small' WHEN market_cap < 10000000000 THEN 'mid' ELSE 'large' END AS cap_tier FROM n""",
     "cap_tiers": f"WITH {SQL_COMPANIES} SELECT cap_tier, count(*) AS n, min(market_cap) AS least, max(market_cap) AS most FROM companies GROUP BY cap_tier",
     "universe_slice": "WITH r AS (SELECT c_name AS symbol, row_number() OVER (ORDER BY CAST(round(c_acctbal * 100) AS BIGINT) DESC, c_name) AS k FROM customer) SELECT symbol FROM r WHERE k BETWEEN 101 AND 300 UNION SELECT s_name FROM supplier",
-    "upsert_filings": "SELECT o_orderkey AS accession_number, o_custkey AS cik, CAST(o_orderdate AS DATE) AS filed_date FROM orders",
+    "upsert_filings": "SELECT o_orderkey AS accession_number, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1997-01-01' THEN o_custkey ELSE o_custkey + 1000000 END AS cik, CAST(o_orderdate AS DATE) AS filed_date FROM orders",
+    "event_study_report": f"""{STUDY}, a AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY excess DESC, ticker DESC, signal_date DESC) AS up, row_number() OVER (PARTITION BY horizon ORDER BY excess, ticker, signal_date) AS down FROM study WHERE excess IS NOT NULL),
+r AS (SELECT horizon, {METRICS}, CASE WHEN stddev_samp(excess) > 0 THEN round(avg(excess) / stddev_samp(excess) * sqrt(252.0 / horizon), 2) END AS sharpe, round(avg(CASE WHEN excess < -20 THEN 100.0 ELSE 0.0 END), 1) AS pct_loss_gt20,
+  max(CASE WHEN down = 1 THEN ticker END) AS worst_ticker, max(CASE WHEN up = 1 THEN ticker END) AS best_ticker FROM a GROUP BY horizon)
+SELECT horizon, n, hit_rate, round(hit_rate - 50, 1) AS hit_delta, p25_return, median_return, p75_return, max_loss, max_gain, sharpe, pct_loss_gt20, worst_ticker, best_ticker FROM r""",
+    "live_signals": LIVE + " SELECT ticker, signal_date, as_of, score, signal_type, cluster_flag, insider_count, n_purchases FROM signals",
+    "lift_ranking": STUDY + _MATCHED + _LIFT + " SELECT row_number() OVER (ORDER BY lift DESC NULLS LAST, factor) AS place, factor, lift FROM lift WHERE horizon = 90",
+    "stream_enriched": f"WITH {SQL_EVENTS}, {SQL_COMPANIES} SELECT event_id, ev.ticker, name, cap_tier FROM ev LEFT JOIN companies c ON ev.ticker = 'E' || CAST(CAST(c.cik AS BIGINT) - 1 AS VARCHAR)",
     "upsert_signals": f"""{SIGNALS}, o AS (SELECT * FROM signals WHERE signal_date < DATE '1997-01-01'), n AS (SELECT * FROM signals WHERE signal_date >= DATE '1996-06-01')
 SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.signal_date, n.signal_date) AS signal_date, coalesce(n.score + 1, o.score) AS score, coalesce(n.signal_type, o.signal_type) AS signal_type, coalesce(day(o.signal_date) % 2 = 0, FALSE) AS alerted FROM o FULL JOIN n ON o.ticker = n.ticker AND o.signal_date = n.signal_date""",
     "retention": "SELECT l_orderkey AS accession_number, count(*) AS n_lines, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS value_cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) >= DATE '1996-12-01' AND CAST(l_shipdate AS DATE) >= DATE '1996-12-01' GROUP BY l_orderkey",
@@ -238,7 +256,7 @@ SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.signal_date, n.signal_
     "role_class": """WITH t AS (SELECT p_partkey, concat_ws(' ', CASE p_size % 5 WHEN 0 THEN 'Chief Financial Officer' WHEN 1 THEN 'CEO' WHEN 2 THEN 'Board Member' WHEN 3 THEN 'SVP Sales' END, p_type) AS title FROM part)
 SELECT *, CASE WHEN title LIKE 'Chief Financial%' THEN 'cfo' WHEN title LIKE 'CEO%' THEN 'ceo' WHEN title LIKE 'Board Member%' THEN 'director' WHEN title LIKE 'SVP%' THEN 'officer' ELSE 'other' END AS role FROM t""",
     "clean_ticker": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN upper(replace(s_name, '#', '')) WHEN 3 THEN upper(trim(s_name)) END AS ticker, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier",
-    "parse_xml": f"""{WITH} SELECT 'T' || cik AS ticker, transaction_code, 'director' AS role_category, is_direct, count(*) AS n, CAST(sum(shares) AS BIGINT) AS shares, CAST(sum(shares * price_cents) AS BIGINT) AS value_cents, min(transaction_date) AS first_date FROM tx GROUP BY cik, transaction_code, is_direct""",
+    "parse_xml": f"""{WITH} SELECT 'T' || cik AS ticker, transaction_code, 'director' AS role_category, is_direct, is_10b51, CASE WHEN transaction_code = 'S' THEN 'D' ELSE 'A' END AS acquired_disposed, count(*) AS n, CAST(sum(shares) AS BIGINT) AS shares, CAST(sum(shares * price_cents) AS BIGINT) AS value_cents, min(transaction_date) AS first_date FROM tx GROUP BY cik, transaction_code, is_direct, is_10b51""",
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
     "sliding_buyers": f"""WITH {SQL_EVENTS}, w AS (SELECT ticker, insider_name, CAST(transaction_date - k AS DATE) AS window_start FROM ev, (SELECT CAST(unnest(generate_series(0, 14)) AS INTEGER) AS k))
 SELECT ticker, window_start, window_start + 14 AS window_end, count(DISTINCT insider_name) AS n_buyers, count(*) AS n_purchases FROM w GROUP BY ticker, window_start""",

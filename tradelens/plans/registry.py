@@ -9,6 +9,7 @@ from tradelens.functions import columns as C
 from tradelens.operators import clusters, cooldown, dedup, event_study, evidence, factors, feeds, history, prices, scoring, tables
 from tradelens.plans import views as V
 from tradelens.plans.oracle import ORACLE
+from tradelens.plans.shared import scratch, stored
 
 AS_OF = "1998-12-31"
 ACTOR = ["cik", "insider_name"]
@@ -18,14 +19,18 @@ WEIGHTS = {**{f"role_{k}": v for k, v in scoring.RULES.role_points.items()}, **{
 # -- building blocks
 
 
-def latest(spark: SparkSession, d: str) -> DataFrame:
-    """Latest amendment of each purchase; the plan filter follows, so an amendment can remove a row."""
-    one = dedup.latest_by_key(V.transactions(spark, d), [*ACTOR, "transaction_date", "transaction_code"], [F.desc("filed_date"), *V.tie()])
+def latest(spark: SparkSession, d: str, until: str | None = None) -> DataFrame:
+    """Latest amendment of each purchase; the plan filter follows, so an amendment can remove a row.
+
+    ``until``: what was filed later is not known yet.
+    """
+    tx = V.transactions(spark, d)
+    one = dedup.latest_by_key(tx if until is None else tx.where(F.col("filed_date") <= F.lit(until).cast("date")), [*ACTOR, "transaction_date", "transaction_code"], [F.desc("filed_date"), *V.tie()])
     return one.where("transaction_code = 'P' AND NOT is_10b51")
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = history.prior_purchases(latest(spark, d), ACTOR)
+def scored(spark: SparkSession, d: str, until: str | None = None) -> DataFrame:
+    rows = history.prior_purchases(latest(spark, d, until), ACTOR)
     rows = history.routine_flags(rows, ACTOR)
     rows = rows.join(V.companies(spark, d).select("ticker", "cap_tier"), "ticker", "left")
     rows = prices.low_at(rows, V.price_bars(spark, d)).withColumn("low_52wk", F.col("low_52wk") / 100)
@@ -38,16 +43,26 @@ def cluster_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The signals of all filing days, written once as a table: reports read it several times."""
     tx = V.transactions(spark, d)
     items = clusters.work_items(tx)
     found = clusters.cluster_windows(clusters.members(items, tx, V.tie()))
-    return scoring.one_per_date(scoring.signals(items, scored(spark, d), found, V.tie()))
+    return stored(scoring.one_per_date(scoring.signals(items, scored(spark, d), found, V.tie())), "signals")
+
+
+def live(spark: SparkSession, d: str, as_of: str, days: int = 7) -> DataFrame:
+    """Signals as of one day: tickers with a purchase filed in the ``days`` before, and only what was filed by then."""
+    day = F.lit(as_of).cast("date")
+    tx = V.transactions(spark, d).where(F.col("filed_date") <= day)
+    items = clusters.work_items(tx.where(F.col("filed_date") >= F.date_sub(day, days))).select("ticker", day.alias("as_of")).distinct()
+    found = clusters.cluster_windows(clusters.members(items, tx, V.tie()))
+    return scoring.one_per_date(scoring.signals(items, scored(spark, d, as_of), found, V.tie()))
 
 
-def study(spark: SparkSession, d: str) -> DataFrame:
+def study(spark: SparkSession, d: str, every: DataFrame | None = None) -> DataFrame:
     """Excess returns of all selected signals at all horizons."""
-    chosen = event_study.selected(all_signals(spark, d)).withColumn("filed_date", F.col("as_of"))
-    entered = event_study.trades(chosen, F.lit(AS_OF).cast("date")).persist()  # read for the spans, the benchmark and the join back
+    chosen = event_study.selected(all_signals(spark, d) if every is None else every).withColumn("filed_date", F.col("as_of"))
+    entered = event_study.trades(chosen, F.lit(AS_OF).cast("date"))
     return event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d))
 
 
@@ -130,6 +145,19 @@ def event_study_strata(spark, d):
     return feeds.strata_labels(event_study.strata(study(spark, d)))
 
 
+def strata_pivot(spark, d):
+    return event_study.strata_pivot(event_study.strata(study(spark, d)))
+
+
+def event_study_report(spark, d):
+    rows = stored(study(spark, d), "study")
+    return event_study.report_rows(event_study.summary(rows), event_study.risk(rows))
+
+
+def live_signals(spark, d):
+    return live(spark, d, "1997-06-30").select("ticker", "signal_date", "as_of", "score", "signal_type", "cluster_flag", "insider_count", "n_purchases")
+
+
 def event_study_rolling(spark, d):
     return event_study.rolling_hit_rate(study(spark, d))
 
@@ -162,8 +190,9 @@ def signal_coverage(spark, d):
 
 
 def matched(spark, d):
-    rows = study(spark, d).where("excess IS NOT NULL").select("ticker", "start_date", "horizon", "excess", F.concat_ws("|", "ticker", "signal_date", "horizon").alias("row_id"))
-    return factors.nearest_signals(rows, all_signals(spark, d).where("signal_type IN ('BUY', 'CLUSTER_BUY')"))
+    every = all_signals(spark, d)
+    rows = study(spark, d, every).where("excess IS NOT NULL").select("ticker", "start_date", "horizon", "excess", F.concat_ws("|", "ticker", "signal_date", "horizon").alias("row_id"))
+    return factors.nearest_signals(rows, every.where("signal_type IN ('BUY', 'CLUSTER_BUY')"))
 
 
 def factor_lift(spark, d):
@@ -174,6 +203,10 @@ def score_bands(spark, d):
     return factors.score_bands(matched(spark, d))
 
 
+def lift_ranking(spark, d):
+    return factors.lift_ranking(factor_lift(spark, d), 90).select("place", "factor", "lift")
+
+
 def weight_advice(spark, d):
     return factors.weight_advice(factor_lift(spark, d), WEIGHTS)
 
@@ -246,6 +279,7 @@ def universe_slice(spark, d):
 def upsert_filings(spark, d):
     o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("accession_number"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("filed_date"))
     old, new = o.where("filed_date < DATE '1997-01-01'"), o.where("filed_date >= DATE '1996-06-01'")
+    new = new.withColumn("cik", F.col("cik") + 1_000_000)  # told apart from what is stored: stored rows stay as they are
     return tables.insert_new(old, new, ["accession_number"])
 
 
@@ -279,32 +313,33 @@ def clean_ticker(spark, d):
     return V.read(spark, d, "supplier").select("s_suppkey", C.clean_ticker(raw).alias("ticker"), C.padded_cik(F.col("s_suppkey").cast("string")).alias("cik"))
 
 
-def parse_xml(spark, d):
-    """Documents built from the lines, parsed back."""
-    from tradelens.sources import documents
-
+def filing_documents(spark, d):
+    """accession_number, l_orderkey, cik and xml: a filing for each order and company, with its lines."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}><value>"), value.cast("string"), F.lit(f"</value></{name}>"))
     tx = V.transactions(spark, d).withColumn("owner", F.col("insider_name"))
     line = F.concat(
         F.lit("<nonDerivativeTransaction>"), tag("transactionDate", F.concat(F.col("transaction_date").cast("string"), F.lit("-05:00"))),
-        F.lit("<transactionCoding><transactionCode>"), F.col("transaction_code"), F.lit("</transactionCode></transactionCoding><transactionAmounts>"),
-        tag("transactionShares", F.col("shares")), tag("transactionPricePerShare", F.col("price_cents")),
+        F.lit("<transactionCoding><transactionFormType>4</transactionFormType><transactionCode>"), F.col("transaction_code"), F.lit("</transactionCode><transactionTimeliness>"), F.when(F.col("is_10b51"), "1").otherwise(""), F.lit("</transactionTimeliness></transactionCoding><transactionAmounts>"),
+        tag("transactionShares", F.col("shares")), tag("transactionPricePerShare", F.col("price_cents")), F.when(F.col("transaction_code") == "S", F.lit("<transactionAcquiredDisposedCode><value>D</value></transactionAcquiredDisposedCode>")).otherwise(""),
         F.lit("</transactionAmounts><postTransactionAmounts>"), tag("sharesOwnedFollowingTransaction", F.col("shares_after")),
         F.lit("</postTransactionAmounts><ownershipNature>"), tag("directOrIndirectOwnership", F.when(F.col("is_direct"), "D").otherwise("I")), F.lit("</ownershipNature></nonDerivativeTransaction>"),
     )
     docs = tx.groupBy("l_orderkey", "cik").agg(F.min("owner").alias("owner"), F.concat_ws("", F.collect_list(line)).alias("lines"))
     xml = F.concat(F.lit("<ownershipDocument><issuer><issuerCik>000"), F.col("cik"), F.lit("</issuerCik><issuerName>n</issuerName><issuerTradingSymbol>NYSE:t"), F.col("cik"), F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>"), F.col("owner"), F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>1</isDirector></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), F.col("lines"), F.lit("</nonDerivativeTable></ownershipDocument>"))
-    rows = documents.transactions(documents.parsed(docs.select(F.concat_ws("-", "l_orderkey", "cik").alias("accession_number"), xml.alias("xml"))))
-    return rows.groupBy("ticker", "transaction_code", "role_category", "is_direct").agg(F.count("*").alias("n"), F.sum("shares").cast("long").alias("shares"), F.sum("total_value").cast("long").alias("value_cents"), F.min("transaction_date").alias("first_date"))
+    return docs.select(F.concat_ws("-", "l_orderkey", "cik").alias("accession_number"), "l_orderkey", "cik", xml.alias("xml"))
+
+
+def parse_xml(spark, d):
+    """Documents built from the lines, parsed back."""
+    from tradelens.sources import documents
+
+    rows = documents.transactions(documents.parsed(filing_documents(spark, d).select("accession_number", "xml")))
+    return rows.groupBy("ticker", "transaction_code", "role_category", "is_direct", "is_10b51", "acquired_disposed").agg(F.count("*").alias("n"), F.sum("shares").cast("long").alias("shares"), F.sum("total_value").cast("long").alias("value_cents"), F.min("transaction_date").alias("first_date"))
 
 
 def _drained(spark, d, transform, label):
     """Run a stream over the events to its end into a table of the shared folder, and read that."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    root = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    root = scratch(spark, label)
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
     out = transform(stream)
@@ -320,6 +355,14 @@ def stream_dedup(spark, d):
     return _drained(spark, d, lambda s: incremental.once_per_key(s.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts").select("event_id", "user_id", "event_type"), "stream-dedup")
 
 
+def stream_enriched(spark, d):
+    """Events of the stream with the company of their ticker, a static table, while they pass."""
+    from tradelens.streaming import incremental
+
+    companies = V.companies(spark, d).select(F.concat(F.lit("E"), F.col("cik").cast("long") - 1).alias("ticker"), "name", "cap_tier")
+    return _drained(spark, d, lambda s: incremental.enriched(V.event_purchases(s), companies).select("event_id", "ticker", "name", "cap_tier"), "stream-enriched")
+
+
 def sliding_buyers(spark, d):
     """Distinct buyers in windows of 15 days that slide by one: the batch twin of the stream."""
     from tradelens.streaming import incremental
@@ -331,13 +374,17 @@ NAMES = [
     latest_amendment, routine_flag, purchase_timing, buying_episodes, cluster_windows, event_clusters, scored_purchases, signals_raw, signals_cooled, signals_deduped, late_signals,
     insider_rollup, asof_returns, price_lows, event_study_detail, event_study_summary, event_study_strata, event_study_rolling, event_study_streak, event_study_risk, event_study_weak_clusters,
     event_study_small_caps, signal_coverage, factor_lift, score_bands, weight_advice, monthly_excess, signal_feed, signal_headline, top_picks, positions, entity_history, alert_queue, daily_summary,
-    alert_messages, market_caps, cap_tiers, universe_slice, upsert_filings, upsert_signals, retention, fetch_windows, role_class, clean_ticker, parse_xml, stream_dedup, sliding_buyers,
+    alert_messages, market_caps, cap_tiers, universe_slice, upsert_filings, upsert_signals, retention, fetch_windows, role_class, clean_ticker, parse_xml, stream_dedup, sliding_buyers, strata_pivot, event_study_report, live_signals, lift_ranking, stream_enriched,
 ]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in NAMES}
+    from tradelens.plans import upkeep
+
+    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from tradelens.plans import upkeep
+
+    return ORACLE | upkeep.ORACLE

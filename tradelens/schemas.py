@@ -44,6 +44,10 @@ FACTOR_POINTS = {
     "near_52wk_low_5pct": 12,
     "near_52wk_low_10pct": 7,
 }
+# Bonuses of a whole signal, which count nothing at present.
+CLUSTER_SIZE_POINTS = {3: 0, 4: 0, 5: 0}
+FILING_LAG_POINTS = {0: 0, 1: 0, 2: 0}
+# Ranks of types, order of roles, and what stands for no ticker.
 TYPE_RANK = {"CLUSTER_BUY": 3, "BUY": 2, "WATCH": 1, "LOW": 0}
 ROLE_ORDER = ["cfo", "ceo", "chairman", "director", "coo", "officer", "other"]
 EXECUTIVES = ["cfo", "ceo", "coo", "chairman"]
@@ -52,7 +56,7 @@ NO_TICKER = ["NONE", "NA", "N/A", "NULL", ""]
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the signal rules."""
+    """Thresholds of the signal rules (fixed values)."""
 
     cluster_days: int = 14
     cluster_buyers: int = 3
@@ -69,6 +73,8 @@ class Rules:
     role_points: dict = field(default_factory=lambda: dict(ROLE_POINTS))
     cap_points: dict = field(default_factory=lambda: dict(CAP_POINTS))
     factor_points: dict = field(default_factory=lambda: dict(FACTOR_POINTS))
+    cluster_size_points: dict = field(default_factory=lambda: dict(CLUSTER_SIZE_POINTS))
+    filing_lag_points: dict = field(default_factory=lambda: dict(FILING_LAG_POINTS))
 
 
 RULES = Rules()

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions import columns as C
 
 VALUE = "struct<value:string>"
 LINE = (
-    f"struct<transactionDate:{VALUE},transactionCoding:struct<transactionFormType:string,transactionCode:string>,transactionTimeliness:{VALUE},"
+    f"struct<transactionDate:{VALUE},transactionCoding:struct<transactionFormType:string,transactionCode:string,transactionTimeliness:string>,"
     f"transactionAmounts:struct<transactionShares:{VALUE},transactionPricePerShare:{VALUE},transactionAcquiredDisposedCode:{VALUE}>,"
     f"postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{VALUE}>,ownershipNature:struct<directOrIndirectOwnership:{VALUE}>>"
 )
 DOCUMENT = (
     "issuer struct<issuerCik:string,issuerName:string,issuerTradingSymbol:string>,"
     "reportingOwner array<struct<reportingOwnerId:struct<rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,officerTitle:string>>>,"
-    f"aff10b5One string,nonDerivativeTable struct<nonDerivativeTransaction:array<{LINE}>>,derivativeTable struct<derivativeTransaction:array<struct<securityTitle:{VALUE}>>>,_corrupt string"
+    f"nonDerivativeTable struct<nonDerivativeTransaction:array<{LINE}>>,derivativeTable struct<derivativeTransaction:array<struct<securityTitle:{VALUE}>>>,_corrupt string"
 )
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """Add ``doc`` and ``outcome``: ok, deriv_only, xml_missing or parse_error."""
-    out = documents.withColumn("doc", F.from_xml("xml", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "ownershipDocument"}))
+    """Add ``doc`` and ``outcome``: ok, deriv_only, xml_missing or parse_error.
+
+    The parsed document passes through a generator, so that no filter or projection above repeats the parse.
+    """
+    one = F.from_xml("xml", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "ownershipDocument"})
+    out = documents.withColumn("doc", F.explode(F.array(one)))
     lines = F.coalesce(F.size("doc.nonDerivativeTable.nonDerivativeTransaction"), F.lit(0))
     outcome = F.when(F.coalesce(F.trim("xml"), F.lit("")) == "", "xml_missing").when(F.col("doc._corrupt").isNotNull() | F.col("doc.issuer").isNull(), "parse_error").when(lines <= 0, "deriv_only").otherwise("ok")
     return out.withColumn("outcome", outcome)
@@ -32,6 +36,11 @@ def outcomes(found: DataFrame) -> DataFrame:
     return found.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _coding_flag(name: str) -> Column:
+    """A yes-or-no field of a line's coding, written plainly or in a value element."""
+    return C.flag(F.trim(F.regexp_replace(F.col(f"t.transactionCoding.{name}"), "<[^>]*>", "")))
+
+
 def transactions(found: DataFrame) -> DataFrame:
     """One row per line of Table I, under the first reporting owner."""
     owner = F.try_element_at("doc.reportingOwner", F.lit(1))
@@ -43,7 +52,7 @@ def transactions(found: DataFrame) -> DataFrame:
         F.trim("doc.issuer.issuerName").alias("company"),
         F.trim(owner["reportingOwnerId"]["rptOwnerName"]).alias("insider_name"),
         C.title_or_director(rel["officerTitle"], C.flag(rel["isDirector"])).alias("insider_role"),
-        (C.flag(F.col("doc.aff10b5One")) | C.names_plan(F.col("xml"))).alias("_plan"),
+        C.names_plan(F.col("xml")).alias("_plan"),
         F.explode("doc.nonDerivativeTable.nonDerivativeTransaction").alias("t"),
     )
     shares, price = C.number(F.col("t.transactionAmounts.transactionShares.value")), C.number(F.col("t.transactionAmounts.transactionPricePerShare.value"))
@@ -57,6 +66,7 @@ def transactions(found: DataFrame) -> DataFrame:
         price.alias("price_per_share"),
         C.total_value(shares, price, code).cast("decimal(20,4)").alias("total_value"),
         C.number(F.col("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value")).alias("shares_after"),
-        (F.col("_plan") | F.coalesce(F.trim("t.transactionTimeliness.value") == "10b5-1", F.lit(False))).alias("is_10b51"),
+        (F.col("_plan") | _coding_flag("transactionFormType") | _coding_flag("transactionTimeliness")).alias("is_10b51"),
         C.is_direct(F.trim("t.ownershipNature.directOrIndirectOwnership.value")).alias("is_direct"),
+        F.coalesce(F.nullif(F.trim("t.transactionAmounts.transactionAcquiredDisposedCode.value"), F.lit("")), F.lit("A")).alias("acquired_disposed"),
     )

@@ -69,14 +69,28 @@ def share_frames(raw: DataFrame) -> DataFrame:
     return raw.select("taxonomy", "period", F.explode("data").alias("d")).select(padded_cik(F.col("d.cik").cast("string")).alias("cik"), "taxonomy", "period", F.col("d.end").try_cast("date").alias("end"), F.col("d.val").cast("long").alias("val"))
 
 
-def listing(df: DataFrame) -> DataFrame:
-    """Constituents: the symbol column is found by name."""
+def listing(df: DataFrame, country: str | None = None) -> DataFrame:
+    """Constituents with symbol and market_cap: the columns are found by name.
+
+    A symbol is one to five letters after ``.`` has become ``-`` and nothing else. A value that is no
+    number counts as 0; where the listing is limited to a ``country``, only rows with a value above 0 stay.
+    """
     names = {c.lower(): c for c in df.columns}
     symbol = next(names[n] for n in ("symbol", "ticker", "ticker symbol") if n in names)
     from tradelens.functions.columns import listing_symbol
 
     out = df.withColumn("symbol", listing_symbol(F.col(symbol)))
-    return out.where(F.col("symbol").rlike(r"^[A-Z]{1,5}(-[A-Z])?$"))
+    cap = next((names[n] for n in ("marketcap", "market_cap", "market cap") if n in names), None)
+    value = F.lit(0.0) if cap is None else F.coalesce(F.regexp_replace(F.col(cap).cast("string"), "[$,]", "").try_cast("double"), F.lit(0.0))
+    out = out.withColumn("market_cap", value)
+    if country is None:
+        return out.where(F.col("symbol").rlike(r"^[A-Z]{1,5}(-[A-Z])?$"))
+    return out.where(F.col("symbol").rlike(r"^[A-Z]{1,5}$") & (F.trim(F.col(names["country"])) == country) & (F.col("market_cap") > 0))
+
+
+def write_universe(symbols: DataFrame, path: str) -> None:
+    """The distinct symbols in order, one to a line, in one file: a list of tickers is small."""
+    symbols.select(F.upper(F.trim("symbol")).alias("value")).where("value <> ''").distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def metric_rows(runs: DataFrame, field: str, schema: str) -> DataFrame:

@@ -28,21 +28,25 @@ def buying_sessions(stream: DataFrame, time: str = "ts", actor: list[str] = ("ti
     return out.select(*actor, F.col("session_window.start").alias("first_ts"), "n_purchases")
 
 
-def cooldown(stream: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """Greedy cooldown with state: per ticker the last kept signal, dropped after the cooldown has passed.
+def cooldown(stream: DataFrame, rules: Rules = RULES, ttl_days: int | None = None) -> DataFrame:
+    """Greedy cooldown with state: per ticker the last kept signal.
 
-    Needs (ticker, signal_date, score, signal_type); within a micro-batch rows are taken by date.
+    Needs (ticker, signal_date, score, signal_type). Within a micro-batch rows are taken by date, score
+    and rank, as the batch fold takes them. With ``ttl_days`` a ticker's state, three numbers, goes so
+    long after its last kept signal: processing time, so longer than the cooldown and any delay of the
+    input. Such a query runs batches for ever, so one that drains its input (availableNow) goes without.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Keep(StatefulProcessor):
         def init(self, handle) -> None:
-            self.last = handle.getValueState("last", "day int, score int, rank int")
+            self.last = handle.getValueState("last", "day int, score int, rank int", *([] if ttl_days is None else [ttl_days * 86_400_000]))
 
         def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
             import pandas as pd
 
-            frame = pd.concat(list(rows)).sort_values(["signal_date", "score"], ascending=[True, False])
+            frame = pd.concat(list(rows))
+            frame = frame.assign(_rank=frame["signal_type"].map(TYPE_RANK).fillna(0)).sort_values(["signal_date", "score", "_rank"])
             last = self.last.get() if self.last.exists() else None
             kept = []
             for r in frame.itertuples(index=False):
@@ -54,13 +58,33 @@ def cooldown(stream: DataFrame, rules: Rules = RULES) -> DataFrame:
                 kept.append(r)
             if last:
                 self.last.update(last)
-            yield pd.DataFrame(kept, columns=frame.columns)[["ticker", "signal_date", "score", "signal_type"]]
+            yield pd.DataFrame([tuple(r) for r in kept], columns=frame.columns)[["ticker", "signal_date", "score", "signal_type"]]
 
         def close(self) -> None:
             pass
 
     own = stream.select("ticker", "signal_date", F.col("score").cast("int"), "signal_type")
-    return own.groupBy("ticker").transformWithStateInPandas(Keep(), "ticker string, signal_date date, score int, signal_type string", "append", "none")
+    return own.groupBy("ticker").transformWithStateInPandas(Keep(), "ticker string, signal_date date, score int, signal_type string", "append", "none" if ttl_days is None else "processingTime")
+
+
+def enriched(stream: DataFrame, companies: DataFrame, key: str = "ticker") -> DataFrame:
+    """Stream rows with the columns of a static table (one row per key); unknown keys stay, with nulls."""
+    return stream.join(companies.dropDuplicates([key]), key, "left")
+
+
+def recompute_late(stream: DataFrame, recompute, store, checkpoint: str, key: str = "ticker", date: str = "filed_date", back: int = 7):
+    """For each micro-batch recompute what late rows may have changed, and merge it into the store.
+
+    ``recompute(keys)`` gets the (key, since) of the batch, where since is ``back`` days before the key's
+    earliest date, and returns fresh rows; ``store(rows)`` upserts them. A batch that runs again after a
+    failure gives the same rows, so an upsert by key makes the effect exactly once.
+    """
+
+    def apply(batch: DataFrame, _: int) -> None:
+        changed = batch.groupBy(key).agg(F.date_sub(F.min(date), back).alias("since"))
+        store(recompute(changed))
+
+    return upsert_batches(stream, apply, checkpoint)
 
 
 def upsert_batches(stream: DataFrame, apply, checkpoint: str):
