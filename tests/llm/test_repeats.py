@@ -42,7 +42,7 @@ def test_whole_table(spark, small):
     df = read(spark, small, "documents")
     want = brute([(r.doc_id, r.text) for r in df.collect()])
     assert got(df) == want
-    assert got(df, part_docs=17) == want
+    assert got(df, part_bytes=20_000) == want
 
 
 def test_edges(spark):
@@ -54,7 +54,7 @@ def test_edges(spark):
     ]
     df = spark.createDataFrame([(*d, "clash", "clash") for d in docs], DOCS)
     assert got(df) == brute(docs)
-    assert got(df, part_docs=2) == brute(docs)
+    assert got(df, part_bytes=300) == brute(docs)
     assert got(df.limit(0)) == []
     kept = {r.doc_id: r.text for r in repeats.remove_repeats(df).where("doc_id in (8, 10)").collect()}
     assert kept == {8: " ".join(p[:12]), 10: ""}
@@ -68,6 +68,47 @@ def test_few_words(spark, texts):
     assert got(df, window=5) == brute(docs, 5)
 
 
+def test_colliding_hashes(spark, small):
+    """Window hashes of a few bits collide all the time; the words decide."""
+    df = read(spark, small, "documents").where("doc_id < 60")
+    want = brute([(r.doc_id, r.text) for r in df.collect()])
+    for bits in (4, 12):
+        assert got(df, bits=bits, part_bytes=40_000) == want
+    docs = [(i, " ".join("ab"[i * k % 3 % 2] for k in range(40))) for i in range(12)] + [(3, "b " * 30), (None, "a " * 30), (None, "b a " * 9)]
+    df = spark.createDataFrame([(*d, "", "") for d in docs], DOCS)
+    assert got(df, window=5, bits=2, part_bytes=100) == brute(docs, 5)
+
+
+def test_automata_in_shards(monkeypatch):
+    rng = np.random.default_rng(4)
+    passages = [(int(d), b" ".join(rng.choice([b"x", b"y", b"z"], 9))) for d in rng.integers(0, 9, 30)]
+    monkeypatch.setattr(repeats, "SHARD_WINDOWS", 20)
+    shards = list(repeats._shards(passages))
+    assert len(shards) > 10 and sorted(x for s in shards for x in s) == sorted(passages)
+    words = list(rng.choice([b"x", b"y", b"z"], 400))
+    text = b" ".join(words)
+    found = {int(i) for s in shards for i in repeats.Phrases(s, 5).starts([text], [5])}
+    for window in (1, 2, 5, 6):
+        phrases = repeats.Phrases(passages, window)
+        earlier = {tuple(t.split()[i : i + window]) for d, t in passages if d < 5 for i in range(10 - window)}
+        assert phrases.starts([text], [5]).tolist() == [i for i in range(401 - window) if tuple(words[i : i + window]) in earlier]
+    earlier = {tuple(t.split()[i : i + 5]) for d, t in passages if d < 5 for i in range(5)}
+    assert found == {i for i in range(396) if tuple(words[i : i + 5]) in earlier}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\té", max_size=30), max_size=6), st.integers(1, 9))
+def test_equal_words_have_equal_hashes(texts, chunk):
+    texts, old = [t.encode() for t in texts], repeats.CHUNK
+    repeats.CHUNK = chunk
+    hashes, sizes = repeats.word_hashes(texts)
+    repeats.CHUNK = old
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    every = [w for t in texts for w in t.split()]
+    assert len(hashes) == len(every)
+    assert len(set(zip(every, hashes.tolist()))) == len(set(every)) == len(set(hashes.tolist()))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 200).astype(np.uint64)

@@ -22,14 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in tests) a local folder is made and set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine: any folder of its own is shared
         configured = f"file://{tempfile.mkdtemp(prefix='tradelens-')}"
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -50,12 +48,38 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``stored`` or ``scratch`` named, once nothing reads them."""
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Like ``stored``, as a table bucketed by ``key``: what groups by it reads a bucket and shuffles nothing.
+
+    There are as many buckets as shuffle partitions at least, so that Spark keeps to them, and at most
+    as many as it allows.
+    """
+    spark = df.sparkSession
+    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    path = scratch(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    written = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    written.option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what nothing refers to any more: Spark then deletes the shuffle files of jobs that are done.
+
+    Spark itself does so every half hour; jobs that shuffle much in a row fill the disks before that.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` or ``bucketed`` returned, once nothing reads them."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    shared = shared_dir(spark).partition(":")[2] or shared_dir(spark)
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if shared.lstrip("/") in folder:  # never what was given
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def saved(df: DataFrame) -> DataFrame:
