@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -12,23 +13,89 @@ DOCS = "doc_id long, text string, path string, licence string, line string"
 
 
 def cosine(line):
-    bags = [Counter(re.findall(licences.TERM, t.lower())) for _, t in licences.TEMPLATES]
+    """By plain dictionaries: (-score, licence) of the best template."""
+    terms = lambda t: Counter(x for x in re.findall(licences.TERM, t.lower()) if x not in licences.FUNCTION_WORDS)
+    bags = [terms(t) for _, t in licences.TEMPLATES]
     df = Counter(t for b in bags for t in b)
-    idf = lambda t: math.log((1 + len(bags)) / (1 + df.get(t, 0))) + 1
-    own = Counter(re.findall(licences.TERM, line.lower()))
-    norm = lambda b: math.sqrt(sum((n * idf(t)) ** 2 for t, n in b.items()))
+    idf = lambda t: math.log((1 + len(bags)) / (1 + df[t])) + 1 if t in df else licences.UNSEEN
+    vector = lambda b: {t: (1 + math.log(n)) * idf(t) for t, n in b.items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    own = vector(terms(line))
     if not own:
-        return 0, None
-    scores = [(round(sum(own[t] * b[t] * idf(t) ** 2 for t in b) / norm(b) / norm(own), 6), name) for b, (name, _) in zip(bags, licences.TEMPLATES)]
+        return 0.0, ""
+    scores = [(round(sum(own.get(t, 0) * w for t, w in v.items()) / norm(v) / norm(own), 6), name) for v, (name, _) in zip(map(vector, bags), licences.TEMPLATES)]
     return min((-s, n) for s, n in scores)
 
 
-def test_lines_match_plain_cosine(spark, small):
-    lines = ["Released under the MIT License.", "  licensed under the apache license, version 2.0 ", "This work is licensed under the GNU General Public License, version 3.", "license plates are nice", "Licensed under CC BY-NC 4.0.", "warrant"]
-    df = spark.createDataFrame([(x,) for x in lines], "line string")
-    got = {r.line: (-r.score, r.licence) for r in licences.scored_lines(df, 0.7).collect()}
-    want = {x: cosine(x) for x in lines}
+WRAPPED = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }"""
+UNITS = [
+    "Released under the MIT License.", "  licensed under the apache license, version 2.0 ", "This work is licensed under the GNU General Public License, version 3.", "license plates are nice",
+    "Licensed under CC BY-NC 4.0.", "warrant", "Copyright (c) 2020 Jane Doe. All rights reserved.", "GNU GENERAL PUBLIC LICENSE", "Apache License", licences._BSD, "the of and", "This program is free software",
+]
+
+
+def test_units_match_plain_cosine(spark):
+    df = spark.createDataFrame([(x.lower(),) for x in UNITS], "unit string")
+    df = licences.with_unit_key(df)
+    got = {r.unit: (-r.score, r.licence) for r in licences.scored_units(df, 0.7, licences.template_vectors()).join(df, licences.UNIT_KEY).collect()}
+    want = {x.lower(): cosine(x) for x in UNITS}
     assert got == {x: w for x, w in want.items() if -w[0] >= 0.7}
+    assert len(got) >= 8
+
+
+def test_no_unit_is_missed_for_its_terms():
+    needed = licences.needed_terms(0.7, licences.template_vectors())
+    pattern = re.compile(licences.any_of(needed))
+    rng = random.Random(5)
+    vocabulary = sorted({t for _, text in licences.TEMPLATES for t in re.findall(licences.TERM, text.lower())})
+    for _ in range(1500):
+        words = re.findall(licences.TERM, rng.choice(licences.TEMPLATES)[1].lower())
+        unit = " ".join([w for w in words if rng.random() < 0.75] + rng.sample(vocabulary, rng.randrange(4)))
+        if -cosine(unit)[0] >= 0.7:
+            assert pattern.search(unit)
+    for t in vocabulary:
+        assert bool(pattern.search(f"x {t}, y")) == any(w in needed for w in re.findall(licences.TERM, t)) or t in needed
+
+
+def test_headers_files_and_inline_licences(spark):
+    body = "\n".join(f"value number{i} equals thing{i} here" for i in range(40))
+    mit = f"MIT License\n\nCopyright (c) 2021 A. Person\n\n{licences._MIT}\n\n{licences._MIT_NOTICE}\n\n{licences._MIT_WARRANTY}\n"
+    rows = [
+        ("a/x.c", WRAPPED), ("a/y.c", body + "\n" + WRAPPED + body), ("b/LICENSE", mit), ("b/z", body), ("c/one", f"{body} Some words before. Released under the MIT License. And some words after it {body}"),
+        ("d/notes", "We met, and spoke of licences, of permission and of rights, in general, all day long."), ("e/twenty", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen Licensed under CC BY 4.0. and so on and on"), ("e/w", body),
+    ]
+    got = scan(spark, rows)
+    assert got[0][:2] == ("GPL-3.0", "header") or got[0][:2] == ("GPL-3.0", "file")
+    assert got[1][:2] == ("GPL-3.0", "header")
+    assert got[2] == ("MIT", "file", None) and got[3] == ("MIT", "directory", "b")
+    assert got[4][:2] == ("MIT", "header") and got[5] == (None, None, None)
+    assert got[6][:2] == ("CC-BY-4.0", "header") and got[7] == (None, None, None)
+
+
+def test_query_against_brute_force(spark, small):
+    from tradelens.llm.queries import op3_licence_scan
+
+    needed = re.compile(licences.any_of(licences.needed_terms(0.7, licences.template_vectors())))
+    got = {r.doc_id: r for r in op3_licence_scan(spark, small).collect()}
+    docs = read(spark, small, "documents").collect()
+    assert len(got) == len(docs)
+    found = 0
+    for r in docs:
+        lines = [x if needed.search(x.lower()) else "" for x in (r.text or "").split("\n")]
+        parts = [x for x in lines if x] + [s for x in lines if x for s in re.split(licences.SENTENCE, x)] + re.split("\n\n+", "\n".join(lines))
+        best = min((cosine(x) for x in set(parts)), default=(0.0, ""))
+        if -best[0] >= 0.7:
+            found += 1
+            assert (got[r.doc_id].licence, got[r.doc_id].score) == (best[1], -best[0]) or got[r.doc_id].origin == "file"
+        else:
+            assert got[r.doc_id].origin in (None, "directory", "file")
+    assert found > 5
 
 
 def scan(spark, rows):
@@ -61,7 +128,9 @@ def test_store(spark):
     store.append(spark.createDataFrame([(9, "x", 1.5)], schema + ", extra double"))
     assert store.read().where("extra = 1.5").count() == 1 and store.read().count() == 13
     with pytest.raises(RuntimeError):
-        store._commit(3, [])
+        store._commit({"version": 3}, old["columns"], [])
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("9", "x")], "k string, v string"))
     assert store.vacuum() >= 4 and store.read().count() == 13
 
 
@@ -72,4 +141,18 @@ def test_store_round_trip(spark, small):
     n = len(store.manifest()["shards"])
     store.compact()
     assert len(store.manifest()["shards"]) < n
-    assert store.read().drop("_arrival").exceptAll(docs).isEmpty() and store.read().count() == docs.count()
+    assert store.read().columns == docs.columns and store.read().exceptAll(docs).isEmpty() and store.read().count() == docs.count()
+
+
+def test_empty_stores_and_clashing_names(spark):
+    store = compaction.ShardStore(spark, scratch(spark, "store"))
+    assert store.read().count() == 0 and store.compact() == 0
+    schema = "_arrival string, _Arrival_ long, v string"
+    empty = spark.createDataFrame([], schema)
+    store.append_by(empty, F.col("v"))
+    assert store.read().columns == empty.columns and store.read().count() == 0
+    store.append(empty)
+    rows = [("a", 1, None), ("a", 1, None), (None, None, "é" * 100_000)]
+    store.append_by(spark.createDataFrame(rows, schema), F.col("v"))
+    store.compact()
+    assert sorted(map(tuple, store.read().collect()), key=str) == sorted(rows, key=str)

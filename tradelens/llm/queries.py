@@ -18,8 +18,9 @@ def op2_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand in a tree of directories by source and language."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    """Documents stand in a tree of directories by source, language and hundreds of their number."""
+    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", level("source"), level("lang"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
     return licences.scan(read(spark, sf_dir, "documents"), path)
 
 
