@@ -41,39 +41,75 @@ def test_counts_on_whole_table_and_edges(spark, small):
     assert quality.judge(df.limit(0)).count() == 0
 
 
-def brute(rows, steps=3, support=0.75, cutoff=32.0, floors=(0.06, 0.06, 0.12, 0.12)):
-    """The same estimates in numpy, for one group."""
+FLOORS = np.array(quality.FLOORS)
+
+
+def middle(cells, share):
+    return np.sort(cells)[int(np.ceil(share * len(cells))) - 1]
+
+
+def brute(rows, support=0.75):
+    """The estimate of one group in numpy: its centre, mean and covariance, and the determinants of all starts."""
     n, chars, sym, dup, rep = (np.array([r[k] for r in rows], float) for k in range(5))
     raw = [np.log(chars / n), np.sqrt(sym / (n + 20)), np.sqrt(10 * dup / (n + 50)), np.sqrt(rep / (n + 20))]
-    med = []
-    for x in raw:
-        cells = np.sort(np.floor(x / quality.STAT_CELL))
-        med.append((cells[int(np.ceil(0.5 * len(cells))) - 1] + 0.5) * quality.STAT_CELL)
-    x = np.stack([(raw[0] - med[0]) * np.sqrt(np.minimum(n, 400)) / 10, *raw[1:]], axis=1)
-    mean, cov = np.array([0.0, *med[1:]]), np.diag((3 * np.array(floors)) ** 2)
-    dist = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    for _ in range(steps):
-        cell = np.floor(np.log(dist() + 1e-9) / quality.DISTANCE_CELL)
-        bound = np.sort(cell)[int(np.ceil(support * len(cell))) - 1]
-        near = x[cell <= bound]
-        mean = near.mean(axis=0)
-        cov = np.cov(near.T, bias=True) * quality.consistency(support) + np.diag(np.array(floors) ** 2)
-    return dist(), dist() <= cutoff
-
-
-def test_estimates_match_numpy(spark, small):
-    df = read(spark, "/root/testdata/sf0.01", "documents").withColumn("source", F.lit("one"))
-    rows = quality.judge(df).collect()
-    lang = {r.doc_id: r.lang for r in df.collect()}
-    checked = 0
-    for name in set(lang.values()):
-        own = [r for r in rows if lang[r.doc_id] == name and not r.base_failed]
-        if len(own) >= 50:
-            d, kept = brute([(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in own])
-            assert np.allclose([r.distance for r in own], d, rtol=1e-6)
-            assert [r.kept for r in own] == kept.tolist()
-            checked += len(own)
-    assert checked > 500
+    cells = [np.floor(x / quality.STAT_CELL) for x in raw]
+    med = np.array([(middle(c, 0.5) + 0.5) * quality.STAT_CELL for c in cells])
+    wide = np.array([(middle(c, 0.75) - middle(c, 0.25)) * quality.STAT_CELL / 1.349 for c in cells])
+    x = points(rows, med[0])
+    at = np.array([0.0, *med[1:]])
+    moments = lambda y, scale: (y.mean(axis=0), np.cov(y.T, bias=True) * scale + np.diag(FLOORS**2))
+    now = [(at, np.diag((3 * FLOORS) ** 2)), (at, np.diag(np.maximum(wide, FLOORS) ** 2)), moments(x, 1.0)]
+    det = lambda found: np.array([np.linalg.slogdet(c)[1] for _, c in found])
+    for k in range(12):
+        new = []
+        for m, c in now:
+            cell = np.floor(np.log(distance(x, m, c) + 1e-9) / quality.DISTANCE_CELL)
+            new.append(moments(x[cell <= middle(cell, support)], quality.consistency(support)))
+        done = not (det(new) < det(now) - quality.SETTLED).any()
+        now = new
+        if k and done:
+            break
+    best = int(np.argmin(det(now)))
+    return len(rows), med[0], *now[best], det(now)
+
+
+def points(rows, centre):
+    n, chars, sym, dup, rep = (np.array([r[k] for r in rows], float) for k in range(5))
+    return np.stack([(np.log(chars / n) - centre) * np.sqrt(np.minimum(n, 400)) / 10, np.sqrt(sym / (n + 20)), np.sqrt(10 * dup / (n + 50)), np.sqrt(rep / (n + 20))], axis=1)
+
+
+def distance(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def test_estimates_match_numpy(spark):
+    """One language and source: all three levels are the same, and so is what they are drawn to."""
+    df = read(spark, "/root/testdata/sf0.01", "documents").where("lang = 'en'").withColumn("source", F.lit("one"))
+    rows = [r for r in quality.judge(df).collect() if not r.base_failed]
+    counts = [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows]
+    _, centre, mean, cov, dets = brute(counts)
+    assert len(rows) > 200 and len(dets) == 3
+    d = distance(points(counts, centre), mean, cov)
+    assert np.allclose([r.distance for r in rows], d, rtol=1e-5)
+    assert [r.kept for r in rows] == (d <= 32).tolist()
+
+
+def test_small_groups_are_drawn_to_larger_ones(spark):
+    df = read(spark, "/root/testdata/sf0.01", "documents").where("lang in ('en', 'fr')")
+    source = F.when(F.col("doc_id") % 40 == 0, "rare").when(F.col("lang") == "en", "wide").otherwise(F.col("source"))
+    df = df.withColumn("source", source)
+    key = {r.doc_id: (r.lang, r.source) for r in df.collect()}
+    rows = [r for r in quality.judge(df).collect() if not r.base_failed]
+    counts = [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows]
+    pick = lambda test: brute([c for c, r in zip(counts, rows) if test(key[r.doc_id])])
+    every = pick(lambda k: True)
+    for group in {key[r.doc_id] for r in rows}:
+        own, lang = pick(lambda k: k == group), pick(lambda k: k[0] == group[0])
+        mix = lambda a, b, n: n / (n + 50) * a + (1 - n / (n + 50)) * b
+        centre, mean, cov = (mix(own[i], mix(lang[i], every[i], lang[0]), own[0]) for i in (1, 2, 3))
+        at = [i for i, r in enumerate(rows) if key[r.doc_id] == group]
+        d = distance(points([counts[i] for i in at], centre), mean, cov)
+        assert np.allclose([rows[i].distance for i in at], d, rtol=1e-5), group
 
 
 def test_clean_stay_and_junk_goes(spark):

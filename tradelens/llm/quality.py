@@ -1,19 +1,23 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Base counts are taken from the whole text of every document. Those that pass the base rules get a
-vector of transformed statistics; per language and source the minimum-covariance-determinant estimate
-is found by concentration steps (keep the share of rows nearest to the present estimate, estimate
-again), and a document is rejected if its Mahalanobis distance is beyond the cutoff.
+vector of transformed statistics. Per language and source, the minimum-covariance-determinant estimate
+is found from several starts by concentration steps (keep the share of rows nearest to the present
+estimate, estimate again) until no determinant falls any more; of the starts, the estimate with the
+lowest determinant holds. A document is rejected if its Mahalanobis distance is beyond the cutoff.
+
+The same is done per language and over all rows, and a group's estimate is drawn towards that of its
+language, and that one's towards that of all rows, the more the fewer rows it has: by n / (n + prior).
 
 Everything per group is a sum over rows or a count of histogram cells, pre-aggregated before each
-shuffle, so a source with a third of all rows is spread over all tasks. Quantiles come from cells of
-fixed width, not from samples or sketches. Statistics are scaled so that the number of words does not
-by itself make a document odd.
+shuffle, so a source with a third of all rows is spread over all tasks; a window over a group sees its
+cells, of which there are some thousands at most. Quantiles come from cells of fixed width, not from
+samples or sketches. Statistics are scaled so that the number of words does not by itself make a
+document odd.
 
 Nulls: a null text has no words and fails the base rules. Null lang and source form groups of their
-own. Sources with fewer than ``min_group`` passing rows in a language share one group of that
-language; one that is still smaller has no estimate and keeps its rows. Repeated rows
-are judged alike; an empty table gives no rows. Further columns are carried if asked for.
+own. Ties do not matter: equal distances share a cell. Repeated rows are judged alike, very long texts
+read whole; an empty table gives no rows. Further columns are carried if asked for.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ from pyspark.sql import functions as F
 from tradelens.llm.common import native_words, stored
 
 GROUP = ["_lang", "_source"]
+#: A group on its level: 0 for a language and source, 1 for a language, 2 for all rows.
+KEY = ["_level", *GROUP]
+#: Stands for all languages or sources.
+ALL = "\1"
 #: The transformed statistics, in order.
 STATS = ["word_length", "symbols", "dup_lines", "repeats"]
 #: Cells of the histograms: of a statistic, and of the logarithm of a squared distance.
@@ -122,71 +130,98 @@ def consistency(support: float, dof: int = len(STATS)) -> float:
     return support / chi2_cdf(lo, dof + 2)
 
 
-class Estimates:
-    """Per group the centre of word lengths, and the mean and Cholesky factor of the statistics; all small tables."""
+def _points(df: DataFrame) -> DataFrame:
+    """Add the statistics x0, x1, ...; the word length less its group's centre ``c0``."""
+    values = statistics()
+    values["word_length"] = (values["word_length"] - F.col("c0")) * F.sqrt(F.least(F.col("n_words"), F.lit(400))) / 10
+    return df.withColumns({f"x{i}": c for i, c in enumerate(values.values())})
 
-    def __init__(self, small: DataFrame, centres: DataFrame, shapes: DataFrame):
-        self.small, self.centres, self.shapes = small, centres, shapes
 
-    def judged(self, counted: DataFrame, cutoff: float) -> DataFrame:
-        """Add ``distance`` and ``kept`` to base counts."""
-        rows = _points(_grouped(counted, self.small).join(self.centres, GROUP, "left")).join(self.shapes, GROUP, "left")
-        rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(len(STATS))])))
-        return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+NUMBERS = range(len(STATS))
+PAIRS = [(i, j) for i in NUMBERS for j in range(i + 1)]
+#: Least standard deviations of the statistics: most documents have no symbols at all, and one repeated line is no fault.
+FLOORS = (0.06, 0.06, 0.12, 0.12)
+#: Concentration ends when no determinant falls by more than this share.
+SETTLED = 0.01
 
 
-def _grouped(counted: DataFrame, small: DataFrame) -> DataFrame:
-    """Rows of small groups go to the group that their language shares."""
-    return counted.join(small, GROUP, "left").withColumn("_source", F.coalesce("_shared", "_source")).drop("_shared")
+def _moments(rows: DataFrame, key: list[str], scale: float, floors: tuple[float, ...]) -> DataFrame:
+    """Means m0.., covariances v00.. and the logarithm of the determinant per key."""
+    sums = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in NUMBERS], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS])
+    cov = [((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + F.lit(floors[i] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in PAIRS]
+    return _with_determinant(sums.select(*key, *[f"m{i}" for i in NUMBERS], *cov))
 
 
-def _points(df: DataFrame) -> DataFrame:
-    """Add the statistics x0, x1, ...; the word length less its group's centre ``c0``."""
-    values = statistics()
-    values["word_length"] = (values["word_length"] - F.col("c0")) * F.sqrt(F.least(F.col("n_words"), F.lit(400))) / 10
-    return df.withColumns({f"x{i}": c for i, c in enumerate(values.values())})
+def _factor() -> dict[tuple[int, int], Column]:
+    return _cholesky(lambda i, j: F.col(f"v{i}{j}"))
+
 
+def _with_determinant(df: DataFrame) -> DataFrame:
+    low = _factor()
+    return df.withColumn("logdet", reduce(lambda a, i: a + 2 * F.log(low[i, i]), NUMBERS, F.lit(0.0)))
 
-def estimate(counted: DataFrame, support: float = 0.75, steps: int = 3, floors: tuple[float, ...] = (0.06, 0.06, 0.12, 0.12), min_group: int = 50) -> Estimates:
-    """Concentration steps over stored base counts.
 
-    ``floors`` are the least standard deviations of the statistics (most documents have no symbols at
-    all, and one repeated line is no fault).
+def _factored(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"l{i}{j}": c for (i, j), c in _factor().items()})
+
+
+def estimates(counted: DataFrame, support: float = 0.75, most_steps: int = 12, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """Per key: n_group, c0, the means, covariances and log determinant of the best start. ``counted`` must be stored.
+
+    Starts: the medians with a small scale, which outliers cannot move; the medians with the spread of
+    the middle half; the mean and covariance of all rows.
     """
     raw = statistics()
-    small = counted.where(~F.col("base_failed")).groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") < min_group)
-    small = stored(small.select(*GROUP, F.lit("\1").alias("_shared")), "small-groups")
-    passing = _grouped(counted, small).where(~F.col("base_failed"))
-    cells = passing.select(*GROUP, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.floor(c / STAT_CELL).cast("long").alias("cell")) for i, c in enumerate(raw.values())])).alias("x"))
-    cells = cells.select(*GROUP, "x.*").groupBy(*GROUP, "s", "cell").agg(F.count("*").alias("n"))
-    marks = _quantile(cells, [*GROUP, "s"], "cell", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    start = marks.groupBy(*GROUP).agg(
-        F.max("_all").alias("n_group"),
-        *[F.max(F.when(F.col("s") == i, (F.col("q2") + 0.5) * STAT_CELL)).alias(f"c{i}") for i in range(len(raw))],
-    )
-    start = stored(start.where(F.col("n_group") >= min_group), "centres")
-
-    vectors = _points(passing.join(start, GROUP))
-    xs = [F.col(f"x{i}") for i in range(len(raw))]
-    pairs = [(i, j) for i in range(len(raw)) for j in range(i + 1)]
-    # the first estimate: the group's medians with the least scale, which outliers cannot move
-    now = start.select(*GROUP, F.lit(0.0).alias("m0"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(1, len(raw))], *[F.lit(3 * floors[i] if i == j else 0.0).alias(f"l{i}{j}") for i, j in pairs])
-    scale = consistency(support, len(raw))
-    for k in range(steps):
-        cell = F.floor(F.log(_distance(xs) + 1e-9) / DISTANCE_CELL).cast("long")
-        placed = vectors.join(now, GROUP).withColumn("cell", cell)
-        bound = stored(_quantile(placed.groupBy(*GROUP, "cell").agg(F.count("*").alias("n")), GROUP, "cell", {"bound": support}).drop("_all"), "bound")
-        near = placed.join(bound, GROUP).where("cell <= bound")
-        sums = near.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(raw))], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in pairs])
-        low = _cholesky(lambda i, j: (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + F.lit(floors[i] ** 2 if i == j else 0.0))
-        now = stored(sums.select(*GROUP, *[f"m{i}" for i in range(len(raw))], *[low[ij].alias(f"l{ij[0]}{ij[1]}") for ij in pairs]), "estimate")
-    return Estimates(small, start, now)
+    levels = [F.struct(F.lit(0).alias("_level"), *GROUP), F.struct(F.lit(1).alias("_level"), F.col("_lang"), F.lit(ALL).alias("_source")), F.struct(F.lit(2).alias("_level"), F.lit(ALL).alias("_lang"), F.lit(ALL).alias("_source"))]
+    passing = counted.where(~F.col("base_failed")).withColumn("_key", F.explode(F.array(*levels))).select("_key.*", *COUNTS)
+    cells = passing.select(*KEY, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.floor(c / STAT_CELL).cast("long").alias("cell")) for i, c in enumerate(raw.values())])).alias("x"))
+    cells = cells.select(*KEY, "x.*").groupBy(*KEY, "s", "cell").agg(F.count("*").alias("n"))
+    marks = _quantile(cells, [*KEY, "s"], "cell", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    of = lambda i, c: F.max(F.when(F.col("s") == i, c))
+    centres = marks.groupBy(*KEY).agg(F.max("_all").alias("n_group"), *[of(i, (F.col("q2") + 0.5) * STAT_CELL).alias(f"c{i}") for i in NUMBERS], *[of(i, (F.col("q3") - F.col("q1")) * STAT_CELL / 1.349).alias(f"w{i}") for i in NUMBERS])
+    centres = stored(centres, "centres")
+
+    vectors = _points(passing.join(centres.select(*KEY, "c0"), KEY))
+    medians = [F.lit(0.0).alias("m0"), *[F.col(f"c{i}").alias(f"m{i}") for i in NUMBERS[1:]]]
+    at = lambda start, spread: centres.select(*KEY, F.lit(start).alias("_start"), *medians, *[(spread(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS])
+    narrow = at(0, lambda i: F.lit((3 * floors[i]) ** 2))
+    middle = at(1, lambda i: F.pow(F.greatest(F.col(f"w{i}"), F.lit(floors[i])), 2))
+    whole = _moments(vectors, KEY, 1.0, floors).withColumn("_start", F.lit(2))
+    now = stored(_with_determinant(narrow.unionByName(middle)).unionByName(whole.select(*KEY, "_start", *[f"m{i}" for i in NUMBERS], *[f"v{i}{j}" for i, j in PAIRS], "logdet")), "estimate")
+
+    scale, each = consistency(support, len(raw)), [*KEY, "_start"]
+    for k in range(most_steps):
+        placed = vectors.join(_factored(now).select(*each, *[f"m{i}" for i in NUMBERS], *[f"l{i}{j}" for i, j in PAIRS]), KEY)
+        placed = placed.withColumn("cell", F.floor(F.log(_distance([F.col(f"x{i}") for i in NUMBERS]) + 1e-9) / DISTANCE_CELL).cast("long")).select(*each, "cell", *[f"x{i}" for i in NUMBERS])
+        bound = _quantile(placed.groupBy(*each, "cell").agg(F.count("*").alias("n")), each, "cell", {"bound": support}).drop("_all")
+        new = stored(_moments(placed.join(bound, each).where("cell <= bound"), each, scale, floors), "estimate")
+        falls = new.join(now.select(*each, F.col("logdet").alias("_before")), each).where(F.col("logdet") < F.col("_before") - SETTLED).isEmpty()
+        now = new
+        if k and falls:
+            break
+    best = now.groupBy(*KEY).agg(F.min_by(F.struct(*[c for c in now.columns if c not in KEY]), F.struct("logdet", "_start")).alias("b"))
+    return centres.select(*KEY, "n_group", "c0").join(best, KEY).select(*KEY, "n_group", "c0", "b.*").drop("_start")
+
+
+def drawn_together(found: DataFrame, prior: int) -> DataFrame:
+    """Per language and source: c0, means and Cholesky factor, drawn towards the language's, and that towards all rows'."""
+    numbers = ["c0", *[f"m{i}" for i in NUMBERS], *[f"v{i}{j}" for i, j in PAIRS]]
+    weight = lambda n: F.col(n) / (F.col(n) + prior)
+
+    def level(k: int, name: str) -> DataFrame:
+        return found.where(F.col("_level") == k).select(*GROUP[: 2 - k], F.col("n_group").alias(f"n_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in numbers])
+
+    every = level(2, "all").withColumn("_one", F.lit(1))
+    of_lang = level(1, "lang").withColumn("_one", F.lit(1)).join(every, "_one").drop("_one")  # one row on the right
+    rows = level(0, "own").join(of_lang, "_lang")
+    mixed = {c: weight("n_own") * F.col(f"{c}_own") + (1 - weight("n_own")) * (weight("n_lang") * F.col(f"{c}_lang") + (1 - weight("n_lang")) * F.col(f"{c}_all")) for c in numbers}
+    return _factored(rows.select(*GROUP, *[x.alias(c) for c, x in mixed.items()])).select(*GROUP, "c0", *[f"m{i}" for i in NUMBERS], *[f"l{i}{j}" for i, j in PAIRS])
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = (), cutoff: float = 32.0, **parameters) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = (), cutoff: float = 32.0, prior: int = 50, **parameters) -> DataFrame:
     """Base counts, base_failed, the squared distance and the verdict of every row, and the columns in ``carry``.
 
     ``cutoff`` is the largest squared distance that stays: with four statistics one normal row in half
@@ -194,7 +229,10 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = (), cutoff: float = 32.0, **
     optimizer must not push a filter on the verdict into the counting.
     """
     counted = stored(base_counts(docs, carry), "counts")
-    rows = estimate(counted, **parameters).judged(counted, cutoff)
+    shapes = stored(drawn_together(estimates(counted, **parameters), prior), "shapes")
+    rows = _points(counted.join(shapes, GROUP, "left"))
+    rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in NUMBERS])))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
     return rows.select("doc_id", *COUNTS, "base_failed", "distance", "kept", *[F.col(f"_row.{c}").alias(c) for c in carry])
 
 
