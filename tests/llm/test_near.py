@@ -1,8 +1,7 @@
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from tradelens.llm import near
+from tradelens.llm import near, pipeline
 from tradelens.llm.common import read
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,7 +28,7 @@ def brute(rows):
 
 def kept(spark, rows):
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
-    return sorted((r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    return sorted((r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
 
 
 def test_edited_copies_against_brute_force(spark):

@@ -5,7 +5,10 @@ Two sets whose similarity is 0.8 or more have a shingle in common among the firs
 all (prefix filtering). Shingles that a sample of the texts has often come last in that order, the
 others stand by their hash; the sample decides the cost alone, not the result.
 
-1. Each distinct text is filed under the shingles of its prefix.
+1. SimHash fingerprints of the distinct texts are linked by multi-index hashing (``simhash.links``). It
+   finds close copies at little cost, but of pairs at 0.8 most differ in more bits than any radius that
+   this can be done for, so the rest is found by prefixes: each text is filed under the shingles of its
+   prefix.
 2. Of each shingle, every text is compared with two of the texts filed there, in a few rounds with
    other two each. This is linear in the rows and joins most of a large group of near copies.
 3. Texts of different components that meet under a shingle are then compared with each other, unless
@@ -23,7 +26,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.common import stored
+from tradelens.llm.common import forget, release, stored
+from tradelens.llm import simhash
 from tradelens.llm.simhash import components
 
 #: Texts in the sample that finds frequent shingles, and in how many of them such a shingle is.
@@ -119,7 +123,10 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     sets = stored(_sets(texts.join(named, "k", "left_semi"), shingle), "shingle-sets")
     both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
     enough = _ENOUGH * F.size(F.array_intersect("of_a", "of_b")) >= _SIZES * (F.size("of_a") + F.size("of_b"))
-    return both.where(enough).select("a", "b")
+    found = stored(both.where(enough).select("a", "b"), "links")
+    forget(pairs.sparkSession, sets)
+    release(pairs.sparkSession)
+    return found
 
 
 def _sized(n, m):
@@ -132,19 +139,36 @@ def _apart(known: DataFrame) -> DataFrame:
     return known.join(ends, "s", "left_semi")
 
 
+def _by_fingerprint(texts: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are equal or linked by SimHash; of equal ones, with one of them."""
+    marked = stored(simhash.fingerprints(texts.withColumnRenamed("k", "doc_id"), shingle), "fingerprints").select(F.col("doc_id").alias("k"), "fp")
+    one = stored(marked.groupBy("fp").agg(F.min("k").alias("one")), "distinct-fingerprints")
+    met = simhash.links(one.select("fp"))
+    met = met.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = marked.join(one, "fp").where("k <> one").select(F.col("one").alias("a"), F.col("k").alias("b"))
+    return met.union(equal).distinct()
+
+
 def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     """Edges (a, b) that connect all of the distinct ``texts`` (k, text) that are linked at 0.8 or more."""
-    known = prefixes(texts, shingle).withColumn("c", F.col("k"))
-    near = tried = None
+    tried = stored(_by_fingerprint(texts, shingle), "fingerprint-pairs")
+    near = _alike(tried, texts, shingle)
+    filed = stored(prefixes(texts, shingle), "prefixes")
+    shared = filed.groupBy("s").agg(F.count("*").alias("_n")).where("_n > 1").select("s")  # most shingles are met once
+    met = stored(filed.join(shared, "s", "left_semi"), "met")
+    forget(texts.sparkSession, filed)
+    release(texts.sparkSession)
+    known = met.join(components(near).toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     for turn in range(ROUNDS):
-        known = stored(_apart(known if turn else stored(known, "prefixes")), "met")
+        known = stored(_apart(known), "met")
+        release(texts.sparkSession)
         mark = F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "n", "c")
         ends = known.groupBy("s").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
         pairs = known.join(ends, "s").select("k", "n", "c", F.explode(F.array("lo", "hi")).alias("end"))
         pairs = pairs.where((F.col("c") != F.col("end.c")) & _sized(F.col("n"), F.col("end.n"))).select(F.least("k", "end.k").alias("a"), F.greatest("k", "end.k").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "stars")
-        found = stored(_alike(pairs, texts, shingle), "star-links")
-        near, tried = (near.union(found), tried.union(pairs)) if turn else (found, pairs)
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "stars")
+        found = _alike(pairs, texts, shingle)
+        near, tried = near.union(found), tried.union(pairs)
         roots = components(near)
         known = known.drop("c").join(roots.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = stored(_apart(known), "met")
