@@ -9,8 +9,9 @@ others stand by their hash; the sample decides the cost alone, not the result.
    finds close copies at little cost, but of pairs at 0.8 most differ in more bits than any radius that
    this can be done for, so the rest is found by prefixes: each text is filed under the shingles of its
    prefix.
-2. Of each shingle, every text is compared with two of the texts filed there, in a few rounds with
-   other two each. This is linear in the rows and joins most of a large group of near copies.
+2. Of each shingle, two of the texts filed there stand for all, other two in each of a few rounds. Every
+   text is compared with the one of these that it meets under most shingles: one comparison for each
+   text and round, which joins most of a large group of near copies.
 3. Texts of different components that meet under a shingle are then compared with each other, unless
    their sizes, their places in the prefixes or the parities of their sets rule out 0.8.
 
@@ -33,8 +34,8 @@ from tradelens.llm.simhash import components
 #: Texts in the sample that finds frequent shingles, and in how many of them such a shingle is.
 SAMPLE = 10_000
 FREQUENT = 4
-#: How often the texts of a shingle are compared with two of them before all are.
-ROUNDS = 2
+#: How often each text is compared with one that stands for others, before all that are left are compared.
+ROUNDS = 3
 #: Longs that hold the parities of a set: bit i tells whether an odd number of its hashes is i modulo 64 x MARKS.
 MARKS = 8
 #: Overlap / union is 4 / 5 or more just if 9 x overlap is 4 x (sum of the sizes) or more.
@@ -165,7 +166,8 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
         mark = F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "n", "c")
         ends = known.groupBy("s").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
         pairs = known.join(ends, "s").select("k", "n", "c", F.explode(F.array("lo", "hi")).alias("end"))
-        pairs = pairs.where((F.col("c") != F.col("end.c")) & _sized(F.col("n"), F.col("end.n"))).select(F.least("k", "end.k").alias("a"), F.greatest("k", "end.k").alias("b")).distinct()
+        pairs = pairs.where((F.col("c") != F.col("end.c")) & _sized(F.col("n"), F.col("end.n"))).groupBy("k", F.col("end.k").alias("e")).agg(F.count("*").alias("m"))
+        pairs = pairs.groupBy("k").agg(F.max_by("e", F.struct("m", "e")).alias("e")).select(F.least("k", "e").alias("a"), F.greatest("k", "e").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "stars")
         found = _alike(pairs, texts, shingle)
         near, tried = near.union(found), tried.union(pairs)
