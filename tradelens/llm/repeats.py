@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tradelens.llm.common import bucketed, forget, release, stored
 
 #: Words in a shingle from which anchors are drawn.
-ANCHOR_WORDS = 4
+ANCHOR_WORDS = 6
 #: Windows in a passage at most; longer ones go on in the next.
 PASSAGE_WINDOWS = 52
 #: Windows in an automaton at most: what bounds its memory. A part with more has more automata.
