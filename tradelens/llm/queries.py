@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.llm import compaction, langid, licences, packing, quality, repair, repeats, simhash, templates, tiling
+from tradelens.llm import compaction, hilbert, kmeans_tree, langid, licences, merkle, packing, quality, repair, repeats, simhash, templates, tiling
 from tradelens.llm.common import read, scratch
 
 
@@ -56,10 +56,22 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.tampering()).drop("path")
+
+
+def op13_hilbert_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    own = [op1_best_fit_packing, op2_template_deduction, op3_licence_scan, op4_byte_cnn_language, op5_robust_outliers, op6_size_tiered_compaction, op7_simhash_classes, op8_repeated_phrases, op9_repair_tokens, op10_greedy_tiling]
+    own = [op1_best_fit_packing, op2_template_deduction, op3_licence_scan, op4_byte_cnn_language, op5_robust_outliers, op6_size_tiered_compaction, op7_simhash_classes, op8_repeated_phrases, op9_repair_tokens, op10_greedy_tiling, op11_kmeans_tree_search, op12_merkle_manifest, op13_hilbert_clusters]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_size_tiered_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"}
+    return {"op6_size_tiered_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents", "op12_merkle_manifest": merkle.oracle_sql(), "op13_hilbert_clusters": hilbert.oracle_sql()}
