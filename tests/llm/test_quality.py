@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tradelens.llm import quality
-from tradelens.llm.common import read
+from tradelens.llm.common import read, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_words string, distance string"
 
@@ -112,6 +112,13 @@ def test_small_groups_are_drawn_to_larger_ones(spark):
         assert np.allclose([rows[i].distance for i in at], d, rtol=1e-5), group
 
 
+def test_other_groups_change_no_estimate(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").withColumn("source", F.when(F.col("doc_id") % 40 == 0, "rare").otherwise("wide"))
+    found = lambda df: {(r._level, r._lang, r._source): tuple(r) for r in quality.estimates(stored(quality.base_counts(df), "counts")).collect()}
+    every, alone = found(docs), found(docs.where("lang = 'en' AND source = 'wide'"))
+    assert np.allclose(every[0, "en", "wide"][3:], alone[0, "en", "wide"][3:], rtol=1e-9, atol=1e-12)
+
+
 def test_clean_stay_and_junk_goes(spark):
     rng = np.random.default_rng(1)
     vocab = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(400)]

@@ -165,11 +165,13 @@ def _factored(df: DataFrame) -> DataFrame:
     return df.withColumns({f"l{i}{j}": c for (i, j), c in _factor().items()})
 
 
-def estimates(counted: DataFrame, support: float = 0.75, most_steps: int = 12, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+def estimates(counted: DataFrame, support: float = 0.75, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Per key: n_group, c0, the means, covariances and log determinant of the best start. ``counted`` must be stored.
 
     Starts: the medians with a small scale, which outliers cannot move; the medians with the spread of
-    the middle half; the mean and covariance of all rows.
+    the middle half; the mean and covariance of all rows. A group takes further steps while one of its
+    starts falls below its lowest determinant so far; determinants have a floor, so that ends. What other
+    groups do has no part in it, and a group that has settled takes no part in later steps.
     """
     raw = statistics()
     levels = [F.struct(F.lit(0).alias("_level"), *GROUP), F.struct(F.lit(1).alias("_level"), F.col("_lang"), F.lit(ALL).alias("_source")), F.struct(F.lit(2).alias("_level"), F.lit(ALL).alias("_lang"), F.lit(ALL).alias("_source"))]
@@ -181,7 +183,7 @@ def estimates(counted: DataFrame, support: float = 0.75, most_steps: int = 12, f
     centres = marks.groupBy(*KEY).agg(F.max("_all").alias("n_group"), *[of(i, (F.col("q2") + 0.5) * STAT_CELL).alias(f"c{i}") for i in NUMBERS], *[of(i, (F.col("q3") - F.col("q1")) * STAT_CELL / 1.349).alias(f"w{i}") for i in NUMBERS])
     centres = stored(centres, "centres")
 
-    vectors = _points(passing.join(centres.select(*KEY, "c0"), KEY))
+    vectors = stored(_points(passing.join(centres.select(*KEY, "c0"), KEY)).select(*KEY, *[f"x{i}" for i in NUMBERS]), "vectors")
     medians = [F.lit(0.0).alias("m0"), *[F.col(f"c{i}").alias(f"m{i}") for i in NUMBERS[1:]]]
     at = lambda start, spread: centres.select(*KEY, F.lit(start).alias("_start"), *medians, *[(spread(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS])
     narrow = at(0, lambda i: F.lit((3 * floors[i]) ** 2))
@@ -190,15 +192,19 @@ def estimates(counted: DataFrame, support: float = 0.75, most_steps: int = 12, f
     now = stored(_with_determinant(narrow.unionByName(middle)).unionByName(whole.select(*KEY, "_start", *[f"m{i}" for i in NUMBERS], *[f"v{i}{j}" for i, j in PAIRS], "logdet")), "estimate")
 
     scale, each = consistency(support, len(raw)), [*KEY, "_start"]
-    for k in range(most_steps):
+    now, settled, first = now.withColumn("_low", F.col("logdet")), [], True
+    while True:
         placed = vectors.join(_factored(now).select(*each, *[f"m{i}" for i in NUMBERS], *[f"l{i}{j}" for i, j in PAIRS]), KEY)
         placed = placed.withColumn("cell", F.floor(F.log(_distance([F.col(f"x{i}") for i in NUMBERS]) + 1e-9) / DISTANCE_CELL).cast("long")).select(*each, "cell", *[f"x{i}" for i in NUMBERS])
         bound = _quantile(placed.groupBy(*each, "cell").agg(F.count("*").alias("n")), each, "cell", {"bound": support}).drop("_all")
-        new = stored(_moments(placed.join(bound, each).where("cell <= bound"), each, scale, floors), "estimate")
-        falls = new.join(now.select(*each, F.col("logdet").alias("_before")), each).where(F.col("logdet") < F.col("_before") - SETTLED).isEmpty()
-        now = new
-        if k and falls:
+        new = _moments(placed.join(bound, each).where("cell <= bound"), each, scale, floors).join(now.select(*each, "_low"), each)
+        falls = F.max(F.col("logdet") < F.col("_low") - SETTLED).over(Window.partitionBy(*KEY))  # three rows each
+        new = stored(new.withColumn("_on", falls | F.lit(first)).withColumn("_low", F.least("_low", "logdet")), "estimate")
+        settled.append(new.where(~F.col("_on")).drop("_on", "_low"))
+        now, first = new.where("_on").drop("_on"), False
+        if now.isEmpty():
             break
+    now = reduce(DataFrame.unionByName, settled)
     best = now.groupBy(*KEY).agg(F.min_by(F.struct(*[c for c in now.columns if c not in KEY]), F.struct("logdet", "_start")).alias("b"))
     return centres.select(*KEY, "n_group", "c0").join(best, KEY).select(*KEY, "n_group", "c0", "b.*").drop("_start")
 
