@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.operators import quantiles
 from tradelens.operators.prices import as_of_returns
 
 HORIZONS = (30, 60, 90, 180)
@@ -28,39 +29,44 @@ def trades(signals: DataFrame, as_of: Column, horizons: tuple[int, ...] = HORIZO
     return out.withColumn("start_date", start).withColumn("end_date", F.date_add("start_date", F.col("horizon"))).where(F.date_add("signal_date", F.col("horizon") + lag) <= as_of)
 
 
-def excess_returns(entered: DataFrame, bars: DataFrame, benchmark: DataFrame, missing: float | None = -50.0, longest: int = 180, digits: int | None = 2) -> DataFrame:
+def excess_returns(entered: DataFrame, bars: DataFrame, benchmark: DataFrame, missing: float | None = -50.0, digits: int | None = 2) -> DataFrame:
     """Add ret, bench_ret and excess. Rows without a benchmark return keep a null excess.
 
     ``missing``: the return of a ticker without prices; None leaves it null.
     """
-    own = as_of_returns(entered, bars, days=longest)
+    own = as_of_returns(entered, bars)
     span = own.select("start_date", "end_date").distinct().withColumn("series", F.lit(1))
-    base = as_of_returns(span, benchmark.withColumn("series", F.lit(1)), key="series", days=longest, name="bench_ret").select("start_date", "end_date", "bench_ret")
+    base = as_of_returns(span, benchmark.withColumn("series", F.lit(1)), key="series", name="bench_ret").select("start_date", "end_date", "bench_ret")
     out = own.join(base, ["start_date", "end_date"], "left")
     ret = F.col("ret") if missing is None else F.coalesce("ret", F.lit(missing))
     excess = ret - F.col("bench_ret")
     return out.withColumn("ret", ret).withColumn("excess", excess if digits is None else F.round(excess, digits))
 
 
-def metrics(value: str = "excess", horizon: Column | None = None) -> list[Column]:
+#: The quantiles of the metrics.
+QUANTILES = {"median_return": 0.5, "p25_return": 0.25, "p75_return": 0.75}
+
+
+def metrics(rows: DataFrame, keys: list[str], *more: Column, value: str = "excess") -> DataFrame:
+    """Per group: n, hit rate, mean, quartiles, extremes, and the aggregates in ``more``."""
     v = F.col(value)
-    return [
+    out = rows.groupBy(*keys).agg(
         F.count(v).alias("n"),
         F.round(F.avg(F.when(v > 0, 100.0).when(v.isNotNull(), 0.0)), 1).alias("hit_rate"),
         F.round(F.avg(v), 2).alias("avg_return"),
-        F.round(F.percentile(v, F.lit(0.5)), 4).alias("median_return"),
-        F.round(F.percentile(v, F.lit(0.25)), 4).alias("p25_return"),
-        F.round(F.percentile(v, F.lit(0.75)), 4).alias("p75_return"),
         F.min(v).alias("max_loss"),
         F.max(v).alias("max_gain"),
-    ]
+        *more,
+    )
+    found = quantiles.exact(rows, keys, value, QUANTILES)
+    return out.join(found.select(*keys, *[F.round(c, 4).alias(c) for c in QUANTILES]), keys, "left")
 
 
 def summary(returns: DataFrame) -> DataFrame:
     """Per horizon: metrics and the Sharpe ratio (null for one trade or no spread)."""
     spread = F.stddev_samp("excess")
     sharpe = F.when(spread > 0, F.avg("excess") / spread * F.sqrt(F.lit(252.0) / F.first("horizon")))
-    return returns.where("excess IS NOT NULL").groupBy("horizon").agg(*metrics(), F.round(sharpe, 2).alias("sharpe"))
+    return metrics(returns.where("excess IS NOT NULL"), ["horizon"], F.round(sharpe, 2).alias("sharpe"))
 
 
 def band(score: Column) -> Column:
@@ -76,7 +82,7 @@ def strata(returns: DataFrame) -> DataFrame:
     Every category of ``CATEGORIES`` has a row at each horizon, with null metrics and n = 0 if it is empty.
     """
     rows = returns.where("excess IS NOT NULL").select("horizon", "excess", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("category")) for d, c in (("score_band", band(F.col("score"))), ("cap_tier", F.coalesce("cap_tier", F.lit("unknown"))), ("signal_type", F.col("signal_type")))])).alias("s"))
-    found = rows.where("s.category IS NOT NULL").groupBy("horizon", "s.dimension", "s.category").agg(*metrics())
+    found = metrics(rows.where("s.category IS NOT NULL").select("horizon", "excess", "s.*"), ["horizon", "dimension", "category"])
     fixed = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(c).alias("category")) for d, own in CATEGORIES.items() for c in own])
     every = returns.where("excess IS NOT NULL").select("horizon").distinct().select("horizon", F.explode(fixed).alias("c")).select("horizon", "c.*")
     return every.join(found, ["horizon", "dimension", "category"], "left").na.fill(0, ["n"])

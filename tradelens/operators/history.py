@@ -19,19 +19,16 @@ def routine_flags(df: DataFrame, actor: list[str], date: str = "transaction_date
     """Add ``routine``: bought in the same month (up to day ``last_day``) of ``least`` of the ``years`` years before.
 
     Null where no earlier year is covered by the actor's history. The years are gathered per actor and
-    month in distinct form (at most one entry a year), so no group grows with the data.
+    month in distinct form (at most one entry a year), so no group grows with the data. Both windows keep
+    to a partitioning by actor: rows that have it already are not shuffled.
     """
-    year, month = F.year(date), F.month(date)
-    months = df.where(F.dayofmonth(date) <= last_day).select(*actor, month.alias("_month"), year.alias("_year")).distinct()
-    months = months.groupBy(*actor, "_month").agg(F.collect_set("_year").alias("_years"))
-    first = df.groupBy(*actor).agg(F.min(date).alias("_first"))
-    keyed = df.withColumn("_month", month)
-    safe = lambda left, right, keys: left.join(right.withColumnsRenamed({k: f"_r{k}" for k in keys}), [left[k].eqNullSafe(F.col(f"_r{k}")) for k in keys], "left").drop(*[f"_r{k}" for k in keys])
-    joined = safe(safe(keyed, first, actor), months, [*actor, "_month"])
+    year = F.year(date)
+    of_actor, of_month = Window.partitionBy(*actor), Window.partitionBy(*actor, F.month(date))
+    held = df.withColumn("_first", F.min(date).over(of_actor)).withColumn("_years", F.collect_set(F.when(F.dayofmonth(date) <= last_day, year)).over(of_month))
     covered = [F.year("_first") <= year - k for k in range(1, years + 1)]
-    bought = [c & F.coalesce(F.array_contains("_years", year - k), F.lit(False)) for k, c in zip(range(1, years + 1), covered)]
+    bought = [c & F.array_contains("_years", year - k) for k, c in zip(range(1, years + 1), covered)]
     n = sum((b.cast("int") for b in bought), F.lit(0))
-    return joined.withColumn("routine", F.when(covered[0], n >= least)).drop("_month", "_years", "_first")
+    return held.withColumn("routine", F.when(covered[0], n >= least)).drop("_years", "_first")
 
 
 def fill_routine(df: DataFrame, actor: list[str], stored: str = "is_routine", **kw) -> DataFrame:

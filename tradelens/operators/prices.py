@@ -6,22 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.functions.columns import cap_tier, market_cap, percent_change
-from tradelens.operators.ranges import join_in_days
 
 
-def as_of_returns(spans: DataFrame, bars: DataFrame, days: int, key: str = "ticker", start: str = "start_date", end: str = "end_date", slack: int = 7, name: str = "ret") -> DataFrame:
+def bars_around(points: DataFrame, bars: DataFrame, key: str, at: str = "at", width: int = 366) -> DataFrame:
+    """Add ``before`` (the last bar on or before the point) and ``after`` (the first on or after it), as (date, close).
+
+    One ordered merge: points and bars stand together in the order of their days, and each point takes the
+    bar last seen, forwards and backwards. No pair is ever made. The order is that of a (key, bucket of
+    ``width`` days), so a long series is spread over its buckets; what a bucket's first points lack comes
+    over its edge from the last bar of the buckets before, and likewise at its end.
+    """
+    day = F.unix_date(F.col("_at"))
+    bar = F.struct(F.col("date"), F.col("close"))
+    laid = bars.where("close IS NOT NULL AND date IS NOT NULL").select(key, F.col("date").alias("_at"), bar.alias("_bar"))
+    both = points.withColumn("_at", F.col(at)).withColumn("_p", F.lit(True)).unionByName(laid.withColumn("_p", F.lit(False)), allowMissingColumns=True).withColumn("_bucket", F.floor(day / width))
+    cell = Window.partitionBy(key, "_bucket")
+    up, down = cell.orderBy(day).rangeBetween(Window.unboundedPreceding, 0), cell.orderBy(day.desc()).rangeBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("before", F.last("_bar", ignorenulls=True).over(up)).withColumn("after", F.last("_bar", ignorenulls=True).over(down)).where("_p").drop("_p", "_bar", "_at")
+
+    edges = laid.withColumn("_bucket", F.floor(day / width)).groupBy(key, "_bucket").agg(F.min("_bar").alias("_first"), F.max("_bar").alias("_last"))
+    buckets = points.select(key, F.floor(F.unix_date(at) / width).alias("_bucket")).distinct().join(edges.withColumn("_has", F.lit(True)), [key, "_bucket"], "full_outer")
+    order = Window.partitionBy(key)
+    carried = buckets.select(key, "_bucket", F.last("_last", ignorenulls=True).over(order.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.last("_first", ignorenulls=True).over(order.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("_right"))
+    met = seen.join(carried, [key, "_bucket"], "left")
+    return met.withColumn("before", F.coalesce("before", "_left")).withColumn("after", F.coalesce("after", "_right")).drop("_bucket", "_left", "_right")
+
+
+def as_of_returns(spans: DataFrame, bars: DataFrame, key: str = "ticker", start: str = "start_date", end: str = "end_date", slack: int = 7, name: str = "ret") -> DataFrame:
     """Add start_close (first close on or after start), end_close (last close on or before end) and the return.
 
-    Null unless there are two bars from start to ``slack`` days after end. Bars meet spans on (key,
-    bucket of days), so a benchmark series shared by all spans is split over its buckets. ``days`` is
-    the length of the longest span.
+    Null unless two days from start to less than ``slack`` days after end have a bar. Each distinct span is three
+    points (its start, its end, the last day of its slack) that are merged with the bars: spans of all
+    lengths in one pass, and no row for a bar within them. A series has one bar a day.
     """
     distinct = spans.select(key, start, end).distinct()
-    near = join_in_days(distinct, bars.select(F.col(key), F.col("date").alias("_date"), "close").where("close IS NOT NULL"), key, start, "_date", 0, days + slack - 1)
-    near = near.where(F.col("_date") < F.date_add(end, slack))
-    inside = F.col("_date") <= F.col(end)
-    found = near.groupBy(key, start, end).agg(F.count("*").alias("_bars"), F.min_by("close", "_date").alias("start_close"), F.max_by(F.when(inside, F.col("close")), F.when(inside, F.col("_date"))).alias("end_close"))
-    found = found.where("_bars >= 2").withColumn(name, percent_change(F.col("start_close"), F.col("end_close"))).drop("_bars")
+    marks = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("at")) for i, c in enumerate((F.col(start), F.col(end), F.date_add(end, slack - 1)))])
+    points = distinct.select(key, start, end, F.explode(marks).alias("m")).select(key, start, end, "m.i", "m.at")
+    own = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    found = bars_around(points, bars, key).groupBy(key, start, end).agg(own(0, "after").alias("_a"), own(1, "before").alias("_b"), own(2, "before").alias("_c"))
+    inside = F.col("_b.date") >= F.col(start)
+    found = found.where("_a.date < _c.date").select(key, start, end, F.col("_a.close").alias("start_close"), F.when(inside, F.col("_b.close")).alias("end_close"))
+    found = found.withColumn(name, percent_change(F.col("start_close"), F.col("end_close")))
     return spans.join(found, [key, start, end], "left")
 
 
@@ -34,15 +59,15 @@ def trailing_low(bars: DataFrame, key: str = "ticker", days: int = 365) -> DataF
 def low_at(df: DataFrame, bars: DataFrame, date: str = "transaction_date", key: str = "ticker", days: int = 365) -> DataFrame:
     """Add ``low_52wk`` up to the row's date.
 
-    Rows and bars share one ordered window; no range join. The window is that of a (key, year), with
-    each bar laid into its own year and the next, so that a long series is spread over its years.
+    Rows and bars share one ordered window; no join. The window is that of a (key, year), with each bar
+    laid into its own year and the next, so that a long series is spread over its years.
     """
-    year = F.floor(F.unix_date("date") / (days + 1))
-    points = df.select(key, F.col(date).alias("date")).distinct().withColumn("close", F.lit(None).cast("double")).withColumn("_year", year).withColumn("_point", F.lit(True))
-    both = bars.select(key, "date", "close", F.explode(F.array(year, year + 1)).alias("_year"), F.lit(False).alias("_point")).unionByName(points)
-    w = Window.partitionBy(key, "_year").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
-    lows = both.withColumn("low_52wk", F.min("close").over(w)).where("_point").select(key, F.col("date").alias(date), "low_52wk")
-    return df.join(lows, [key, date], "left")
+    year = lambda c: F.floor(F.unix_date(c) / (days + 1))
+    points = df.withColumns({"_at": F.col(date), "_close": F.lit(None).cast("double"), "_year": year(date), "_point": F.lit(True)})
+    laid = bars.select(key, F.col("date").alias("_at"), F.col("close").alias("_close"), F.explode(F.array(year("date"), year("date") + 1)).alias("_year"), F.lit(False).alias("_point"))
+    w = Window.partitionBy(key, "_year").orderBy(F.unix_date("_at")).rangeBetween(-days, 0)
+    both = points.unionByName(laid, allowMissingColumns=True).withColumn("low_52wk", F.min("_close").over(w))
+    return both.where("_point").drop("_at", "_close", "_year", "_point")
 
 
 def quotes(bars: DataFrame, key: str = "ticker", days: int = 365) -> DataFrame:

@@ -24,13 +24,21 @@ def latest(spark: SparkSession, d: str, until: str | None = None) -> DataFrame:
 
     ``until``: what was filed later is not known yet.
     """
-    tx = V.transactions(spark, d)
+    return latest_of(V.transactions(spark, d), until)
+
+
+def latest_of(tx: DataFrame, until: str | None = None) -> DataFrame:
     one = dedup.latest_by_key(tx if until is None else tx.where(F.col("filed_date") <= F.lit(until).cast("date")), [*ACTOR, "transaction_date", "transaction_code"], [F.desc("filed_date"), *V.tie()])
     return one.where("transaction_code = 'P' AND NOT is_10b51")
 
 
 def scored(spark: SparkSession, d: str, until: str | None = None) -> DataFrame:
-    rows = history.prior_purchases(latest(spark, d, until), ACTOR)
+    return scored_of(spark, d, V.transactions(spark, d), until)
+
+
+def scored_of(spark: SparkSession, d: str, tx: DataFrame, until: str | None = None) -> DataFrame:
+    """Latest amendments, earlier purchases and routine months all keep to one shuffle by actor."""
+    rows = history.prior_purchases(latest_of(tx.repartition(*ACTOR), until), ACTOR)
     rows = history.routine_flags(rows, ACTOR)
     rows = rows.join(V.companies(spark, d).select("ticker", "cap_tier"), "ticker", "left")
     rows = prices.low_at(rows, V.price_bars(spark, d)).withColumn("low_52wk", F.col("low_52wk") / 100)
@@ -45,9 +53,13 @@ def cluster_table(spark: SparkSession, d: str) -> DataFrame:
 def all_signals(spark: SparkSession, d: str) -> DataFrame:
     """The signals of all filing days, written once as a table: reports read it several times."""
     tx = V.transactions(spark, d)
-    items = clusters.work_items(tx)
+    return stored(scoring.one_per_date(signals_of(spark, d, tx, clusters.work_items(tx))), "signals")
+
+
+def signals_of(spark: SparkSession, d: str, tx: DataFrame, items: DataFrame, until: str | None = None) -> DataFrame:
+    """One signal for each work item, from the transactions in ``tx``."""
     found = clusters.cluster_windows(clusters.members(items, tx, V.tie()))
-    return stored(scoring.one_per_date(scoring.signals(items, scored(spark, d), found, V.tie())), "signals")
+    return scoring.signals(items, scored_of(spark, d, tx, until), found, V.tie())
 
 
 def live(spark: SparkSession, d: str, as_of: str, days: int = 7) -> DataFrame:
@@ -55,15 +67,14 @@ def live(spark: SparkSession, d: str, as_of: str, days: int = 7) -> DataFrame:
     day = F.lit(as_of).cast("date")
     tx = V.transactions(spark, d).where(F.col("filed_date") <= day)
     items = clusters.work_items(tx.where(F.col("filed_date") >= F.date_sub(day, days))).select("ticker", day.alias("as_of")).distinct()
-    found = clusters.cluster_windows(clusters.members(items, tx, V.tie()))
-    return scoring.one_per_date(scoring.signals(items, scored(spark, d, as_of), found, V.tie()))
+    return scoring.one_per_date(signals_of(spark, d, tx, items, as_of))
 
 
 def study(spark: SparkSession, d: str, every: DataFrame | None = None) -> DataFrame:
-    """Excess returns of all selected signals at all horizons."""
+    """Excess returns of all selected signals at all horizons, written once: summaries read them several times."""
     chosen = event_study.selected(all_signals(spark, d) if every is None else every).withColumn("filed_date", F.col("as_of"))
     entered = event_study.trades(chosen, F.lit(AS_OF).cast("date"))
-    return event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d))
+    return stored(event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d)), "study")
 
 
 # -- queries
@@ -126,7 +137,7 @@ def insider_rollup(spark, d):
 
 def asof_returns(spark, d):
     spans = latest(spark, d).select("ticker", F.col("transaction_date").alias("start_date"), F.date_add("transaction_date", 30).alias("end_date")).distinct()
-    return prices.as_of_returns(spans, V.price_bars(spark, d), days=30).select("ticker", "start_date", "end_date", "start_close", "end_close", F.round("ret", 4).alias("ret"))
+    return prices.as_of_returns(spans, V.price_bars(spark, d)).select("ticker", "start_date", "end_date", "start_close", "end_close", F.round("ret", 4).alias("ret"))
 
 
 def price_lows(spark, d):
@@ -150,7 +161,7 @@ def strata_pivot(spark, d):
 
 
 def event_study_report(spark, d):
-    rows = stored(study(spark, d), "study")
+    rows = study(spark, d)
     return event_study.report_rows(event_study.summary(rows), event_study.risk(rows))
 
 
@@ -173,8 +184,8 @@ def event_study_risk(spark, d):
 def event_study_weak_clusters(spark, d):
     weak = event_study.weak_clusters(all_signals(spark, d)).withColumn("filed_date", F.col("as_of"))
     entered = event_study.trades(weak, F.lit(AS_OF).cast("date"))
-    rows = event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d), missing=None)
-    return rows.where("excess IS NOT NULL").groupBy("horizon").agg(*event_study.metrics())
+    rows = stored(event_study.excess_returns(entered, V.price_bars(spark, d), V.benchmark_bars(spark, d), missing=None), "study")
+    return event_study.metrics(rows.where("excess IS NOT NULL"), ["horizon"])
 
 
 def event_study_small_caps(spark, d):
@@ -379,12 +390,12 @@ NAMES = [
 
 
 def queries() -> dict:
-    from tradelens.plans import upkeep
+    from tradelens.plans import streams, upkeep
 
-    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES]}
+    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES, *streams.NAMES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tradelens.plans import upkeep
+    from tradelens.plans import streams, upkeep
 
-    return ORACLE | upkeep.ORACLE
+    return ORACLE | upkeep.ORACLE | streams.ORACLE_STREAMS

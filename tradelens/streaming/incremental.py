@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.schemas import RULES, TYPE_RANK, Rules
+from tradelens.schemas import EXECUTIVES, RULES, TYPE_RANK, Rules
 
 
 def once_per_key(stream: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:
@@ -22,17 +22,50 @@ def sliding_buyers(stream: DataFrame, time: str = "ts", ticker: str = "ticker",
     return out.select(ticker, F.to_date("window.start").alias("window_start"), F.to_date(F.date_sub(F.to_date("window.end"), 1)).alias("window_end"), "n_buyers", "n_purchases")
 
 
-def buying_sessions(stream: DataFrame, time: str = "ts", actor: list[str] = ("ticker", "insider_name"), gap: str = "30 days", late: str = "7 days") -> DataFrame:
+def buying_sessions(stream: DataFrame, time: str = "transaction_date", actor: tuple[str, ...] = ("ticker", "insider_name"), gap: int = 30, late: str = "7 days", value: str = "total_value") -> DataFrame:
+    """Runs of purchases by one actor with at most ``gap`` days between neighbours: sessions that merge as rows come in.
+
+    A session is emitted once the watermark has passed its end and the gap. The twin of ``history.buying_episodes``.
+    """
+    day = stream.withColumn("_day", F.col(time).cast("date").cast("timestamp"))
+    held = day.withWatermark("_day", late) if stream.isStreaming else day
+    # whole days: a neighbour is in the session up to the end of the gap's last day
+    out = held.groupBy(F.session_window("_day", f"{gap * 24 + 1} hours").alias("session"), *actor).agg(F.min(time).cast("date").alias("first_date"), F.max(time).cast("date").alias("last_date"), F.count("*").alias("n_purchases"), F.sum(value).alias("value"))
+    return out.drop("session")
+
+
+def clusters(stream: DataFrame, time: str = "ts", late: str = "7 days", rules: Rules = RULES) -> DataFrame:
+    """Groups of independent buyers per (ticker, as_of), as ``operators.clusters`` finds them, from a stream in append mode.
+
+    Every day is the end of a window of ``cluster_days`` before it. Three aggregations with state follow
+    one another under one watermark: each buyer's latest purchase of the window; how many buyers share its
+    price and date (three or more bought in an offering and do not count); buyers per day. The last one
+    gathers at most ``cluster_days`` + 1 counts. A window counts if something was filed on its last day.
+    """
+    days = rules.cluster_days + 1
     held = stream.withWatermark(time, late) if stream.isStreaming else stream
-    out = held.groupBy(F.session_window(time, gap), *actor).agg(F.count("*").alias("n_purchases"))
-    return out.select(*actor, F.col("session_window.start").alias("first_ts"), "n_purchases")
+    own = F.col("is_direct") & (F.coalesce("total_value", F.lit(0)) >= rules.cluster_value) & F.col("insider_name").isNotNull()
+    rows = held.select(F.window(time, f"{days} days", "1 day").alias("window"), "*")
+    as_of = F.date_sub(F.to_date("window.end"), 1)
+    filed = F.to_date(time) == as_of
+    purchase = F.struct("transaction_date", "event_id", "price_per_share", "role_category")
+    buyers = rows.groupBy("window", "ticker", "insider_name").agg(F.max(F.when(own, purchase)).alias("p"), F.bool_or(filed).alias("filed"))
+    offers = buyers.groupBy("window", "ticker", F.col("p.price_per_share").alias("price"), F.col("p.transaction_date").alias("day")).agg(F.count("p").alias("n"), F.bool_or("filed").alias("filed"), F.bool_or(F.coalesce(F.lower("p.role_category").isin(EXECUTIVES), F.lit(False))).alias("exec"))
+    counts = F.col("n") < rules.cluster_buyers
+    per_day = offers.groupBy("window", "ticker", "day").agg(F.sum(F.when(counts, F.col("n")).otherwise(0)).alias("n"), F.bool_or("filed").alias("filed"), F.bool_or(F.col("exec") & counts).alias("exec"))
+    found = per_day.groupBy("window", "ticker").agg(F.sum("n").alias("insider_count"), F.bool_or("filed").alias("filed"), F.bool_or("exec").alias("_exec"), F.collect_list(F.when(F.col("n") > 0, F.struct("day", "n"))).alias("_days"))
+    near = lambda x: F.aggregate(F.filter("_days", lambda y: (y.day >= x.day) & (y.day <= F.date_add(x.day, rules.tight_days))), F.lit(0).cast("long"), lambda a, y: a + y.n)
+    is_cluster = F.col("insider_count") >= rules.cluster_buyers
+    tight = F.exists("_days", lambda x: near(x) >= rules.cluster_buyers)
+    return found.where("filed").select("ticker", as_of.alias("as_of"), "insider_count", is_cluster.alias("is_cluster"), (is_cluster & F.col("_exec")).alias("executive_cluster"), (is_cluster & tight).alias("tight_cluster"))
 
 
 def cooldown(stream: DataFrame, rules: Rules = RULES, ttl_days: int | None = None) -> DataFrame:
     """Greedy cooldown with state: per ticker the last kept signal.
 
     Needs (ticker, signal_date, score, signal_type). Within a micro-batch rows are taken by date, score
-    and rank, as the batch fold takes them. With ``ttl_days`` a ticker's state, three numbers, goes so
+    and rank, as the batch fold takes them; from one micro-batch to the next they must come in order
+    (``cooldown_in_order`` waits until they are). With ``ttl_days`` a ticker's state, three numbers, goes so
     long after its last kept signal: processing time, so longer than the cooldown and any delay of the
     input. Such a query runs batches for ever, so one that drains its input (availableNow) goes without.
     """
@@ -42,7 +75,7 @@ def cooldown(stream: DataFrame, rules: Rules = RULES, ttl_days: int | None = Non
         def init(self, handle) -> None:
             self.last = handle.getValueState("last", "day int, score int, rank int", *([] if ttl_days is None else [ttl_days * 86_400_000]))
 
-        def handleInputRows(self, key, rows: Iterator, timers) -> Iterator:
+        def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
             import pandas as pd
 
             frame = pd.concat(list(rows))
@@ -67,22 +100,85 @@ def cooldown(stream: DataFrame, rules: Rules = RULES, ttl_days: int | None = Non
     return own.groupBy("ticker").transformWithStateInPandas(Keep(), "ticker string, signal_date date, score int, signal_type string", "append", "none" if ttl_days is None else "processingTime")
 
 
+def cooldown_in_order(stream: DataFrame, time: str = "ts", late: str = "7 days", rules: Rules = RULES) -> DataFrame:
+    """Greedy cooldown over signals that arrive in any order, up to ``late`` behind the newest.
+
+    A row waits in its ticker's list until the watermark has passed its day: by then all rows of that day
+    and earlier ones are there, whatever batches brought them. An event-time timer for the day then takes
+    its rows by score and rank, as the batch fold does. State is what waits, and three numbers.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Wait(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "day int, score int, signal_type string")
+            self.last = handle.getValueState("last", "day int, score int, rank int")
+
+        def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+            import pandas as pd
+
+            days = set()
+            for frame in rows:
+                day = (pd.to_datetime(frame["signal_date"]) - pd.Timestamp(0)).dt.days
+                self.waiting.appendList([(int(d), int(s), t) for d, s, t in zip(day, frame["score"], frame["signal_type"])])
+                days |= set(day)
+            for d in days:
+                self.handle.registerTimer(int(d) * 86_400_000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+            import pandas as pd
+
+            due = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000
+            held = list(self.waiting.get())
+            ready = sorted((r for r in held if r[0] <= due), key=lambda r: (r[0], r[1], TYPE_RANK.get(r[2], 0)))
+            rest = [tuple(r) for r in held if r[0] > due]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            last = self.last.get() if self.last.exists() else None
+            kept = []
+            for day, score, kind in ready:
+                rank = TYPE_RANK.get(kind, 0)
+                if last and abs(day - last[0]) < rules.cooldown_days and score < last[1] + rules.cooldown_jump and rank <= last[2]:
+                    continue
+                last = (day, score, rank)
+                kept.append((*key, pd.Timestamp(0) + pd.Timedelta(days=day), score, kind))
+            if kept:
+                self.last.update(last)
+                out = pd.DataFrame(kept, columns=["ticker", "signal_date", "score", "signal_type"])
+                out["signal_date"] = out["signal_date"].dt.date
+                yield out
+
+        def close(self) -> None:
+            pass
+
+    own = stream.withWatermark(time, late).select("ticker", time, "signal_date", F.col("score").cast("int"), "signal_type")
+    return own.groupBy("ticker").transformWithStateInPandas(Wait(), "ticker string, signal_date date, score int, signal_type string", "append", "eventTime")
+
+
 def enriched(stream: DataFrame, companies: DataFrame, key: str = "ticker") -> DataFrame:
     """Stream rows with the columns of a static table (one row per key); unknown keys stay, with nulls."""
     return stream.join(companies.dropDuplicates([key]), key, "left")
 
 
-def recompute_late(stream: DataFrame, recompute, store, checkpoint: str, key: str = "ticker", date: str = "filed_date", back: int = 7):
-    """For each micro-batch recompute what late rows may have changed, and merge it into the store.
+def recompute_late(stream: DataFrame, add, recompute, store, checkpoint: str, key: str = "ticker", date: str = "filed_date", back: int = 0, after=None):
+    """For each micro-batch recompute what its rows, late ones too, may have changed, and replace that in the store.
 
-    ``recompute(keys)`` gets the (key, since) of the batch, where since is ``back`` days before the key's
-    earliest date, and returns fresh rows; ``store(rows)`` upserts them. A batch that runs again after a
-    failure gives the same rows, so an upsert by key makes the effect exactly once.
+    ``add(batch, number)`` puts the rows into the stored input. ``recompute(changed)`` gets (key, since), where
+    since is ``back`` days before the key's earliest date in the batch, and returns fresh rows;
+    ``store(fresh, changed, number)`` replaces what is stored for them. All three must be safe to repeat with
+    one number: a batch that fails runs again with the same rows and number. ``after(number)`` is called last.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         changed = batch.groupBy(key).agg(F.date_sub(F.min(date), back).alias("since"))
-        store(recompute(changed))
+        add(batch, number)
+        store(recompute(changed), changed, number)
+        if after:
+            after(number)
 
     return upsert_batches(stream, apply, checkpoint)
 
