@@ -165,6 +165,11 @@ def _factored(df: DataFrame) -> DataFrame:
     return df.withColumns({f"l{i}{j}": c for (i, j), c in _factor().items()})
 
 
+def _of_groups(df: DataFrame, label: str) -> DataFrame:
+    """Store a table of a few rows for each group in fewer files than partitions: its size then says that it is small."""
+    return stored(df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)), label)
+
+
 def estimates(counted: DataFrame, support: float = 0.75, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Per key: n_group, c0, the means, covariances and log determinant of the best start. ``counted`` must be stored.
 
@@ -181,7 +186,7 @@ def estimates(counted: DataFrame, support: float = 0.75, floors: tuple[float, ..
     marks = _quantile(cells, [*KEY, "s"], "cell", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     of = lambda i, c: F.max(F.when(F.col("s") == i, c))
     centres = marks.groupBy(*KEY).agg(F.max("_all").alias("n_group"), *[of(i, (F.col("q2") + 0.5) * STAT_CELL).alias(f"c{i}") for i in NUMBERS], *[of(i, (F.col("q3") - F.col("q1")) * STAT_CELL / 1.349).alias(f"w{i}") for i in NUMBERS])
-    centres = stored(centres, "centres")
+    centres = _of_groups(centres, "centres")
 
     vectors = stored(_points(passing.join(centres.select(*KEY, "c0"), KEY)).select(*KEY, *[f"x{i}" for i in NUMBERS]), "vectors")
     medians = [F.lit(0.0).alias("m0"), *[F.col(f"c{i}").alias(f"m{i}") for i in NUMBERS[1:]]]
@@ -189,17 +194,17 @@ def estimates(counted: DataFrame, support: float = 0.75, floors: tuple[float, ..
     narrow = at(0, lambda i: F.lit((3 * floors[i]) ** 2))
     middle = at(1, lambda i: F.pow(F.greatest(F.col(f"w{i}"), F.lit(floors[i])), 2))
     whole = _moments(vectors, KEY, 1.0, floors).withColumn("_start", F.lit(2))
-    now = stored(_with_determinant(narrow.unionByName(middle)).unionByName(whole.select(*KEY, "_start", *[f"m{i}" for i in NUMBERS], *[f"v{i}{j}" for i, j in PAIRS], "logdet")), "estimate")
+    now = _of_groups(_with_determinant(narrow.unionByName(middle)).unionByName(whole.select(*KEY, "_start", *[f"m{i}" for i in NUMBERS], *[f"v{i}{j}" for i, j in PAIRS], "logdet")), "estimate")
 
     scale, each = consistency(support, len(raw)), [*KEY, "_start"]
     now, settled, first = now.withColumn("_low", F.col("logdet")), [], True
     while True:
         placed = vectors.join(_factored(now).select(*each, *[f"m{i}" for i in NUMBERS], *[f"l{i}{j}" for i, j in PAIRS]), KEY)
         placed = placed.withColumn("cell", F.floor(F.log(_distance([F.col(f"x{i}") for i in NUMBERS]) + 1e-9) / DISTANCE_CELL).cast("long")).select(*each, "cell", *[f"x{i}" for i in NUMBERS])
-        bound = _quantile(placed.groupBy(*each, "cell").agg(F.count("*").alias("n")), each, "cell", {"bound": support}).drop("_all")
+        bound = _of_groups(_quantile(placed.groupBy(*each, "cell").agg(F.count("*").alias("n")), each, "cell", {"bound": support}).drop("_all"), "bound")
         new = _moments(placed.join(bound, each).where("cell <= bound"), each, scale, floors).join(now.select(*each, "_low"), each)
         falls = F.max(F.col("logdet") < F.col("_low") - SETTLED).over(Window.partitionBy(*KEY))  # three rows each
-        new = stored(new.withColumn("_on", falls | F.lit(first)).withColumn("_low", F.least("_low", "logdet")), "estimate")
+        new = _of_groups(new.withColumn("_on", falls | F.lit(first)).withColumn("_low", F.least("_low", "logdet")), "estimate")
         settled.append(new.where(~F.col("_on")).drop("_on", "_low"))
         now, first = new.where("_on").drop("_on"), False
         if now.isEmpty():
@@ -235,7 +240,7 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = (), cutoff: float = 32.0, pr
     optimizer must not push a filter on the verdict into the counting.
     """
     counted = stored(base_counts(docs, carry), "counts")
-    shapes = stored(drawn_together(estimates(counted, **parameters), prior), "shapes")
+    shapes = _of_groups(drawn_together(estimates(counted, **parameters), prior), "shapes")
     rows = _points(counted.join(shapes, GROUP, "left"))
     rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in NUMBERS])))
     rows = rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
