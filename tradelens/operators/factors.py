@@ -26,9 +26,10 @@ def nearest_signals(detail: DataFrame, signals: DataFrame, offset: int = 4, most
 def factor_lift(matched: DataFrame, factors: list[str]) -> DataFrame:
     """Per horizon and factor: mean excess with and without it. An absent or zero factor is without.
 
-    Sums are decimal, so the order of rows never shows in the last digit; a half goes to the even one.
+    Means come from sums of whole millionths, so the order of rows never shows in the last digit.
     """
-    mean = lambda c: F.try_divide(F.sum(F.when(c, F.col("excess").cast("decimal(24,6)"))).cast("double"), F.count_if(c & F.col("excess").isNotNull()))
+    units = F.round(F.col("excess") * 1_000_000).cast("decimal(38,0)")
+    mean = lambda c: F.try_divide(F.sum(F.when(c, units)).cast("double"), F.count_if(c & F.col("excess").isNotNull()) * 1_000_000)
     points = F.map_filter(F.from_json("matched_breakdown", "map<string,int>"), lambda k, v: v != 0)
     rows = matched.select("horizon", "excess", points.alias("_points"))
     sums = []
@@ -37,7 +38,7 @@ def factor_lift(matched: DataFrame, factors: list[str]) -> DataFrame:
         sums += [F.count_if(has).alias(f"n{k}"), F.count_if(~has).alias(f"o{k}"), mean(has).alias(f"w{k}"), mean(~has).alias(f"x{k}")]
     per = [F.struct(F.lit(f).alias("factor"), F.col(f"n{k}").alias("n_with"), F.col(f"o{k}").alias("n_without"), F.col(f"w{k}").alias("_w"), F.col(f"x{k}").alias("_o")) for k, f in enumerate(factors)]
     out = rows.groupBy("horizon").agg(*sums).select("horizon", F.explode(F.array(*per)).alias("f")).select("horizon", "f.*")
-    return out.select("horizon", "factor", "n_with", "n_without", F.bround("_w", 6).alias("avg_with"), F.bround("_o", 6).alias("avg_without"), F.bround(F.col("_w") - F.col("_o"), 6).alias("lift"))
+    return out.select("horizon", "factor", "n_with", "n_without", F.round("_w", 6).alias("avg_with"), F.round("_o", 6).alias("avg_without"), F.round(F.col("_w") - F.col("_o"), 6).alias("lift"))
 
 
 def lift_ranking(lift: DataFrame, horizon: int) -> DataFrame:

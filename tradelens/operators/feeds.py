@@ -82,9 +82,24 @@ def purchase_points(tx: DataFrame) -> DataFrame:
     return tx.where(price.isNotNull()).withColumn("price", price).withColumn("size", F.coalesce(F.col("shares").try_cast("double"), F.lit(0.0)))
 
 
+def unsent(signals: DataFrame, least: int = 60) -> DataFrame:
+    """Signals not sent yet that score or cluster."""
+    return signals.where(~F.coalesce("alerted", F.lit(False)) & ((F.col("score") >= least) | F.col("cluster_flag")))
+
+
 def alert_queue(signals: DataFrame, least: int = 60) -> DataFrame:
-    """Signals not sent yet that score or cluster, best first."""
-    return signals.where(~F.coalesce("alerted", F.lit(False)) & ((F.col("score") >= least) | F.col("cluster_flag"))).orderBy(F.desc("score"), F.desc("signal_date"), "ticker")
+    """The unsent signals, best first."""
+    return unsent(signals, least).orderBy(F.desc("score"), F.desc("signal_date"), "ticker")
+
+
+def exists(df: DataFrame, name: str = "found") -> DataFrame:
+    """One row: is there any? Tasks stop at their first row."""
+    return df.select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias(name))
+
+
+def latest_signals(signals: DataFrame, k: int = 20) -> DataFrame:
+    """The latest ``k`` signals of each ticker."""
+    return top_per_key(signals, ["ticker"], [F.desc("signal_date")], k)
 
 
 def outbox(signals: DataFrame, sent: DataFrame) -> DataFrame:
@@ -97,10 +112,17 @@ def daily_summary(signals: DataFrame) -> DataFrame:
 
 
 def facets(df: DataFrame, most: int = 12) -> DataFrame:
-    """Per column: distinct values, and whether a filter lists them or searches text."""
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns])
-    long = counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c) for c in df.columns]))).alias("column", "n_distinct"))
-    return long.withColumn("filter", F.when(F.col("n_distinct") <= most, "members").otherwise("contains"))
+    """Per column: its distinct values, counted up to one more than ``most``, and whether a filter lists them or searches text.
+
+    Exact: values are made distinct by (column, value), and of each column only so many go on as decide.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
+    few = values.withColumn("_n", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("_n") <= most + 1)
+    counts = few.groupBy("column").agg(F.max("_n").cast("long").alias("n_distinct"))
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    out = every.join(counts, "column", "left").na.fill(0, ["n_distinct"])
+    return out.withColumn("filter", F.when(F.col("n_distinct") <= most, "members").otherwise("contains"))
 
 
 def contains(df: DataFrame, column: str, text: str) -> DataFrame:

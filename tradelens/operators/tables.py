@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradelens.operators.dedup import latest_by_key, not_stored
 
@@ -67,6 +70,26 @@ def evolve(df: DataFrame, schema) -> DataFrame:
     return df.select(*own, *[c for c in df.columns if c not in set(schema.fieldNames())])
 
 
+def read_evolved(spark: SparkSession, paths: list[str], schema: T.StructType, rescued: str | None = None) -> DataFrame:
+    """Folders that were written at different times, read under one schema.
+
+    Each folder has its own columns and types, which its files tell. A column it lacks is null; a type that
+    has been widened since is cast. Columns that the schema does not name, and values that do not fit its types,
+    are kept as JSON in ``rescued`` (null if there is nothing to keep); without it they are left out.
+    """
+    parts = []
+    for path in paths:
+        old = spark.read.parquet(path)
+        have, names = set(old.columns), set(schema.fieldNames())
+        own = [(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+        rest = [F.col(c) for c in old.columns if c not in names]
+        rest += [F.when(F.col(f.name).try_cast(f.dataType).isNull(), F.col(f.name)).alias(f.name) for f in schema.fields if f.name in have and old.schema[f.name].dataType != f.dataType]
+        if rescued is not None:
+            own.append((F.nullif(F.to_json(F.struct(*rest)), F.lit("{}")) if rest else F.lit(None).cast("string")).alias(rescued))
+        parts.append(old.select(*own))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fetch_windows(lo: Column, hi: Column, days: int = 8) -> Column:
     """Array of non-overlapping (start, end) windows that cover lo to hi, the last day included."""
     starts = F.sequence(lo, hi, F.make_dt_interval(F.lit(days)))

@@ -140,8 +140,8 @@ pairs AS (
 matched AS (SELECT * FROM pairs WHERE rn6 = 1)"""
 _LIFT = ",\nfac AS (" + " UNION ALL ".join(f"SELECT horizon, excess, '{f}' AS factor, coalesce(has AND ({c}), FALSE) AS w FROM matched s" for f, c in _FACTORS) + """),
 lift AS (
-  SELECT horizon, factor, count(*) FILTER (w) AS n_with, count(*) FILTER (NOT w) AS n_without, round(avg(excess) FILTER (w), 6) AS avg_with, round(avg(excess) FILTER (NOT w), 6) AS avg_without,
-    round(avg(excess) FILTER (w) - avg(excess) FILTER (NOT w), 6) AS lift FROM fac GROUP BY ALL
+  SELECT horizon, factor, count(*) FILTER (w) AS n_with, count(*) FILTER (NOT w) AS n_without, round(CAST(sum(CAST(round(excess * 100) AS BIGINT)) FILTER (w) AS DOUBLE) / (100 * count(*) FILTER (w)), 6) AS avg_with, round(CAST(sum(CAST(round(excess * 100) AS BIGINT)) FILTER (NOT w) AS DOUBLE) / (100 * count(*) FILTER (NOT w)), 6) AS avg_without,
+    round(CAST(sum(CAST(round(excess * 100) AS BIGINT)) FILTER (w) AS DOUBLE) / (100 * count(*) FILTER (w)) - CAST(sum(CAST(round(excess * 100) AS BIGINT)) FILTER (NOT w) AS DOUBLE) / (100 * count(*) FILTER (NOT w)), 6) AS lift FROM fac GROUP BY ALL
 )"""
 _WEIGHT = "CASE factor WHEN 'role_cfo' THEN 15 WHEN 'role_director' THEN 16 WHEN 'role_coo' THEN 15 WHEN 'role_officer' THEN 12 WHEN 'role_ceo' THEN -5 WHEN 'cap_small' THEN 15 WHEN 'cap_unknown' THEN 5 WHEN 'indirect_purchase' THEN -15 WHEN 'holdings_increase_5pct' THEN 15 WHEN 'sequenced_buying_30d' THEN 10 WHEN 'prior_purchase_31_365d' THEN 15 WHEN 'first_purchase_12mo' THEN -10 WHEN 'near_52wk_low_5pct' THEN 12 WHEN 'near_52wk_low_10pct' THEN 7 ELSE 0 END"
 ALERTED = "(day(signal_date) % 2 = 0)"

@@ -260,15 +260,6 @@ def daily_summary(spark, d):
     return feeds.daily_summary(all_signals(spark, d).withColumn("alerted", F.dayofmonth("signal_date") % 2 == 0))
 
 
-def alert_messages(spark, d):
-    """Outbox of cluster alerts with their text."""
-    tx = V.transactions(spark, d)
-    rows = all_signals(spark, d).where("signal_type = 'CLUSTER_BUY'")
-    near = clusters.join_in_days(rows.select("ticker", "as_of"), scored(spark, d).where("disqualifier IS NULL"), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
-    full = evidence.evidence(rows, evidence.insider_rollup(near, ["ticker", "as_of"]), clusters.members(rows.select("ticker", "as_of"), tx, V.tie()))
-    return evidence.alert_text(full).select("ticker", "signal_date", F.size("insiders").alias("n_insiders"), "message")
-
-
 def market_caps(spark, d):
     held = V.read(spark, d, "part").select((F.col("p_partkey") % F.lit(1000) + 1).cast("string").alias("cik"), F.when(F.col("p_partkey") % 3 == 0, "dei").when(F.col("p_partkey") % 3 == 1, "us-gaap").otherwise("concept").alias("taxonomy"), F.date_add(F.lit("1998-01-01").cast("date"), F.col("p_size")).alias("end"), (F.col("p_partkey") * 1000).alias("val"))
     last = prices.quotes(V.price_bars(spark, d))
@@ -385,17 +376,17 @@ NAMES = [
     latest_amendment, routine_flag, purchase_timing, buying_episodes, cluster_windows, event_clusters, scored_purchases, signals_raw, signals_cooled, signals_deduped, late_signals,
     insider_rollup, asof_returns, price_lows, event_study_detail, event_study_summary, event_study_strata, event_study_rolling, event_study_streak, event_study_risk, event_study_weak_clusters,
     event_study_small_caps, signal_coverage, factor_lift, score_bands, weight_advice, monthly_excess, signal_feed, signal_headline, top_picks, positions, entity_history, alert_queue, daily_summary,
-    alert_messages, market_caps, cap_tiers, universe_slice, upsert_filings, upsert_signals, retention, fetch_windows, role_class, clean_ticker, parse_xml, stream_dedup, sliding_buyers, strata_pivot, event_study_report, live_signals, lift_ranking, stream_enriched,
+    market_caps, cap_tiers, universe_slice, upsert_filings, upsert_signals, retention, fetch_windows, role_class, clean_ticker, parse_xml, stream_dedup, sliding_buyers, strata_pivot, event_study_report, live_signals, lift_ranking, stream_enriched,
 ]
 
 
 def queries() -> dict:
-    from tradelens.plans import streams, upkeep
+    from tradelens.plans import runs, streams, upkeep
 
-    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES, *streams.NAMES]}
+    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES, *streams.NAMES, *runs.NAMES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tradelens.plans import streams, upkeep
+    from tradelens.plans import runs, streams, upkeep
 
-    return ORACLE | upkeep.ORACLE | streams.ORACLE_STREAMS
+    return ORACLE | upkeep.ORACLE | streams.ORACLE_STREAMS | runs.ORACLE_RUNS
