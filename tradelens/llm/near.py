@@ -140,6 +140,14 @@ def _apart(known: DataFrame) -> DataFrame:
     return known.join(ends, "s", "left_semi")
 
 
+def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Store what was made of a stored table, and delete that."""
+    kept = stored(new, "met")
+    forget(new.sparkSession, old)
+    release(new.sparkSession)
+    return kept
+
+
 def _by_fingerprint(texts: DataFrame, shingle: int) -> DataFrame:
     """Pairs (a, b) of texts whose fingerprints are equal or linked by SimHash; of equal ones, with one of them."""
     marked = stored(simhash.fingerprints(texts.withColumnRenamed("k", "doc_id"), shingle), "fingerprints").select(F.col("doc_id").alias("k"), "fp")
@@ -161,8 +169,8 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     release(texts.sparkSession)
     known = met.join(components(near).toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     for turn in range(ROUNDS):
-        known = stored(_apart(known), "met")
-        release(texts.sparkSession)
+        known = _instead(met, _apart(known))
+        met = known
         mark = F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "n", "c")
         ends = known.groupBy("s").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
         pairs = known.join(ends, "s").select("k", "n", "c", F.explode(F.array("lo", "hi")).alias("end"))
@@ -173,7 +181,7 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
         near, tried = near.union(found), tried.union(pairs)
         roots = components(near)
         known = known.drop("c").join(roots.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
-    known = stored(_apart(known), "met")
+    known = _instead(met, _apart(known))
     marks = stored(_marks(texts.join(known.select("k").distinct(), "k", "left_semi"), shingle), "marks")
     known = known.join(marks, "k")
     x, y = known.alias("x"), known.alias("y")
