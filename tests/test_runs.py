@@ -47,21 +47,21 @@ def test_two_daily_runs_are_one_run_over_both(spark, small, filed, tmp_path):
     shape = score(filed, clusters.work_items(filed), None).schema
     two, one = daily.DailyStore(spark, f"file://{tmp_path}/two", shape), daily.DailyStore(spark, f"file://{tmp_path}/one", shape)
     day1, day2 = DAY, DAY + dt.timedelta(1)
-    assert daily.run(two, filed, score, day1, back=1) == day1 - dt.timedelta(1)
+    assert daily.run(two, filed, score, day1, back=2) == day1 - dt.timedelta(2)
     calls.clear()
     mark = two.mark()
-    assert mark <= day1 and daily.run(two, filed, score, day2, back=2) == max(mark, day1 - dt.timedelta(1))
+    assert mark <= day1 and daily.run(two, filed, score, day2, back=3) == mark
     assert all(day > mark for day in calls)  # the mark's items are stored
-    daily.run(one, filed, score, day2, back=2)
+    daily.run(one, filed, score, day2, back=3)
     rows = lambda store: sorted(map(repr, store.signals.read().collect()))
     assert rows(two) == rows(one) and rows(two)
     assert sorted(map(tuple, two.outbox.read().drop("run_date").collect())) == sorted(map(tuple, one.outbox.read().drop("run_date").collect()))
 
     before = rows(two)
     calls.clear()
-    daily.run(two, filed, score, day2, back=2)  # nothing is new
+    daily.run(two, filed, score, day2, back=3)  # nothing is new
     assert not calls and rows(two) == before
-    daily.run(two, filed, score, day2, back=0, force=True)
+    daily.run(two, filed, score, day2, back=1, force=True)
     assert calls and rows(two) == before
 
 
