@@ -317,8 +317,12 @@ def clean_ticker(spark, d):
 
 def filing_documents(spark, d):
     """accession_number, l_orderkey, cik and xml: a filing for each order and company, with its lines."""
+    return documents_of(V.transactions(spark, d), ["l_orderkey", "cik"]).select(F.concat_ws("-", "l_orderkey", "cik").alias("accession_number"), "l_orderkey", "cik", "xml")
+
+
+def documents_of(tx: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` (the company among them) and xml: a filing for each group of lines, under its least owner."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}><value>"), value.cast("string"), F.lit(f"</value></{name}>"))
-    tx = V.transactions(spark, d).withColumn("owner", F.col("insider_name"))
     line = F.concat(
         F.lit("<nonDerivativeTransaction>"), tag("transactionDate", F.concat(F.col("transaction_date").cast("string"), F.lit("-05:00"))),
         F.lit("<transactionCoding><transactionFormType>4</transactionFormType><transactionCode>"), F.col("transaction_code"), F.lit("</transactionCode><transactionTimeliness>"), F.when(F.col("is_10b51"), "1").otherwise(""), F.lit("</transactionTimeliness></transactionCoding><transactionAmounts>"),
@@ -326,9 +330,9 @@ def filing_documents(spark, d):
         F.lit("</transactionAmounts><postTransactionAmounts>"), tag("sharesOwnedFollowingTransaction", F.col("shares_after")),
         F.lit("</postTransactionAmounts><ownershipNature>"), tag("directOrIndirectOwnership", F.when(F.col("is_direct"), "D").otherwise("I")), F.lit("</ownershipNature></nonDerivativeTransaction>"),
     )
-    docs = tx.groupBy("l_orderkey", "cik").agg(F.min("owner").alias("owner"), F.concat_ws("", F.collect_list(line)).alias("lines"))
+    docs = tx.groupBy(*keys).agg(F.min("insider_name").alias("owner"), F.concat_ws("", F.collect_list(line)).alias("lines"))
     xml = F.concat(F.lit("<ownershipDocument><issuer><issuerCik>000"), F.col("cik"), F.lit("</issuerCik><issuerName>n</issuerName><issuerTradingSymbol>NYSE:t"), F.col("cik"), F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>"), F.col("owner"), F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>1</isDirector></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), F.col("lines"), F.lit("</nonDerivativeTable></ownershipDocument>"))
-    return docs.select(F.concat_ws("-", "l_orderkey", "cik").alias("accession_number"), "l_orderkey", "cik", xml.alias("xml"))
+    return docs.select(*keys, xml.alias("xml"))
 
 
 def parse_xml(spark, d):
@@ -381,12 +385,12 @@ NAMES = [
 
 
 def queries() -> dict:
-    from tradelens.plans import runs, streams, upkeep
+    from tradelens.plans import landed, runs, streams, upkeep
 
-    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES, *streams.NAMES, *runs.NAMES]}
+    return {f.__name__: f for f in [*NAMES, *upkeep.NAMES, *streams.NAMES, *runs.NAMES, *landed.NAMES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tradelens.plans import runs, streams, upkeep
+    from tradelens.plans import landed, runs, streams, upkeep
 
-    return ORACLE | upkeep.ORACLE | streams.ORACLE_STREAMS | runs.ORACLE_RUNS
+    return ORACLE | upkeep.ORACLE | streams.ORACLE_STREAMS | runs.ORACLE_RUNS | landed.ORACLE_LANDED

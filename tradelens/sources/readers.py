@@ -33,11 +33,6 @@ def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
     return filing_index(spark.read.schema(INDEX_SCHEMA).option("multiLine", "true").json(path))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as text, keyed by their names."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("accession_number"), F.col("value").alias("xml"))
-
-
 def primary_documents(raw: DataFrame) -> DataFrame:
     """(accession, document) from two parallel arrays; folders of rendered copies are cut off."""
     pair = raw.select(F.explode(F.arrays_zip("accessionNumber", "primaryDocument")).alias("p"))
