@@ -156,3 +156,20 @@ def test_empty_stores_and_clashing_names(spark):
     store.append_by(spark.createDataFrame(rows, schema), F.col("v"))
     store.compact()
     assert sorted(map(tuple, store.read().collect()), key=str) == sorted(rows, key=str)
+
+
+def test_a_tier_that_cannot_be_joined_leaves_the_others_to_be(spark):
+    store = compaction.ShardStore(spark, scratch(spark, "tiers"), target_bytes=1 << 20, fanout=2, smallest=4096)
+    rng = random.Random(1)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        for _ in range(2):
+            store.append(spark.createDataFrame([(i, "x") for i in range(3)], "k int, text string").coalesce(1))
+        for _ in range(2):
+            store.append(spark.createDataFrame([(9, rng.randbytes(60_000).hex())], "k int, text string").coalesce(1))
+        before = {s["path"]: s["tier"] for s in store.manifest()["shards"]}
+        assert sorted(set(before.values())) == [0, max(before.values())] and len(before) == 4
+        store.compact()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(s["tier"] > 0 for s in store.manifest()["shards"]) == [False, False, True] and store.read().count() == 8

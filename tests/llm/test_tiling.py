@@ -55,7 +55,7 @@ def test_verdicts(spark):
     items = [(3, item), (1, item), (2, None), (4, ""), (5, "tiny item"), (None, "!!!"), (6, " ".join(f"z{i}" for i in range(30)))]
     want = {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None), 8: (True, 1), 9: (False, None), 10: (True, 1), 11: (True, 5), None: (True, 1)}
     assert verdicts(spark, docs, items) == want
-    assert verdicts(spark, docs, items, block_chars=120) == want
+    assert verdicts(spark, docs, items, block_chars=120) == want  # more blocks than one stage holds
     assert set(verdicts(spark, docs, items[:0] or [(1, None)]).values()) == {(False, None)}
 
 
@@ -77,3 +77,49 @@ def test_whole_table(spark):
     items = [b.text for b in bench.collect()]
     leaked = {r.doc_id for r in docs.collect() if any(i in r.text for i in items)}
     assert leaked and leaked == got
+
+
+def reordered(words, rng):
+    """Passages of four to nine words of a text in another order."""
+    parts, at = [], 0
+    while at < len(words):
+        n = int(rng.integers(4, 10))
+        parts.append(words[at : at + n])
+        at += n
+    return [w for p in rng.permutation(len(parts)) for w in parts[p]]
+
+
+def test_reordered_passages_over_a_whole_table(spark, small):
+    from tradelens.llm.common import read
+
+    rng = np.random.default_rng(11)
+    docs = read(spark, small, "documents")
+    texts = {r.doc_id: tiling.words_of(r.text) for r in docs.collect()}
+    sources = [d for d, w in texts.items() if len(w) > 60][::7]
+    items = [(n, " ".join(reordered(texts[d][10:58], rng))) for n, d in enumerate(sources)] + [(10_000, " ".join(rng.permutation(texts[sources[0]][:48])))]
+    got = {r.doc_id: r for r in tiling.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    split = {n: tiling.words_of(t) for n, t in items}
+    seeds = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    of_item = {n: seeds(w) for n, w in split.items()}
+    for d, words in texts.items():
+        own, best = seeds(words), (0.0, 0, None, 0)
+        for n, w in split.items():
+            met = own & of_item[n]
+            if 8 * len(met) >= len(w):  # each seed covers four words at most
+                found = greedy(w, words, 4)
+                best = max(best, (sum(found) / len(w), -n, n, len(found)))
+        want = (True, best[2], best[0], best[3]) if best[0] >= 0.5 else (False, None, 0.0, 0)
+        assert (got[d].contaminated, got[d].item_id, got[d].coverage, got[d].n_tiles) == want
+    assert all(got[d].contaminated for d in sources)
+
+
+def test_words_decide_where_values_collide(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(12)]
+    rows = [(n, t) for n, t in enumerate(texts)]
+    tested = [" ".join(t.split()[30:] + t.split()[:30]) for t in texts] + [" ".join(f"w{x}" for x in rng.integers(0, 40, 200))]
+    want = [tiling.Items(rows, 4).best(t, 0.5) for t in tested]
+    plain = tiling.rolled
+    monkeypatch.setattr(tiling, "rolled", lambda numbers, k: plain(numbers, k) & np.uint64(3))
+    assert [tiling.Items(rows, 4).best(t, 0.5) for t in tested] == want
+    assert [w and w[1] for w in want] == [*range(12), None]

@@ -119,12 +119,13 @@ class ShardStore:
         return self._commit(now, columns, now["shards"] + self._written(df.withColumn(name, F.hex(F.xxhash64(arrival))), name))
 
     def compact(self) -> int:
-        """Merge tiers until none has ``fanout`` shards below the target size. The version that results."""
+        """Merge tiers until none has ``fanout`` shards below the target size that can be joined. The version that results."""
+        done: set[str] = set()  # files that merging gave back as many as it took
         while True:
             now = self.manifest()
             tiers: dict[int, list[dict]] = {}
             for s in now["shards"]:
-                if s["bytes"] < self.target_bytes // 2:
+                if s["bytes"] < self.target_bytes // 2 and s["path"] not in done:
                     tiers.setdefault(s["tier"], []).append(s)
             ready = [t for t in sorted(tiers) if len(tiers[t]) >= self.fanout]
             if not ready:
@@ -133,9 +134,9 @@ class ShardStore:
             files = max(1, round(sum(s["bytes"] for s in run) / self.target_bytes))
             merged = self._written(self._read(run, now["columns"]).coalesce(files))
             gone = {s["path"] for s in run}
-            version = self._commit(now, now["columns"], [s for s in now["shards"] if s["path"] not in gone] + merged)
-            if len(merged) >= len(run):  # files that cannot be joined further
-                return version
+            self._commit(now, now["columns"], [s for s in now["shards"] if s["path"] not in gone] + merged)
+            if len(merged) >= len(run):
+                done |= {s["path"] for s in merged}
 
     def _read(self, shards: list[dict], columns: dict) -> DataFrame:
         schema = StructType.fromJson(columns)

@@ -5,10 +5,14 @@ longest common runs of unmarked words are marked first, so that a passage whose
 another order is still covered. A document is contaminated if the tiles cover ``threshold`` of an
 item's words.
 
+Karp-Rabin values say where seeds may be; the words of each are then compared, as numbers that a
+dictionary of the items' words gives them, so no collision of values makes a match.
+
 The test items are the fixed side: they are sent to the executors in blocks of at most
-``block_chars`` characters, one pass over the documents for each block, so that any number of items
-is handled in bounded memory. Documents are never shuffled; a test item that a third of all
-documents hold costs each of them the same.
+``block_chars`` characters. Each document passes through the blocks one after the other and keeps its
+best item; after ``BLOCKS_AT_ONCE`` blocks the rows are stored, so that any number of items is handled
+in bounded memory. Documents are never shuffled; a test item that a third of all documents hold costs
+each of them the same.
 
 Words are lower-cased runs of letters and digits. Nulls: a null text has no words and is clean; an
 item with no words matches nothing; a null item_id is kept as it is. An item shorter than a seed must
@@ -22,27 +26,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradelens.llm.common import stored
+
 WORD = re.compile(r"\w+")
 #: Pairs of places (in an item, in a document) that are held before they are joined into runs.
 SEEDS_AT_ONCE = 2_000_000
+#: Blocks of items that one stage holds, each in a Python worker of its own.
+BLOCKS_AT_ONCE = 4
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def numbered(words: list[str]):
-    """Words as 64-bit numbers, alike within one process only."""
-    import numpy as np
-
-    return np.fromiter(map(hash, words), np.int64, len(words))
-
-
 def rolled(numbers, k: int):
     """Karp-Rabin values of each k consecutive numbers, modulo 2**64."""
     import numpy as np
@@ -95,18 +95,21 @@ def tiles(item, doc, runs, k: int) -> list[tuple[int, int, int]]:
 
 
 class Items:
-    """The test items of one block, with an index of their seeds."""
+    """The test items of one block: their words as numbers from 1 on, and an index of their seeds."""
 
     def __init__(self, rows: list[tuple], min_tile: int):
         import numpy as np
 
+        self.number: dict[str, int] = {}
         self.ids, self.words, self.by_k = [], [], {}
         for item_id, text in rows:
-            numbers = numbered(words_of(text))
-            if len(numbers):
-                self.by_k.setdefault(min(min_tile, len(numbers)), []).append(len(self.ids))
+            words = words_of(text)
+            if words:
+                self.by_k.setdefault(min(min_tile, len(words)), []).append(len(self.ids))
                 self.ids.append(item_id)
-                self.words.append(numbers)
+                self.words.append(np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in words), np.int64, len(words)))
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.start = np.cumsum([0, *map(len, self.words)])
         self.index = []
         for k, members in self.by_k.items():
             values = [rolled(self.words[m], k) for m in members]
@@ -116,12 +119,28 @@ class Items:
             order = np.argsort(value, kind="stable")
             self.index.append((k, value[order], owner[order], place[order]))
 
-    def best(self, text: str | None, threshold: float):
-        """(coverage, item_id, number of tiles) of the most covered item, or None if none reaches the threshold."""
+    def numbered(self, words: list[str]):
+        """The words' numbers, 0 for a word that no item has."""
         import numpy as np
 
-        doc = numbered(words_of(text))
-        best = None
+        return np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+
+    def agree(self, item, place, doc, at, k: int):
+        """Which of the seeds (place in an item, place in the document) have the same words?"""
+        import numpy as np
+
+        first, same = self.start[item] + place, np.ones(len(at), bool)
+        for d in range(k):
+            same &= self.flat[first + d] == doc[at + d]
+        return same
+
+    def best(self, text: str | None, threshold: float, before: tuple | None = None):
+        """(coverage, item_id, number of tiles) of the most covered item, or ``before`` if none reaches the threshold and that."""
+        import numpy as np
+
+        rank = lambda covered, item_id: (covered, item_id is not None, -(item_id or 0))
+        doc = self.numbered(words_of(text))
+        best = before and (rank(*before[:2]), before)
         for k, value, owner, place in self.index:
             seen = rolled(doc, k)
             lo = np.searchsorted(value, seen)
@@ -136,9 +155,13 @@ class Items:
                 stop = max(start + 1, int(np.searchsorted(total, before + SEEDS_AT_ONCE, side="right")))
                 m, first = n[start:stop], lo[start:stop]
                 entry = np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())
-                found.append(runs_of(owner[entry], place[entry], np.repeat(at[start:stop], m)))
+                item, i, j = owner[entry], place[entry], np.repeat(at[start:stop], m)
+                same = self.agree(item, i, doc, j, k)
+                found.append(runs_of(item[same], i[same], j[same]))
                 start = stop
             own, i, j, size = runs_of(*map(np.concatenate, zip(*found))) if len(found) > 1 else found[0]
+            if not len(own):
+                continue
             cuts = np.flatnonzero(np.diff(own)) + 1
             for m, a, b in zip(own[np.concatenate(([0], cuts))].tolist(), np.concatenate(([0], cuts)).tolist(), [*cuts.tolist(), len(own)]):
                 item = self.words[m]
@@ -150,7 +173,7 @@ class Items:
                 met = tiles(item, doc, (i[a:b], j[a:b], size[a:b]), k)
                 covered = sum(t[0] for t in met) / len(item)
                 if covered >= threshold:
-                    key = (covered, self.ids[m] is not None, -(self.ids[m] or 0))
+                    key = rank(covered, self.ids[m])
                     if best is None or key > best[0]:
                         best = key, (covered, self.ids[m], len(met))
         return best and best[1]
@@ -171,10 +194,10 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, threshold: float = 0.5, block_chars: int = 32_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, contaminated, item_id, coverage and n_tiles of every row, and the columns in ``carry``."""
     spark = docs.sparkSession
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("row"))
-    schema = f"doc_id long, contaminated boolean, item_id long, coverage double, n_tiles long, row {given.schema['row'].dataType.simpleString()}"
-    out = []
-    for rows in _blocks(benchmark, block_chars):
+    verdict = {"contaminated": F.lit(False), "item_id": F.lit(None).cast("long"), "coverage": F.lit(0.0), "n_tiles": F.lit(0).cast("long")}
+    judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("row")).select("*", *[v.alias(c) for c, v in verdict.items()])
+    names = ["doc_id", "text", "row", *verdict]
+    for n, rows in enumerate(_blocks(benchmark, block_chars), 1):
         sent = spark.sparkContext.broadcast(rows)
 
         def work(parts: Iterator, sent=sent) -> Iterator:
@@ -182,18 +205,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, thres
 
             items = Items(sent.value, min_tile)
             for part in parts:
-                found = [items.best(t.as_py(), threshold) or (0.0, None, 0) for t in part.column("text")]
-                own = [pa.array([f[0] >= threshold and f[2] > 0 for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, part.column("row")], ["doc_id", "contaminated", "item_id", "coverage", "n_tiles", "row"])
-
-        out.append(given.mapInArrow(work, schema))
-    best = out[0]
-    if len(out) > 1:
-        every = [d.withColumn("_k", F.lit(k)) for k, d in enumerate(out)]
-        # each block gave each row once, in the same order of equal rows: the best verdict of each row stays
-        once = Window.partitionBy("doc_id", "row", "_k").orderBy(F.desc("coverage"))
-        ranked = reduce(DataFrame.unionByName, every).withColumn("_copy", F.row_number().over(once))
-        best = ranked.groupBy("doc_id", "row", "_copy").agg(F.max(F.struct("contaminated", "coverage", F.negative("item_id").alias("i"), "n_tiles")).alias("b"))
-        best = best.select("doc_id", "b.contaminated", F.negative("b.i").alias("item_id"), "b.coverage", "b.n_tiles", "row")
-    own = ["doc_id", "contaminated", "item_id", "coverage", "n_tiles"]
-    return best.select(*own, *[F.col(f"row.`{c}`").alias(f"carried_{c}" if c.lower() in own else c) for c in carry])
+                found = []
+                for text, *before in zip(*(part.column(c) for c in ("text", "contaminated", "coverage", "item_id", "n_tiles"))):
+                    known, *before = (x.as_py() for x in before)
+                    found.append(items.best(text.as_py(), threshold, tuple(before) if known else None) or (0.0, None, 0))
+                own = [pa.array([f[2] > 0 for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *own], names)
+
+        judged = judged.mapInArrow(work, judged.schema)
+        if n % BLOCKS_AT_ONCE == 0:
+            judged = stored(judged, "tiled")
+    own = ["doc_id", *verdict]
+    return judged.select(*own, *[F.col(f"row.`{c}`").alias(f"carried_{c}" if c.lower() in own else c) for c in carry])
