@@ -1,10 +1,12 @@
 """Licence scan: sparse TF-IDF cosine to templates, and inheritance from the nearest directory.
 
-1. Units. Comment marks are taken off, and a text falls into lines, the sentences of each line, runs of
-   neighbouring lines (a header that is wrapped over lines) and, where most of its words stand in such
-   lines, the whole file. A line counts only if it has a term that some template cannot do without:
-   terms that together make up more than 1 - threshold**2 of a template's squared length. A unit
-   with none of them is below the threshold whatever else it says.
+1. Units. Comment marks are taken off, and a text falls into lines, the sentences of each line, paragraphs
+   between blank lines, blocks of comment lines with the blank comment lines between them (a header that
+   is wrapped over lines, however narrow), runs of neighbouring lines that count, and, where most of its
+   words stand in paragraphs that count, the whole file. Units are formed first and tested then: one
+   counts only if it has a term that some template cannot do without, terms that together make up more
+   than 1 - threshold**2 of a template's squared length. A unit with none of them is below the threshold
+   whatever else it says.
 2. Score. Each distinct unit is scored once (one that a third of all documents share is one row): its
    terms, by 1 + log of their number and inverse document frequency over the templates, against those
    of each template; terms that no template has count in the unit's length, function words nowhere.
@@ -106,6 +108,8 @@ TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 #: What comments begin and end lines with.
 COMMENT = r"(?m)^[ \t]*(?:<!--|/\*+|\*+/|\*+|//+|#+|--+|;+|%+)[ \t]?|[ \t]*(?:\*+/|-->)[ \t]*$"
+#: A line that is a comment from its start; in it, what comes before the text.
+COMMENT_LINE = r"^[ \t]*(?:<!--|/\*+|\*+/|\*+|//+|#+|--+|;+|%+)"
 SENTENCE = r"(?<=[.;:!?])[ \t]+"
 #: The weight of a term that no template has.
 UNSEEN = 1.0
@@ -160,16 +164,21 @@ def any_of(terms) -> str:
 
 
 def units(text: Column, pattern: str) -> tuple[Column, Column]:
-    """The distinct lines, sentences and runs of lines that may score, and the whole file if most of its words are in such lines."""
+    """The distinct lines, sentences, paragraphs, comment blocks and runs of lines that may score, and the whole file if most of its words are in such paragraphs."""
     may = lambda x: F.lower(x).rlike(pattern)
-    lines = F.transform(F.split(F.regexp_replace(text, COMMENT, ""), r"\r?\n|\r", -1), lambda x: F.when(may(x), F.btrim(x)).otherwise(""))
-    some = F.filter(lines, lambda x: x != "")
+    bare = lambda x: F.btrim(F.regexp_replace(x, COMMENT, ""))
+    given = F.split(text, r"\r?\n|\r", -1)
+    lines = F.transform(given, bare)
+    some = F.filter(lines, may)
     sentences = F.filter(F.flatten(F.transform(some, lambda x: F.split(x, SENTENCE, -1))), may)
-    runs = F.filter(F.split(F.array_join(lines, "\n"), "\n\n+", -1), lambda x: x != "")
+    joined = lambda ls: F.filter(F.split(F.array_join(ls, "\n"), "\n\n+", -1), may)
+    paragraphs = joined(lines)
+    blocks = joined(F.transform(given, lambda x: F.when(x.rlike(COMMENT_LINE), F.concat(bare(x), F.lit(" "))).otherwise("")))
+    runs = joined(F.transform(lines, lambda x: F.when(may(x), x).otherwise("")))
     count = lambda x: F.regexp_count(x, F.lit(r"\S+"))
-    whole = F.when(2 * count(F.array_join(some, " ")) >= count(text), text)
+    whole = F.when(2 * count(F.array_join(paragraphs, " ")) >= count(text), text)
     plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9.]+", " "))
-    return F.array_distinct(F.transform(F.concat(some, sentences, runs), plain)), plain(F.regexp_replace(whole, COMMENT, ""))
+    return F.array_distinct(F.transform(F.concat(some, sentences, paragraphs, blocks, runs), plain)), plain(F.regexp_replace(whole, COMMENT, ""))
 
 
 #: What stands for a unit's text where it is grouped and joined.

@@ -18,9 +18,9 @@ def op2_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand in a tree of directories by source, language and hundreds of their number."""
+    """Documents stand in a tree of directories by source, language and hundreds of their number; every tenth is called a licence file."""
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    path = F.concat_ws("/", level("source"), level("lang"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", level("source"), level("lang"), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.when(F.col("doc_id") % 10 == 0, "LICENSE-").otherwise(""), F.col("doc_id").cast("string")))
     return licences.scan(read(spark, sf_dir, "documents"), path)
 
 
