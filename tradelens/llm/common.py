@@ -48,6 +48,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_name(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """Like ``stored``, as a table bucketed by ``key``: what groups by it reads a bucket and shuffles nothing.
 
@@ -57,7 +61,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     spark = df.sparkSession
     buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
     path = scratch(spark, label)
-    name = path.rpartition("/")[2].replace("-", "_")
+    name = _table_name(path)
     written = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
     written.option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
@@ -72,12 +76,13 @@ def release(spark: SparkSession) -> None:
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of tables that ``stored`` or ``bucketed`` returned, once nothing reads them."""
+    """Delete the files of tables that ``stored`` or ``bucketed`` returned, once nothing reads them, and drop the latter from the catalog."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     shared = shared_dir(spark).partition(":")[2] or shared_dir(spark)
     for df in tables:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if shared.lstrip("/") in folder:  # never what was given
+                spark.sql(f"DROP TABLE IF EXISTS {_table_name(folder)}")
                 path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
 

@@ -462,9 +462,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, part_bytes: int = 4_000_00
     of_anchor, of_window = Window.partitionBy("anchor"), Window.partitionBy("window")
     anchors = _anchor_rows(given, window).withColumns({"_first": F.min("lo").over(of_anchor), "_last": F.max("hi").over(of_anchor)})
     anchors = anchors.where("_first < _last").select("part", "anchor")
+    anchors = bucketed(anchors, "part", -(-parts // 8), "anchors")  # so that their shuffle is gone before that of windows
+    release(spark)
     windows = by_part.cogroup(anchors.groupBy("part")).applyInArrow(_window_rows(window, bits), "part int, window long, lo long, hi long")
     windows = windows.withColumn("_first", F.min(F.struct("lo", "part")).over(of_window)).select("part", "window", "hi", F.col("_first.lo").alias("first"), F.col("_first.part").alias("home"))
     spread = stored(windows.where("hi > first").drop("hi"), "spread")
+    forget(spark, anchors)
     release(spark)
 
     firsts = spread.select(F.col("home").alias("part"), "first", "window").distinct()
@@ -473,6 +476,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, part_bytes: int = 4_000_00
     release(spark)
     wanted = spread.select("part", "window").join(passages.select("passage", F.explode("windows").alias("window")), "window").select("part", "passage").distinct()
     sent = wanted.join(passages.select("passage", "first", "words"), "passage").select("part", "first", "words")
+    sent = bucketed(sent, "part", -(-parts // 8), "sent")
+    forget(spark, passages)
+    release(spark)
 
     row = given.schema["row"].dataType.simpleString()
     schema = f"part int, doc long, doc_id long, row {row}, n_words long, n_removed long, text string, unsure array<string>"
@@ -486,7 +492,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, part_bytes: int = 4_000_00
         settled = stored(_settled(unsure, given, spread, window, bits), "settled")
         forget(spark, streamed)
         streamed = stream(sent.unionByName(settled))
-    forget(spark, given, spread, passages)
+    forget(spark, given, spread, sent)
     return streamed.select("doc_id", "n_words", "n_removed", "text", *[F.col(f"row.{c}").alias(c) for c in carry])
 
 
