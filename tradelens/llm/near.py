@@ -164,8 +164,10 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     near = _alike(tried, texts, shingle)
     filed = stored(prefixes(texts, shingle), "prefixes")
     shared = filed.groupBy("s").agg(F.count("*").alias("_n")).where("_n > 1").select("s")  # most shingles are met once
+    shared = stored(shared, "met-shingles")
+    release(texts.sparkSession)
     met = stored(filed.join(shared, "s", "left_semi"), "met")
-    forget(texts.sparkSession, filed)
+    forget(texts.sparkSession, filed, shared)
     release(texts.sparkSession)
     known = met.join(components(near).toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     for turn in range(ROUNDS):
@@ -203,7 +205,7 @@ def first_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     place, k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     given = docs.withColumn("_place", place).withColumn("_k", k)
     firsts = stored(given.groupBy("_k").agg(F.min("doc_id").alias("first"), F.min("_place").alias("_place")), "distinct-texts")
-    one = given.join(firsts.select("_k", "_place"), ["_k", "_place"], "left_semi").dropDuplicates(["_k"])
+    one = given.join(firsts.select("_k", "_place"), ["_k", "_place"], "left_semi").dropDuplicates(["_k", "_place"])  # a text has one place here
     texts = stored(one.select(F.col("_k").alias("k"), F.col("text").cast("string").alias("text")), "texts")
     roots = components(links(texts, shingle))
     grouped = firsts.join(roots.toDF("_k", "root"), "_k", "left").withColumn("root", F.coalesce("root", "_k"))
