@@ -102,20 +102,22 @@ def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _marks(texts: DataFrame, shingle: int) -> DataFrame:
-    """k and the parities m0, m1, ... of each text's set."""
+    """k, the size n and the parities m0, m1, ... of each text's set."""
 
     def work(parts: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for part in parts:
-            out = np.zeros((len(part.column(1)), 64 * MARKS), np.uint8)
+            out, sizes = np.zeros((len(part.column(1)), 64 * MARKS), np.uint8), []
             for i, t in enumerate(part.column(1)):
-                out[i] = np.bincount(shingle_set(t.as_py(), shingle).view("<u8") % np.uint64(64 * MARKS), minlength=64 * MARKS) & 1
+                own = shingle_set(t.as_py(), shingle)
+                sizes.append(len(own))
+                out[i] = np.bincount(own.view("<u8") % np.uint64(64 * MARKS), minlength=64 * MARKS) & 1
             longs = np.packbits(out, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(longs[:, i]) for i in range(MARKS)]], ["k", *[f"m{i}" for i in range(MARKS)]])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), *[pa.array(longs[:, i]) for i in range(MARKS)]], ["k", "n", *[f"m{i}" for i in range(MARKS)]])
 
-    return texts.select("k", "text").mapInArrow(work, "k long, " + ", ".join(f"m{i} long" for i in range(MARKS)))
+    return texts.select("k", "text").mapInArrow(work, "k long, n int, " + ", ".join(f"m{i} long" for i in range(MARKS)))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -130,6 +132,18 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return found
 
 
+def _unlike(x: str, y: str):
+    """In how many shingles two sets differ at least, by their parities."""
+    return sum((F.bit_count(F.col(f"{x}.m{i}").bitwiseXOR(F.col(f"{y}.m{i}"))) for i in range(MARKS)), F.lit(0))
+
+
+def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those that the parities rule out."""
+    x, y = marks.alias("x"), marks.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.k")).join(y, F.col("b") == F.col("y.k"))
+    return both.where(_ENOUGH * _unlike("x", "y") <= F.col("x.n") + F.col("y.n")).select("a", "b")
+
+
 def _sized(n, m):
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
@@ -170,6 +184,7 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     forget(texts.sparkSession, filed, shared)
     release(texts.sparkSession)
     known = met.join(components(near).toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    marks = stored(_marks(texts.join(met.select("k").distinct(), "k", "left_semi"), shingle), "marks")
     for turn in range(ROUNDS):
         known = _instead(met, _apart(known))
         met = known
@@ -179,18 +194,16 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
         pairs = pairs.where((F.col("c") != F.col("end.c")) & _sized(F.col("n"), F.col("end.n"))).groupBy("k", F.col("end.k").alias("e")).agg(F.count("*").alias("m"))
         pairs = pairs.groupBy("k").agg(F.max_by("e", F.struct("m", "e")).alias("e")).select(F.least("k", "e").alias("a"), F.greatest("k", "e").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "stars")
-        found = _alike(pairs, texts, shingle)
+        found = _alike(stored(_likely(pairs, marks), "likely"), texts, shingle)
         near, tried = near.union(found), tried.union(pairs)
         roots = components(near)
         known = known.drop("c").join(roots.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = _instead(met, _apart(known))
-    marks = stored(_marks(texts.join(known.select("k").distinct(), "k", "left_semi"), shingle), "marks")
-    known = known.join(marks, "k")
+    known = known.join(marks.drop("n"), "k")
     x, y = known.alias("x"), known.alias("y")
     most = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     fits = _sized(F.col("x.n"), F.col("y.n")) & (_ENOUGH * most >= _SIZES * (F.col("x.n") + F.col("y.n")))
-    unlike = sum((F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(MARKS)), F.lit(0))
-    fits &= _ENOUGH * unlike <= F.col("x.n") + F.col("y.n")  # the sets differ in as many shingles at least
+    fits &= _ENOUGH * _unlike("x", "y") <= F.col("x.n") + F.col("y.n")  # the sets differ in as many shingles at least
     rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & fits)
     rest = rest.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     last = _alike(stored(rest, "rest"), texts, shingle)
