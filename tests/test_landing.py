@@ -1,7 +1,12 @@
 """Landed files of many kinds, and the choice among a filing's documents."""
 
+import gzip
 import json
 
+from pyspark.sql import functions as F
+
+from tradelens.plans import registry
+from tradelens.plans import views as V
 from tradelens.sources import landing
 
 XML = "<ownershipDocument><issuer><issuerCik>1</issuerCik></issuer></ownershipDocument>"
@@ -60,3 +65,23 @@ def test_document_of_a_filing(spark, tmp_path):
         "11": ("form.xml", "primary", True), "12": ("b.xml", "index", True), "13": (None, None, False), "14": ("other.xml", "index", True),
         "15": ("form.txt", "primary", True), "16": (None, None, False), "17": ("form.xml", "primary", True),
     }
+
+
+def test_files_in_gzip_are_unpacked_within_bounds(spark, tmp_path):
+    packed = gzip.compress(XML.encode())
+    land(tmp_path, {
+        "21/a.xml.gz": packed, "22/b.xml.gz": packed[:-12], "23/c.xml.gz": gzip.compress(b"<x>" + b" " * 5_000_000), "accession_number=24/document=d.xml/part-0.txt.gz": packed + gzip.compress(b"\n"),
+        "25/e.xml.gz": b"no gzip", "26/f.xml.gz": gzip.compress(b"\xff\xfe"), "27/g.xml.gz": gzip.compress(b" \n"), "28/h.xml": XML,
+    })
+    got = {r.accession_number: (r.document, r.status, r.text) for r in landing.scan_files(spark, str(tmp_path), most_bytes=10_000).collect()}
+    assert got == {
+        "21": ("a.xml", "ok", XML), "22": ("b.xml", "not_text", None), "23": ("c.xml", "too_large", None), "24": ("d.xml", "ok", XML + "\n"),
+        "25": ("e.xml", "not_text", None), "26": ("f.xml", "not_text", None), "27": ("g.xml", "empty", " \n"), "28": ("h.xml", "ok", XML),
+    }
+
+
+def test_xml_is_made_after_the_shuffle(spark, small):
+    made = registry.documents_of(V.transactions(spark, small).withColumn("filed_year", F.year("transaction_date")), ["cik", "filed_year"])
+    lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = next(i for i, x in enumerate(lines) if "Exchange" in x)
+    assert not any("<nonDerivativeTransaction>" in x for x in lines[below:])

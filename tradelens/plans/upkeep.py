@@ -38,7 +38,8 @@ def _ingested(spark, d):
     universe = readers.universe(listed.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("value")))
     k = F.col("l_orderkey")
     bare = F.concat(F.lit("<ownershipDocument><issuer><issuerCik>"), F.col("cik"), F.lit("</issuerCik></issuer><derivativeTable></derivativeTable></ownershipDocument>"))
-    docs = registry.filing_documents(spark, d).select("accession_number", F.when(k % 11 == 0, "").when(k % 13 == 0, F.substring("xml", 1, 60)).when(k % 17 == 0, bare).otherwise(F.col("xml")).alias("xml"))
+    tx = registry.filed_lines(spark, d).repartition("accession_number")  # the key that ingest joins by: lines are shuffled, not documents
+    docs = registry.documents_of(tx, registry.FILING).select("accession_number", F.when(k % 11 == 0, "").when(k % 13 == 0, F.substring("xml", 1, 60)).when(k % 17 == 0, bare).otherwise(F.col("xml")).alias("xml"))
     known = index.where("filed_date < DATE '1995-01-01'").select("accession_number")
     return ingest(pages, ciks, docs, universe, known)
 

@@ -2,16 +2,21 @@
 
 A filing is a folder named by its accession number, with one or more documents below it. Folders and
 files may be written plainly (``<accession>/<document>``) or as partitions
-(``accession_number=<accession>/document=<document>/part-...``).
+(``accession_number=<accession>/document=<document>/part-...``). A name that ends in ``.gz`` is that of a
+file in gzip, whose document has the name before it.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_MAP_SCHEMA = "cik string, accessionNumber array<string>, primaryDocument array<string>"
-_PLACE = r"(?:^|/)(?:accession_number=)?([^/=]+)/(?:document=)?([^/=]+?)(?:/part-[^/]*)?$"
+_PLACE = r"(?:^|/)(?:accession_number=)?([^/=]+)/(?:document=)?([^/=]+?)(?:/part-[^/]*|\.gz)?$"
 
 
 def plain_accession(c: Column) -> Column:
@@ -25,18 +30,36 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, r"^\uFEFF", "")
 
 
+def unpacked(content: Column, most_bytes: int) -> Column:
+    """The bytes of a file in gzip, at most one more than ``most_bytes``; null if it is damaged."""
+
+    def unpack(packed):
+        try:
+            with gzip.open(io.BytesIO(packed)) as f:
+                return f.read(most_bytes + 1)
+        except (EOFError, OSError, zlib.error):
+            return None
+
+    return F.udf(lambda b: None if b is None else unpack(b), "binary")(content)
+
+
 def scan_files(spark: SparkSession, path: str, most_bytes: int = 16 << 20) -> DataFrame:
     """accession_number, document, modified, n_bytes, status and text of every file below ``path``.
 
     status: ok, empty (white space only; Spark leaves out files of no bytes), not_text or too_large. Small files are packed into tasks by their bytes
     (``spark.sql.files.maxPartitionBytes``, ``openCostInBytes``); of files over ``most_bytes`` only the
-    metadata are read.
+    metadata are read. ``n_bytes`` is that of the file as it lies there; a file in gzip is too large by what
+    it holds as well, and is unpacked no further than that shows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     meta = [F.col("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes")]
-    small = files.where(F.col("length") <= most_bytes).select(*meta, decoded(F.col("content")).alias("text"))
-    large = files.where(F.col("length") > most_bytes).select(*meta, F.lit(None).cast("string").alias("text"))
-    status = F.when(F.col("n_bytes") > most_bytes, "too_large").when(F.col("text").isNull(), "not_text").when(F.trim(F.regexp_replace("text", r"\s+", " ")) == "", "empty").otherwise("ok")
+    packed = F.col("path").endswith(".gz")
+    held = files.where(F.col("length") <= most_bytes).withColumn("_unpacked", unpacked(F.when(packed, F.col("content")), most_bytes))
+    held = held.withColumn("_bytes", F.when(packed, F.col("_unpacked")).otherwise(F.col("content")))
+    over = F.coalesce(F.length("_bytes") > most_bytes, F.lit(False))
+    small = held.select(*meta, over.alias("_over"), F.when(~over, decoded(F.col("_bytes"))).alias("text"))
+    large = files.where(F.col("length") > most_bytes).select(*meta, F.lit(True).alias("_over"), F.lit(None).cast("string").alias("text"))
+    status = F.when(F.col("_over"), "too_large").when(F.col("text").isNull(), "not_text").when(F.trim(F.regexp_replace("text", r"\s+", " ")) == "", "empty").otherwise("ok")
     place = [F.regexp_extract("path", _PLACE, 1).alias("accession_number"), F.regexp_extract("path", _PLACE, 2).alias("document")]
     return small.unionByName(large).select(plain_accession(place[0]).alias("accession_number"), place[1], "modified", "n_bytes", status.alias("status"), "text")
 
@@ -62,7 +85,8 @@ def filing_documents(files: DataFrame, primary: DataFrame) -> DataFrame:
     """
     head = F.substring("text", 1, 500)
     starts = F.ltrim(F.regexp_replace(head, r"^\s+", ""))
-    named = files.join(primary.select("accession_number", F.col("document").alias("_named")), "accession_number", "left")
+    # the map's short rows are what is hashed, so texts are not sorted for the join
+    named = files.join(primary.select("accession_number", F.col("document").alias("_named")).hint("shuffle_hash"), "accession_number", "left")
     is_named = F.col("document").eqNullSafe(F.col("_named"))
     first = is_named & (starts.startswith("<?xml") | head.contains("<ownershipDocument"))
     second = ~is_named & F.lower("document").endswith(".xml") & starts.startswith("<")
