@@ -129,3 +129,53 @@ def test_a_repeated_batch_changes_nothing_twice(spark, tmp_path, where):
 def test_late_lines_and_a_repeated_batch_give_the_same_signals(spark, small):
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(streams.stream_signals(spark, small)) == key(registry.signals_raw(spark, small))
+
+
+def test_a_ticker_has_one_timer_and_its_list_is_read_once_a_batch():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.value, self.reads = None, 0
+
+        exists = lambda self: self.value is not None
+        update = put = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "value", None)
+        appendList = lambda self, v: setattr(self, "value", (self.value or []) + v)
+
+        def get(self):
+            self.reads += 1
+            return self.value if self.value is not None else []
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, set()
+
+        def getValueState(self, name, *_):
+            return self.states.setdefault(name, State())
+
+        getListState = getValueState
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    class Stream:  # takes the processor out of the query
+        withWatermark = select = groupBy = lambda self, *a: self
+        transformWithStateInPandas = lambda self, processor, *a: processor
+
+    class At:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    processor, handle = incremental.cooldown_in_order(Stream()), Handle()
+    processor.init(handle)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    ms = lambda k: (day(k) - dt.date(1970, 1, 1)).days * 86_400_000
+    frame = lambda days: pd.DataFrame({"ticker": "A", "signal_date": [day(k) for k in days], "score": 50, "signal_type": "BUY"})
+    list(processor.handleInputRows(("A",), iter([frame(range(100, 0, -1))]), None))
+    list(processor.handleInputRows(("A",), iter([frame([0, 120])]), None))
+    assert handle.timers == {ms(0)}
+    handle.timers.clear()
+    out = pd.concat(list(processor.handleExpiredTimer(("A",), At(ms(60)), At(ms(0)))))
+    kept = [(d - day(0)).days for d in out["signal_date"]]
+    gap = incremental.RULES.cooldown_days
+    assert kept == list(range(0, 61, gap)) and handle.timers == {ms(61)} and handle.states["waiting"].reads == 1

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.schemas import EXECUTIVES, RULES, TYPE_RANK, Rules
 
+#: 1970-01-01 as an ordinal.
+EPOCH = date(1970, 1, 1).toordinal()
+
 
 def once_per_key(stream: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:
     """Each key once within the watermark; state is bounded by it."""
@@ -104,8 +108,10 @@ def cooldown_in_order(stream: DataFrame, time: str = "ts", late: str = "7 days",
     """Greedy cooldown over signals that arrive in any order, up to ``late`` behind the newest.
 
     A row waits in its ticker's list until the watermark has passed its day: by then all rows of that day
-    and earlier ones are there, whatever batches brought them. An event-time timer for the day then takes
-    its rows by score and rank, as the batch fold does. State is what waits, and three numbers.
+    and earlier ones are there, whatever batches brought them. A ticker has one event-time timer, for the
+    earliest day that waits; it takes all days that the watermark has passed, by day, score and rank, as the
+    batch fold does, so a list is read once for each batch and not for each day. State is what waits, the
+    timer's day, and three numbers.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -113,31 +119,40 @@ def cooldown_in_order(stream: DataFrame, time: str = "ts", late: str = "7 days",
         def init(self, handle) -> None:
             self.handle = handle
             self.waiting = handle.getListState("waiting", "day int, score int, signal_type string")
+            self.timer = handle.getValueState("timer", "day int")
             self.last = handle.getValueState("last", "day int, score int, rank int")
 
         def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
             import pandas as pd
 
-            days = set()
+            first = None
             for frame in rows:
-                day = (pd.to_datetime(frame["signal_date"]) - pd.Timestamp(0)).dt.days
-                self.waiting.appendList([(int(d), int(s), t) for d, s, t in zip(day, frame["score"], frame["signal_type"])])
-                days |= set(day)
-            for d in days:
-                self.handle.registerTimer(int(d) * 86_400_000)
+                day = (pd.to_datetime(frame["signal_date"]) - pd.Timestamp(0)).dt.days.tolist()
+                self.waiting.appendList(list(zip(day, frame["score"].tolist(), frame["signal_type"].tolist())))
+                first = min(day) if first is None else min(first, *day)
+            set_to = self.timer.get()[0] if self.timer.exists() else None
+            if first is not None and (set_to is None or first < set_to):
+                if set_to is not None:
+                    self.handle.deleteTimer(set_to * 86_400_000)
+                self.handle.registerTimer(first * 86_400_000)
+                self.timer.update((first,))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd
 
-            due = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000
-            held = list(self.waiting.get())
+            due = timerValues.getCurrentWatermarkInMs() // 86_400_000
+            held = [tuple(r) for r in self.waiting.get()]
             ready = sorted((r for r in held if r[0] <= due), key=lambda r: (r[0], r[1], TYPE_RANK.get(r[2], 0)))
-            rest = [tuple(r) for r in held if r[0] > due]
+            rest = [r for r in held if r[0] > due]
             if rest:
                 self.waiting.put(rest)
+                first = min(r[0] for r in rest)
+                self.handle.registerTimer(first * 86_400_000)
+                self.timer.update((first,))
             else:
                 self.waiting.clear()
+                self.timer.clear()
             last = self.last.get() if self.last.exists() else None
             kept = []
             for day, score, kind in ready:
@@ -145,12 +160,10 @@ def cooldown_in_order(stream: DataFrame, time: str = "ts", late: str = "7 days",
                 if last and abs(day - last[0]) < rules.cooldown_days and score < last[1] + rules.cooldown_jump and rank <= last[2]:
                     continue
                 last = (day, score, rank)
-                kept.append((*key, pd.Timestamp(0) + pd.Timedelta(days=day), score, kind))
+                kept.append((*key, date.fromordinal(EPOCH + day), score, kind))
             if kept:
                 self.last.update(last)
-                out = pd.DataFrame(kept, columns=["ticker", "signal_date", "score", "signal_type"])
-                out["signal_date"] = out["signal_date"].dt.date
-                yield out
+                yield pd.DataFrame(kept, columns=["ticker", "signal_date", "score", "signal_type"])
 
         def close(self) -> None:
             pass
