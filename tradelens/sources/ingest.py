@@ -36,7 +36,8 @@ def ingest(pages: list[DataFrame], ciks: DataFrame, docs: DataFrame, universe: D
     for more in pages[1:]:
         index = index.unionByName(more)
     fresh = not_stored(in_universe(with_tickers(index, ciks), universe), stored, ["accession_number"]).dropDuplicates(["accession_number"])
-    found = documents.parsed(fresh.join(docs, "accession_number", "left"))
+    # records are short and hashed; documents stream past them, and are not sorted for the join
+    found = documents.parsed(fresh.hint("shuffle_hash").join(docs, "accession_number", "left"))
     rows = documents.transactions(found)
     companies = rows.select("cik", "ticker", F.col("company").alias("name")).groupBy("cik").agg(F.max("ticker").alias("ticker"), F.max("name").alias("name"))
     filings = found.where("outcome = 'ok'").select("accession_number", "cik", "filed_date", "period_date", "form")
