@@ -152,3 +152,18 @@ def test_whole_table_against_plain_cutting(spark, small):
         assert got[r.page_id].text == "\n\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
     assert templates.main_text(df.limit(0)).count() == 0
+
+
+def test_tokens_with_one_occurrence_vector_form_one_class(spark):
+    page = lambda body: f"<html><body><div class='top'><p>Site</p></div><div class='text'>{body}</div><p>End</p></body></html>"
+    rows = [(1, "http://a.org/1", page("<p>one</p>")), (2, "http://a.org/2", page("<p>two</p><p>three</p>")), (3, "http://a.org/3", page("<ul><li>x</li></ul>")), (4, "http://a.org/4", page("<ul><li>y</li></ul>"))]
+    found = templates.classes_of(templates.equivalence_classes(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len({r.vector for r in found}) == len(found)
+    of = {m.token: r for r in found for m in r.members}
+    every = of[templates.token("/html")]
+    same = [templates.token("/html/body"), templates.token("/html/body/div.top/p", "Site"), templates.token("/html/body/p", "End"), templates.PAGE]
+    assert every.support == 4 and all(of[t].vector == every.vector for t in same)
+    lists = of[templates.token("/html/body/div.text/ul")]
+    assert lists.support == 2 and lists.vector == of[templates.token("/html/body/div.text/ul/li")].vector != every.vector
+    assert of[templates.token("/html/body/div.text/p")].least == 1 and of[templates.token("/html/body/div.text/p")].most == 2
+    assert templates.token("/html/body/div.text/p", "one") not in of
