@@ -126,3 +126,18 @@ def test_existence_and_latest_signals(spark):
     assert feeds.exists(df).first().found and not feeds.exists(df.where("false")).first().found
     got = feeds.latest_signals(df)
     assert got.count() == 21 and got.where("ticker = 'A'").agg(F.min("signal_date")).first()[0] == dt.date(2020, 1, 11)
+
+
+def test_runs_share_the_returns_of_their_trades(spark, small, monkeypatch):
+    """Three merges with prices serve both runs: each run made six of its own before."""
+    from tradelens.plans import runs
+
+    merges = []
+    plain = runs.prices.as_of_returns
+    count = lambda *args, **named: merges.append(args) or plain(*args, **named)
+    monkeypatch.setattr(runs.prices, "as_of_returns", count)
+    monkeypatch.setattr(runs.event_study, "as_of_returns", count)
+    monkeypatch.setattr(runs.run_store, "run_rows", lambda returns, small, weak, day, threshold: returns.limit(1))
+    monkeypatch.setattr(runs.run_store, "save", lambda *args: None)
+    runs._saved_runs(spark, small)
+    assert len(merges) == 3

@@ -14,19 +14,30 @@ from tradelens.plans.oracle import ALERTED, ORACLE, SIGNALS
 from tradelens.plans.shared import scratch, stored
 
 
+#: What the metrics of a run read of a trade.
+DETAIL = ["ticker", "signal_date", "score", "cap_tier", "signal_type", "horizon", "start_date", "end_date", "_kind"]
+
+
 def _saved_runs(spark, d) -> str:
     """Two runs of the event study, the second saved twice."""
     path = scratch(spark, "run-store")
-    every = registry.all_signals(spark, d)
-    bars, bench, small = V.price_bars(spark, d), V.benchmark_bars(spark, d), V.benchmark_bars(spark, d, ("small",))
+    every = registry.all_signals(spark, d).withColumn("filed_date", F.col("as_of"))
+    # the return of a trade is that of its days, whichever run looks at it: made once, for the later run, which has all of them
+    chosen = event_study.selected(every).withColumn("_kind", F.lit("chosen")).unionByName(event_study.weak_clusters(every).withColumn("_kind", F.lit("weak")))
+    entered = event_study.trades(chosen, F.lit(registry.AS_OF).cast("date")).select(*DETAIL)
+    own = prices.as_of_returns(entered, V.price_bars(spark, d))
+    spans = entered.select("start_date", "end_date").distinct()
+    bench = event_study.benchmark_returns(spans, V.benchmark_bars(spark, d))
+    small = event_study.benchmark_returns(spans, V.benchmark_bars(spark, d, ("small",))).withColumnRenamed("bench_ret", "small_ret")
+    held = stored(own.join(bench, ["start_date", "end_date"], "left").join(small, ["start_date", "end_date"], "left"), "study")
+    excess = lambda missing, base, digits: event_study.excess(F.coalesce("ret", F.lit(missing)), F.col(base), digits)
     for day, times in (("1997-12-31", 1), (registry.AS_OF, 2)):
-        chosen = event_study.selected(every).withColumn("filed_date", F.col("as_of"))
-        enter = lambda rows: event_study.trades(rows, F.lit(day).cast("date"))  # noqa: B023, E731
-        returns = stored(event_study.excess_returns(enter(chosen), bars, bench), "study")
-        v = F.col("excess")
-        tiny = event_study.excess_returns(enter(chosen.where("cap_tier = 'small'")), bars, small, digits=None).where("excess IS NOT NULL")
+        known = event_study.old_enough(held, F.lit(day).cast("date"))
+        strong, v = known.where("_kind = 'chosen'"), F.col("excess")
+        returns = strong.withColumn("excess", excess(-50.0, "bench_ret", 2))
+        tiny = strong.where("cap_tier = 'small'").withColumn("excess", excess(-50.0, "small_ret", None)).where("excess IS NOT NULL")
         tiny = tiny.groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg(v), 2).alias("avg_return"), F.round(F.avg((v > 0).cast("int") * 100.0), 1).alias("hit_rate"))
-        weak = event_study.excess_returns(enter(event_study.weak_clusters(every).withColumn("filed_date", F.col("as_of"))), bars, bench, missing=None).where("excess IS NOT NULL")
+        weak = known.where("_kind = 'weak'").withColumn("excess", excess(None, "bench_ret", 2)).where("excess IS NOT NULL")
         weak = weak.groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg(F.when(v > 0, 100.0).otherwise(0.0)), 1).alias("hit_rate"), F.round(F.avg(v), 2).alias("avg_return"))
         rows = stored(run_store.run_rows(returns, tiny, weak, day, 60), "run")
         for _ in range(times):
