@@ -96,3 +96,12 @@ def test_reduction_loses_no_optimum(items):
     fixed, rest = packing.reduce_instance(counts, 20)
     left = sorted((s for s, n in rest.items() for _ in range(n)), reverse=True)
     assert sum(n for _, n in fixed) + fewest(left, 20) == fewest(sorted(items, reverse=True), 20)
+
+
+def test_encoded_batches_are_small():
+    """What a worker holds of a batch is many times its text: three texts of 2 MB were encoded at once before."""
+    import pyarrow as pa
+
+    from tradelens.llm import packing, tokens
+
+    assert list(tokens.batches(pa.array(["x" * 2_000_000] * 3), packing.BATCH_BYTES)) == [(0, 2), (2, 3)]

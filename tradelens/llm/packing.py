@@ -24,6 +24,8 @@ from tradelens.llm.common import BYTE_BPE, stored
 
 #: Pieces in a salted rank group: about this number of rows, and never fewer groups than MIN_SALTS.
 RANK_ROWS, MIN_SALTS = 20_000, 64
+#: Bytes of text encoded at once: what a worker holds beside its words is some twenty times as much.
+BATCH_BYTES = 3_000_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -42,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = 204
         words = encoder(tokenizer, "byte")
         for part in parts:
             names, texts = part.column(0), part.column(1)
-            for lo, hi in batches(texts):
+            for lo, hi in batches(texts, BATCH_BYTES):
                 ids, ends = words.encode(texts.slice(lo, hi - lo), end_id)
                 total = np.diff(ends, prepend=0)
                 n = (total - 1) // capacity + 1
