@@ -83,9 +83,9 @@ def evidence_fields(spark, d):
 
 
 def _evidence(spark, d):
-    tx = V.transactions(spark, d)
-    rows = registry.all_signals(spark, d).where("signal_type = 'CLUSTER_BUY'").withColumn("filed_date", F.col("as_of"))
-    near = clusters.join_in_days(rows.select("ticker", "as_of"), registry.scored(spark, d).where("disqualifier IS NULL"), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
+    tx = registry.all_purchases(spark, d)
+    rows = registry.all_signals(spark, d, tx).where("signal_type = 'CLUSTER_BUY'").withColumn("filed_date", F.col("as_of"))
+    near = clusters.join_in_days(rows.select("ticker", "as_of"), registry.scored_of(spark, d, tx).where("disqualifier IS NULL"), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
     full = evidence.evidence(rows, evidence.insider_rollup(near, ["ticker", "as_of"]), clusters.members(rows.select("ticker", "as_of"), tx, V.tie()))
     context = evidence.market_context(full, V.companies(spark, d), prices.quotes(V.price_bars(spark, d)))
     return evidence.alert_text(context)
