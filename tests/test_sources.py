@@ -31,6 +31,13 @@ def test_documents(spark):
     assert {r.outcome: r.n for r in documents.outcomes(found).collect()} == {"ok": 4}
 
 
+def test_attributes_are_no_fields_and_plans_are_found_in_any_case(spark):
+    rows = [("attr", DOC.format(price="1", note="").replace("<ownershipDocument>", '<ownershipDocument corrupt="x">')), ("upper", DOC.format(price="1", note="<remarks>10B5-1</remarks>")), ("rule", DOC.format(price="1", note="<remarks>RULE 10B5</remarks>")), ("bare", DOC.format(price="1", note="<remarks>10b5</remarks>"))]
+    found = documents.parsed(spark.createDataFrame(rows, "accession_number string, xml string"))
+    assert {r.accession_number: r.outcome for r in found.collect()} == dict.fromkeys(["attr", "upper", "rule", "bare"], "ok")
+    assert {r.accession_number: r.is_10b51 for r in documents.transactions(found).collect()} == {"attr": False, "upper": True, "rule": True, "bare": False}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "index.json").write_text('{"hits": {"hits": [{"_id": "0001-20-1:doc.xml", "_source": {"ciks": ["0000000007", "0000000009"], "display_names": ["Ann (CIK 7)", "Acme Corp  (CIK 0000000009)"], "file_date": "2020-01-02", "period_ending": "2020-01-01", "form": "4"}}]}}')
     r = readers.read_filing_index(spark, str(tmp_path / "index.json")).first()

@@ -25,7 +25,7 @@ def parsed(documents: DataFrame) -> DataFrame:
 
     The parsed document passes through a generator, so that no filter or projection above repeats the parse.
     """
-    one = F.from_xml("xml", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "ownershipDocument"})
+    one = F.from_xml("xml", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "ownershipDocument", "excludeAttribute": "true"})
     out = documents.withColumn("doc", F.explode(F.array(one)))
     lines = F.coalesce(F.size("doc.nonDerivativeTable.nonDerivativeTransaction"), F.lit(0))
     outcome = F.when(F.coalesce(F.trim("xml"), F.lit("")) == "", "xml_missing").when(F.col("doc._corrupt").isNotNull() | F.col("doc.issuer").isNull(), "parse_error").when(lines <= 0, "deriv_only").otherwise("ok")
