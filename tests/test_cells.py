@@ -80,3 +80,13 @@ def test_whole_rounds_as_round_does(spark):
     values = [0.0, 0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -1.5, -2.4, 104999.49999999999, 104999.5, 1e15 + 0.5, None] + [random.Random(1).uniform(-1e6, 1e6) for _ in range(500)]
     rows = spark.createDataFrame([(v,) for v in values], "x double")
     assert rows.where(~V.whole(F.col("x")).eqNullSafe(F.round("x").cast("long"))).count() == 0
+
+
+def test_counted_purchases_are_the_scored_ones_without_prices(spark, small):
+    tx = registry.purchases(V.transactions(spark, small)).localCheckpoint()
+    found = registry.counted_of(tx)
+    assert "low_52wk" not in found.columns and shuffles(found) == 1
+    rows = lambda df: sorted(map(tuple, df.select(*V.TIE).collect()))
+    scored = registry.scored_of(spark, small, tx)
+    assert rows(found) == rows(scored.where("disqualifier IS NULL")) and found.count() > 0
+    assert scored.where("score <> CASE WHEN disqualifier IS NULL THEN least(aggregate(map_values(breakdown), 0, (a, x) -> a + x), 100) ELSE 0 END").count() == 0

@@ -117,9 +117,9 @@ def alert_outbox(spark, d):
 
 def signal_evidence(spark, d):
     """The people of each cluster signal: those of the scoring window, then earlier members of the cluster."""
-    tx = V.transactions(spark, d)
-    rows = registry.all_signals(spark, d).where("signal_type = 'CLUSTER_BUY'")
-    near = clusters.join_in_days(rows.select("ticker", "as_of"), registry.scored(spark, d).where("disqualifier IS NULL"), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
+    tx = registry.all_purchases(spark, d)
+    rows = registry.all_signals(spark, d, tx).where("signal_type = 'CLUSTER_BUY'")
+    near = clusters.join_in_days(rows.select("ticker", "as_of"), registry.counted_of(tx), "ticker", "as_of", "transaction_date", scoring.RULES.scoring_days).where("filed_date <= as_of")
     members = clusters.members(rows.select("ticker", "as_of"), tx, V.tie())
     cited = spark.createDataFrame([("role_cfo", "a"), ("cap_small", "b"), ("prior_purchase_31_365d", "c")], "factor string, citation string")
     full = evidence.evidence(rows, evidence.insider_rollup(near, ["ticker", "as_of"]), members, cited)
