@@ -75,3 +75,16 @@ def test_emptied_partitions_nulls_and_strays(spark, table):
         table.rewrite(frame(spark, (0, "b", 0, True)).select("month"), lambda old: old.withColumn("month", F.lit("z")))
     assert rows(table.read()) == [(3, "b", 3, True)]
     assert upsert(table, frame(spark)) == table.version()
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    rows = MergedTable(spark, f"file://{tmp_path}/t", spark.createDataFrame([], "k long, word string, month string").schema, "month")
+    new = spark.range(40_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("word"), F.lit("m").alias("month"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "200k")
+    try:
+        rows.insert(new, ["k"])
+    finally:
+        spark.conf.set(size, before)
+    assert len(list(tmp_path.glob("t/data/*/_p=vm/*.parquet"))) > 1 and rows.read().count() == 40_000

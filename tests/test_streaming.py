@@ -131,6 +131,14 @@ def test_late_lines_and_a_repeated_batch_give_the_same_signals(spark, small):
     assert key(streams.stream_signals(spark, small)) == key(registry.signals_raw(spark, small))
 
 
+def test_a_repeated_batch_makes_neither_signals_nor_lows_again(spark, small, monkeypatch):
+    made, kept = [], streams.stored
+    monkeypatch.setattr(streams, "stored", lambda df, label: made.append(label) or kept(df, label))
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(streams.stream_signals(spark, small)) == key(registry.signals_raw(spark, small))
+    assert made == ["lows", "fresh", "fresh", "fresh"]  # the second of three batches runs twice
+
+
 def test_a_ticker_has_one_timer_and_its_list_is_read_once_a_batch():
     import pandas as pd
 

@@ -74,6 +74,10 @@ class MergedTable:
             raise
         return version
 
+    def holds(self, batch: tuple[str, int] | None) -> bool:
+        """Has this batch (source, number) been applied?"""
+        return bool(batch) and self.state()["batches"].get(batch[0], -1) >= batch[1]
+
     # -- rows
 
     def read(self, version: int | None = None, only: set[str] | None = None) -> DataFrame:
@@ -92,15 +96,16 @@ class MergedTable:
         ``touched``: partition values, one column; they are collected, so their number must be that of
         partitions. ``change`` may give rows of those partitions only. ``batch``: (source, number).
         """
+        if self.holds(batch):
+            return self.version()
         state = self.state()
-        if batch and state["batches"].get(batch[0], -1) >= batch[1]:
-            return state["version"]
         values = [r[0] for r in touched.distinct().collect()]
         keys = {"" if v is None else str(v): v for v in values}
         old = self._rows([f for k, f in state["partitions"].items() if k in keys])
         run = f"data/{uuid.uuid4().hex}"
         name = F.coalesce(F.col(self.by).cast("string"), F.lit(""))
-        change(old).select(*self.schema.fieldNames()).withColumn("_p", F.concat(F.lit("v"), name)).repartition("_p").write.partitionBy("_p").parquet(f"{self.path}/{run}")
+        # a large partition is written by several tasks, small ones share one
+        change(old).select(*self.schema.fieldNames()).withColumn("_p", F.concat(F.lit("v"), name)).hint("rebalance", "_p").write.partitionBy("_p").parquet(f"{self.path}/{run}")
         fs = self._path(run).getFileSystem(self._conf)
         filled = {n for f in fs.listStatus(self._path(run)) if (n := f.getPath().getName()).startswith("_p=")}
         folders = {k: f"_p={self._escaped(k)}" for k in keys}

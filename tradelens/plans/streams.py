@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelens.operators import clusters, scoring
+from tradelens.operators import clusters, prices, scoring
 from tradelens.operators.merged import MergedTable
 from tradelens.plans import registry
 from tradelens.plans import views as V
@@ -97,16 +97,19 @@ def refreshed_signals(spark, d, tx: DataFrame, batch_of, n: int, fail: tuple[int
 
     A batch is merged into the stored transactions; then the signals of its tickers, from the day of its
     earliest trade on, are made again from what is stored and replace the old ones. Both tables remember
-    the batch's number, so a batch that runs again after a failure changes nothing twice. ``fail``: the
-    batches after whose work the query breaks off before Spark notes that they are done.
+    the batch's number, so a batch that runs again after a failure changes nothing twice, and what it has
+    stored is not made again. Lows do not depend on a batch and are made once. ``tx`` is read for each
+    batch: a stored table. ``fail``: the batches after whose work the query breaks off before Spark notes
+    that they are done.
     """
     root = scratch(spark, "refreshed")
     year = lambda c: F.date_format(c, "yyyy")
-    held = stored(tx.withColumn("year", year("transaction_date")).withColumn("_batch", batch_of), "landed")
+    held = tx.withColumn("year", year("transaction_date")).withColumn("_batch", batch_of)
     rows_schema = held.drop("_batch").schema
     transactions = MergedTable(spark, f"{root}/transactions", rows_schema, "year")
     shape = registry.signals_of(spark, d, tx, clusters.work_items(tx)).withColumn("year", year("as_of")).schema
     signals = MergedTable(spark, f"{root}/signals", shape, "year")
+    lows = stored(prices.year_lows(V.yearly_bars(spark, d), "cik"), "lows")
 
     def add(batch: DataFrame, number: int) -> None:
         transactions.insert(batch.select(*rows_schema.fieldNames()), V.TIE, ("landed", number))
@@ -114,9 +117,11 @@ def refreshed_signals(spark, d, tx: DataFrame, batch_of, n: int, fail: tuple[int
     def recompute(changed: DataFrame) -> DataFrame:
         own = transactions.read().join(changed.select("ticker"), "ticker", "left_semi")
         items = clusters.work_items(own).join(changed, "ticker").where("as_of >= since").select("ticker", "as_of")
-        return registry.signals_of(spark, d, own, items).withColumn("year", year("as_of"))
+        return registry.signals_of(spark, d, own, items, lows=lows).withColumn("year", year("as_of"))
 
     def store(fresh: DataFrame, changed: DataFrame, number: int) -> None:
+        if signals.holds(("landed", number)):
+            return
         fresh = stored(fresh, "fresh")
         old = signals.read().join(changed, "ticker").where("as_of >= since")
         touched = fresh.select("year").union(old.select("year"))
@@ -145,8 +150,8 @@ def refreshed_signals(spark, d, tx: DataFrame, batch_of, n: int, fail: tuple[int
 
 
 def stream_signals(spark, d):
-    """The signals after three batches of transactions; one line in seven comes a batch late, and the second batch runs twice."""
-    tx = V.transactions(spark, d)
+    """The signals after three batches of purchases; one line in seven comes a batch late, and the second batch runs twice."""
+    tx = registry.all_purchases(spark, d)
     by_time = quantile_batches("filed_date", F.col("filed_date"), tx, 3)
     late = F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0)
     rows = refreshed_signals(spark, d, tx, F.least(by_time + late, F.lit(2)), 3, fail=(1,))

@@ -187,9 +187,13 @@ def recompute_late(stream: DataFrame, add, recompute, store, checkpoint: str, ke
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        changed = batch.groupBy(key).agg(F.date_sub(F.min(date), back).alias("since"))
-        add(batch, number)
-        store(recompute(changed), changed, number)
+        changed = batch.groupBy(key).agg(F.date_sub(F.min(date), back).alias("since")).persist()
+        changed.count()  # its size is known to the joins that follow
+        try:
+            add(batch, number)
+            store(recompute(changed), changed, number)
+        finally:
+            changed.unpersist()
         if after:
             after(number)
 
