@@ -70,6 +70,20 @@ def test_year_low_is_that_of_all_bars(spark):
     assert {r.n: r.low_52wk for r in found.collect()} == want
 
 
+def test_points_and_bars_are_sorted_once(spark):
+    rng = random.Random(5)
+    bars = [(k, DAY + timedelta(t), float(n)) for k in "ab" for n, t in enumerate(sorted(rng.sample(range(1200), 120)))]
+    points = [(k, DAY + timedelta(rng.randint(-30, 1300)), n) for n, k in enumerate("abc" * 200)] + [("a", None, 600)]
+    found = prices.bars_around(spark.createDataFrame(points, "k string, at date, n int"), spark.createDataFrame(bars, "k string, date date, close double"), "k")
+    of = lambda key: [(d, c) for k, d, c in bars if k == key]
+    want = {n: (max((b for b in of(k) if b[0] <= t), default=None), min((b for b in of(k) if b[0] >= t), default=None)) for k, t, n in points if t}
+    got = {r.n: (r.before and tuple(r.before), r.after and tuple(r.after)) for r in found.collect()}
+    assert got == want | {600: (None, None)}
+    assert any(a == b for a, b in want.values() if a)  # points on the day of a bar
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("IGNORE NULLS" in line or "last(_bar" in line for line in plan.split("== Initial")[0].splitlines() if "Window [" in line) == 1
+
+
 def test_an_actors_history_is_sorted_once(spark):
     rows = spark.createDataFrame([("a", DAY + timedelta(40 * k)) for k in range(60)], "a string, transaction_date date")
     plan = history.routine_flags(history.prior_purchases(rows, ["a"]), ["a"])._jdf.queryExecution().executedPlan().toString()
