@@ -37,6 +37,22 @@ def test_repeated_ids_shrink():
     assert shard.expand(shard.seq).tolist() == ids.tolist()
 
 
+def test_a_shard_is_compressed_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 1_000_000), 49_000).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        blob = repair.to_bytes(ids, np.arange(500, len(ids) + 1, 500))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 28 * 4 * len(ids)  # all arrays at once, in copies of the given ids
+    shard = repair.Shard(blob)
+    assert (shard.expand(shard.seq) == ids).all()
+
+
 def plain(docs):
     from tokenizers import Tokenizer
 

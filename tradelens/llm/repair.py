@@ -36,37 +36,49 @@ MAGIC = b"RPR1"
 HEAD = "<4sIIQQ"
 #: The first number that no token id has.
 FIRST_NONTERMINAL = 1 << 18
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 3_000_000
 
 
 def _numbered(pair):
-    """A number below len(number_of) for each pair, alike for equal pairs only; and the pair of each number."""
+    """A number for each pair, alike for equal pairs only; and the pairs of the numbers, in two arrays that follow one another."""
     import numpy as np
 
     bits = max(10, min(22, len(pair).bit_length()))
-    number, todo, holders = np.empty(len(pair), np.int64), np.arange(len(pair)), []
+    table = np.zeros(2 << bits, np.int64)
+    number, todo, own = None, None, pair
     for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):  # a cell of the table stands for the pair that holds it
-        own = pair[todo]
-        cell = ((own.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
-        holder = np.zeros(1 << bits, np.int64)
+        cell = own.view(np.uint64) * np.uint64(factor)
+        cell >>= np.uint64(64 - bits)
+        cell = cell.view(np.int64)
+        holder = table[k << bits : (k + 1) << bits]
         holder[cell] = own
-        fits = holder[cell] == own
-        number[todo[fits]] = cell[fits] + (k << bits)
-        holders.append(holder)
-        todo = todo[~fits]
-    rest, of = np.unique(pair[todo], return_inverse=True)
-    number[todo] = of + (2 << bits)
-    return number, np.concatenate((*holders, rest))
+        others = holder[cell] != own
+        if number is None:
+            number, todo = cell.astype(np.int32), np.flatnonzero(others)  # those of others are set below
+        else:
+            number[todo] = cell + (k << bits)
+            todo = todo[others]
+        del cell
+        own = pair[todo]
+    rest, of = np.unique(own, return_inverse=True)
+    number[todo] = of + len(table)
+    return number, table, rest
 
 
 def _often(pair, min_count: int):
     """Which pairs occur ``min_count`` times, and for these the rank of their pair: 0 for the most frequent."""
     import numpy as np
 
-    number, pair_of = _numbered(pair)
-    count = np.bincount(number, minlength=len(pair_of))
+    number, table, rest = _numbered(pair)
+    count = np.bincount(number, minlength=len(table) + len(rest))
     found = np.flatnonzero(count >= min_count)
-    rank = np.full(len(pair_of), -1)
-    rank[found[np.lexsort((pair_of[found], -count[found]))]] = np.arange(len(found))
+    split = np.searchsorted(found, len(table))
+    pair_of = np.concatenate((table[found[:split]], rest[found[split:] - len(table)]))
+    del table, rest
+    rank = np.full(len(count), -1, np.int32)
+    rank[found[np.lexsort((pair_of, -count[found]))]] = np.arange(len(found))
+    del count
     rank = rank[number]
     at = np.flatnonzero(rank >= 0)
     return at, rank[at]
@@ -89,7 +101,9 @@ def compress(ids, doc_ends, min_count: int = 16):
     # places at which a pair begins that may be frequent: pairs of old symbols never become more
     place = np.flatnonzero(~last)
     while len(place):
-        pair = (seq[place] << 32) | seq[place + 1]
+        pair = seq[place]
+        pair <<= 32
+        pair |= seq[place + 1]
         at, rank = _often(pair, min_count)
         place, pair = place[at], pair[at]
         if not len(place):
@@ -228,13 +242,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
         def close():
             ids, size = np.concatenate(held), np.concatenate(sizes)
             docs = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.concat_arrays(names))
-            row = [pa.array([number]), docs, pa.array([len(ids)]), pa.array([to_bytes(ids, np.cumsum(size), **parameters)], pa.binary())]
             names.clear(), held.clear(), sizes.clear()
+            row = [pa.array([number]), docs, pa.array([len(ids)]), pa.array([to_bytes(ids, np.cumsum(size), **parameters)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["shard", "docs", "n_tokens", "body"])
 
         for part in parts:
             own, texts = part.column(0), part.column(1)
-            for lo, hi in batches(texts):
+            for lo, hi in batches(texts, BATCH_BYTES):
                 ids, ends = words.encode(texts.slice(lo, hi - lo), end_id)
                 size, done, at = np.diff(ends, prepend=0), 0, 0
                 while done < len(size):  # whole documents, until the shard is full
