@@ -67,6 +67,29 @@ def test_crowded_group_and_common_passage(spark, monkeypatch, frequent):
     assert kept(spark, rows) == brute(rows)
 
 
+def test_long_texts_that_share_a_passage_are_ruled_out_by_parities(spark):
+    """Sets far larger than the coarse parities have bits: of pairs that are unlike, none is compared in whole, and none of the alike is lost."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(2600)]
+    texts = [" ".join([f"u{g}x{i}" for i in range(1300)] + base[:1300]) for g in range(8)]  # similarity of a third
+    for share in (0.01, 0.02, 0.022, 0.024, 0.03):  # on both sides of 0.8
+        own = list(base)
+        for at in rng.permutation(len(own))[: int(len(own) * share)]:
+            own[at] = f"v{int(rng.integers(1 << 30))}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base), " ".join(base[:2080]), " ".join(base[:2050])]  # of these, some have half as many parities
+    sets = [near.shingle_set(t, 5) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))]
+    alike = {(a, b) for a, b in pairs if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    given, marked = spark.createDataFrame(list(enumerate(texts)), "k long, text string"), spark.createDataFrame(pairs, "a long, b long")
+    marks = near._marks(given, 5)
+    assert len({len(r.fine) for r in marks.collect()}) > 1
+    likely = {(r.a, r.b) for r in near._likely(marked, marks).collect()}
+    assert alike and alike <= likely and not any(a < 8 for a, b in likely) and len(likely) < len(alike) + 6
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == brute(rows)
+
+
 def test_whole_table(spark, small):
     docs = read(spark, small, "documents")
     assert sorted((r.doc_id for r in near.first_of_each(docs).collect()), key=str) == brute([(r.doc_id, r.text) for r in docs.collect()])

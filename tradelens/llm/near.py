@@ -13,7 +13,9 @@ others stand by their hash; the sample decides the cost alone, not the result.
    text is compared with the one of these that it meets under most shingles: one comparison for each
    text and round, which joins most of a large group of near copies.
 3. Texts of different components that meet under a shingle are then compared with each other, unless
-   their sizes, their places in the prefixes or the parities of their sets rule out 0.8.
+   their sizes, their places in the prefixes or the parities of their sets rule out 0.8. Parities for
+   the pairs that are left, and for those of the rounds, are as many as a set is large: few of another
+   similarity than 0.8 or more are then compared in whole.
 
 Compared are the whole sets, by the 64-bit hashes of their shingles. Words and letter case are those
 of ``simhash.fingerprint_of``; a text with fewer words than a shingle has one shingle, and null and
@@ -102,22 +104,25 @@ def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _marks(texts: DataFrame, shingle: int) -> DataFrame:
-    """k, the size n and the parities m0, m1, ... of each text's set."""
+    """k, the size n, the parities m0, m1, ... of each text's set, and ``fine``: parities by twice to four times as many bits as the set has hashes."""
 
     def work(parts: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for part in parts:
-            out, sizes = np.zeros((len(part.column(1)), 64 * MARKS), np.uint8), []
+            longs, sizes, fine = np.zeros((len(part.column(1)), MARKS), "<i8"), [], []
             for i, t in enumerate(part.column(1)):
                 own = shingle_set(t.as_py(), shingle)
+                bits = max(64 * MARKS, 1 << (2 * len(own) - 1).bit_length())
+                odd = np.bincount((own.view("<u8") & np.uint64(bits - 1)).view("<i8"), minlength=bits) & 1
                 sizes.append(len(own))
-                out[i] = np.bincount(own.view("<u8") % np.uint64(64 * MARKS), minlength=64 * MARKS) & 1
-            longs = np.packbits(out, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), *[pa.array(longs[:, i]) for i in range(MARKS)]], ["k", "n", *[f"m{i}" for i in range(MARKS)]])
+                fine.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+                longs[i] = np.bitwise_xor.reduce(fine[-1].reshape(-1, MARKS), axis=0)
+            columns = [part.column(0), pa.array(sizes, pa.int32()), *[pa.array(longs[:, i]) for i in range(MARKS)], pa.array(fine, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "n", *[f"m{i}" for i in range(MARKS)], "fine"])
 
-    return texts.select("k", "text").mapInArrow(work, "k long, n int, " + ", ".join(f"m{i} long" for i in range(MARKS)))
+    return texts.select("k", "text").mapInArrow(work, "k long, n int, " + ", ".join(f"m{i} long" for i in range(MARKS)) + ", fine array<long>")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -137,11 +142,25 @@ def _unlike(x: str, y: str):
     return sum((F.bit_count(F.col(f"{x}.m{i}").bitwiseXOR(F.col(f"{y}.m{i}"))) for i in range(MARKS)), F.lit(0))
 
 
+def _folded(fine):
+    """Parities by half as many bits: bit i stands for i and i + half."""
+    half = (F.size(fine) / 2).cast("int")
+    return F.zip_with(F.slice(fine, 1, half), F.slice(fine, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
+def _unlike_finely(x: str, y: str):
+    """Like ``_unlike``, by the fine parities; sets of sizes that ``_sized`` lets pass have as many, or one has twice those of the other."""
+    p, q = F.col(f"{x}.fine"), F.col(f"{y}.fine")
+    p, q = F.when(F.size(p) > F.size(q), _folded(p)).otherwise(p), F.when(F.size(q) > F.size(p), _folded(q)).otherwise(q)
+    return F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
+
+
 def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) without those that the parities rule out."""
+    """The pairs (a, b), of sizes that ``_sized`` lets pass, without those that the parities rule out."""
+    marks = marks.select("k", "n", "fine")
     x, y = marks.alias("x"), marks.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.k")).join(y, F.col("b") == F.col("y.k"))
-    return both.where(_ENOUGH * _unlike("x", "y") <= F.col("x.n") + F.col("y.n")).select("a", "b")
+    return both.where(_ENOUGH * _unlike_finely("x", "y") <= F.col("x.n") + F.col("y.n")).select("a", "b")
 
 
 def _sized(n, m):
@@ -199,14 +218,14 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
         roots = components(near)
         known = known.drop("c").join(roots.toDF("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = _instead(met, _apart(known))
-    known = known.join(marks.drop("n"), "k")
+    known = known.join(marks.drop("n", "fine"), "k")
     x, y = known.alias("x"), known.alias("y")
     most = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     fits = _sized(F.col("x.n"), F.col("y.n")) & (_ENOUGH * most >= _SIZES * (F.col("x.n") + F.col("y.n")))
     fits &= _ENOUGH * _unlike("x", "y") <= F.col("x.n") + F.col("y.n")  # the sets differ in as many shingles at least
     rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & fits)
     rest = rest.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    last = _alike(stored(rest, "rest"), texts, shingle)
+    last = _alike(stored(_likely(rest, marks), "rest"), texts, shingle)
     return near.union(last)
 
 
