@@ -49,6 +49,43 @@ def test_many_small_files_share_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before)
 
 
+def test_parts_of_small_files_share_tasks_and_few_tasks_list_them(spark, tmp_path):
+    land(tmp_path, {f"{i:012}/x.xml": XML for i in range(300)})
+    keys = {"spark.sql.files.openCostInBytes": str(1 << 30), "spark.sql.sources.parallelPartitionDiscovery.parallelism": "10000"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setJobGroup("listing", "")
+        files = landing.scan_files(spark, str(tmp_path))  # a part for each file
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup("listing") for k in tracker.getJobInfo(j).stageIds]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert stages and max(x.numTasks for x in stages if x) <= 4 * spark.sparkContext.defaultParallelism
+        assert files.rdd.getNumPartitions() < 60 and files.where("status = 'ok'").count() == 300
+        assert {k: spark.conf.get(k) for k in keys} == keys
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_files_are_written_alike_by_tasks_and_by_sparks_writer(spark, tmp_path, monkeypatch):
+    rows = [("a" * 3000 + " é", "31", "x.xml"), ("", "31", "y.xml"), (None, "32", "x.xml"), ("one", "33", "x.xml"), ("two", "33", "x.xml"), ("none", None, "x.xml"), (" ", "", "x.xml"), ("\n", "34", "x.xml"), ("z" * 20_000, "35", "x.xml")]
+    rows += [(XML + str(i), f"{i}", "x.xml") for i in range(1000, 1200)]  # more than are held at once
+    files = spark.createDataFrame(rows, "text string, accession_number string, document string").repartition(3, "accession_number").sortWithinPartitions("accession_number", "document", "text")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(key), []
+    for at in ("tasks", "writer"):
+        root = tmp_path / at
+        landing.write_files(files, root.as_uri())
+        found = [p for p in root.rglob("*") if p.is_file()]
+        assert any(p.suffix == ".crc" for p in found) == (at == "writer") and not any(p.name.startswith(".") and p.suffix != ".crc" for p in found)
+        got.append(sorted(((r.accession_number, r.document, r.status, r.text) for r in landing.scan_files(spark, root.as_uri(), most_bytes=10_000).collect()), key=str))
+        monkeypatch.setattr(landing, "_local", lambda *_: None)  # a store that is not in the file system of the machine
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == 206 and ("33", "x.xml", "ok", "one\ntwo\n") in got[0]
+    assert spark.conf.get(key) == before
+
+
 def test_document_of_a_filing(spark, tmp_path):
     page = "<html>rendered</html>"
     land(tmp_path / "files", {

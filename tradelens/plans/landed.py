@@ -36,7 +36,7 @@ def _land(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     first, xml = F.col("document") == "form5.xml", registry.filing_xml()
     text = F.when(first & (F.col("kind") == "page"), "<html>a rendered page</html>").when(F.col("kind") == "bytes", bad).when(F.col("kind") == "empty", "").when(F.col("kind") == "large", F.concat("xml", F.repeat(F.lit(" "), MOST_BYTES))).otherwise(F.col("xml"))
     each = each.sortWithinPartitions("accession_number", "document").withColumn("xml", xml).select(text.alias("text"), "accession_number", "document")
-    each.write.partitionBy("accession_number", "document").option("compression", "gzip").text(f"{root}/files")
+    landing.write_files(each, f"{root}/files")
     names = V.read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("cik"), F.year(F.to_date("l_shipdate")).alias("filed_year"))
     listed = F.struct(F.col("accession").alias("a"), F.when(kind == "unnamed", "").otherwise("xslF345X05/form5.xml").alias("p"))
     names = names.distinct().withColumn("accession", accession).groupBy("cik").agg(F.collect_list(listed).alias("n"))

@@ -10,7 +10,11 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import zlib
+from collections import Counter
+from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ def decoded(content: Column) -> Column:
     """Text of a file: as its XML declaration says if that is Latin-1, else UTF-8; null if the bytes are no UTF-8."""
     latin = F.decode(F.substring(content, 1, 200), "ISO-8859-1").rlike(r"""(?i)^\s*<\?xml[^>]*encoding\s*=\s*["'](iso-8859-1|latin-?1)["']""")
     text = F.when(latin, F.decode(content, "ISO-8859-1")).otherwise(F.try_validate_utf8(content.cast("string")))
-    return F.regexp_replace(text, r"^\uFEFF", "")
+    return F.when(text.startswith("\uFEFF"), F.substr(text, F.lit(2))).otherwise(text)
 
 
 def unpacked(content: Column, most_bytes: int) -> Column:
@@ -43,6 +47,73 @@ def unpacked(content: Column, most_bytes: int) -> Column:
     return F.udf(lambda b: None if b is None else unpack(b), "binary")(content)
 
 
+#: Tasks for each core that folders are listed by, and files are read by at least.
+_TASKS = 4
+#: Spark's parts of small files that a task reads at most, where there are enough tasks.
+_PARTS = 16
+#: Rows that a task holds at once while it writes files.
+_AT_ONCE = 64
+#: The folder of rows without a value, as Spark's writers name it.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path in the file system of the machine, or null if it lies in another."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return files.makeQualified(at).toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write each row of (text, accession_number, document) as a file in gzip, as a partition of its accession number and document.
+
+    Rows of a task that follow each other with the same two share a file, each on a line of its own. In the
+    file system of the machine tasks write the files themselves: Hadoop would start a process (chmod) for
+    each folder, file and checksum. Elsewhere Spark's writer makes them. Where a task is tried again, it replaces its files.
+    """
+    spark, files = files.sparkSession, files.select("text", "accession_number", "document")
+    root = _local(spark, path)
+    if root is None:
+        files.write.partitionBy("accession_number", "document").option("compression", "gzip").text(path)
+        return
+
+    def work(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, met = TaskContext.get(), Counter()
+        passing = f".{task.taskAttemptId()}"
+        rows = (tuple(c[i].as_py() for c in part.columns) for part in parts for i in range(part.num_rows))
+        for folder, same in groupby(rows, lambda r: f"{root}/accession_number={r[1] or _NO_VALUE}/document={r[2] or _NO_VALUE}"):
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/{passing}", "wb") as raw, gzip.GzipFile(filename="", fileobj=raw, mode="wb", compresslevel=1) as f:
+                for text, *_ in same:
+                    f.write((text or b"") + b"\n")
+            os.replace(f"{folder}/{passing}", f"{folder}/part-{task.partitionId():05d}-{met[folder]}.txt.gz")
+            met[folder] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([met.total()], pa.int64())], ["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _AT_ONCE)
+    try:
+        files.withColumn("text", F.col("text").cast("binary")).mapInArrow(work, "n long").agg(F.sum("n")).collect()
+    finally:
+        spark.conf.set(key, before)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path``; a task lists many folders, where Spark would start one for each of up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), _TASKS * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def scan_files(spark: SparkSession, path: str, most_bytes: int = 16 << 20) -> DataFrame:
     """accession_number, document, modified, n_bytes, status and text of every file below ``path``.
 
@@ -51,15 +122,17 @@ def scan_files(spark: SparkSession, path: str, most_bytes: int = 16 << 20) -> Da
     metadata are read. ``n_bytes`` is that of the file as it lies there; a file in gzip is too large by what
     it holds as well, and is unpacked no further than that shows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = _listed(spark, path)
+    parts = files.rdd.getNumPartitions()
+    parts = min(parts, max(_TASKS * spark.sparkContext.defaultParallelism, parts // _PARTS))  # of small files a task reads several parts
     meta = [F.col("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes")]
     packed = F.col("path").endswith(".gz")
-    held = files.where(F.col("length") <= most_bytes).withColumn("_unpacked", unpacked(F.when(packed, F.col("content")), most_bytes))
+    held = files.where(F.col("length") <= most_bytes).coalesce(parts).withColumn("_unpacked", unpacked(F.when(packed, F.col("content")), most_bytes))
     held = held.withColumn("_bytes", F.when(packed, F.col("_unpacked")).otherwise(F.col("content")))
     over = F.coalesce(F.length("_bytes") > most_bytes, F.lit(False))
     small = held.select(*meta, over.alias("_over"), F.when(~over, decoded(F.col("_bytes"))).alias("text"))
-    large = files.where(F.col("length") > most_bytes).select(*meta, F.lit(True).alias("_over"), F.lit(None).cast("string").alias("text"))
-    status = F.when(F.col("_over"), "too_large").when(F.col("text").isNull(), "not_text").when(F.trim(F.regexp_replace("text", r"\s+", " ")) == "", "empty").otherwise("ok")
+    large = files.where(F.col("length") > most_bytes).coalesce(parts).select(*meta, F.lit(True).alias("_over"), F.lit(None).cast("string").alias("text"))
+    status = F.when(F.col("_over"), "too_large").when(F.col("text").isNull(), "not_text").when(~F.col("text").rlike(r"\S"), "empty").otherwise("ok")
     place = [F.regexp_extract("path", _PLACE, 1).alias("accession_number"), F.regexp_extract("path", _PLACE, 2).alias("document")]
     return small.unionByName(large).select(plain_accession(place[0]).alias("accession_number"), place[1], "modified", "n_bytes", status.alias("status"), "text")
 
